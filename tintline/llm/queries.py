@@ -10,8 +10,10 @@ from .common import table, words
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
+from .lm_score import lm_score
 from .quality_rules import quality_rules
 from .source_mix import mix_rows
+from .suffix_dedup import suffix_dedup
 from .token_output import read_digest, token_folder, write_tokens
 from .url_filters import url_filters
 
@@ -47,6 +49,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, x: n + x["past"] - x["first"])
@@ -56,6 +65,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_folder(spark)
     write_tokens(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,7 +77,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_url_filters, op3_line_dedup, op5_quality_rules, op6_source_mix, op8_decontaminate, op10_token_output)
+    for f in (op1_jaccard_join, op2_url_filters, op3_line_dedup, op5_quality_rules, op6_source_mix,
+              op7_suffix_dedup, op8_decontaminate, op9_lm_score, op10_token_output)
 }
 
 _LINE_KEY = "translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
