@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import table, words
 from .decontaminate import decontaminate
+from .html_text import extract_text
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .lm_score import lm_score
@@ -36,6 +37,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -77,8 +82,18 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_url_filters, op3_line_dedup, op5_quality_rules, op6_source_mix,
-              op7_suffix_dedup, op8_decontaminate, op9_lm_score, op10_token_output)
+    for f in (
+        op1_jaccard_join,
+        op2_url_filters,
+        op3_line_dedup,
+        op4_html_text,
+        op5_quality_rules,
+        op6_source_mix,
+        op7_suffix_dedup,
+        op8_decontaminate,
+        op9_lm_score,
+        op10_token_output,
+    )
 }
 
 _LINE_KEY = "translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -9,6 +9,8 @@ from .common import checkpointed, words
 
 #: The exponent is found on the grid k / GRID, by passes that each try FAN - 1 inner points.
 GRID, FAN = 2**20, 32
+#: Sources up to which the plan, a short row for each, is broadcast; beyond, it is joined by shuffles.
+SMALL_PLAN = 10_000
 
 
 def _exponent(shares: DataFrame, target_entropy: float | None, max_epochs: float | None, budget_share: float | None) -> int:
@@ -146,8 +148,8 @@ def mix_rows(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col:
     id stand together in every permutation and are taken or left together. Columns
     of any name may follow; they are carried along. An empty table gives none.
 
-    The rows themselves are joined with one small row per source and are not
-    shuffled otherwise.
+    The rows themselves are joined with one small row per source, by broadcast for up
+    to SMALL_PLAN sources, and are not moved otherwise.
     """
     plan = mixing_plan(docs, seed=seed, id_col=id_col, source_col=source_col, **options)
     row = docs.select(
@@ -156,6 +158,8 @@ def mix_rows(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col:
         F.col(source_col).alias("s"),
     )
     plan = checkpointed(plan)
+    if plan.limit(SMALL_PLAN + 1).count() <= SMALL_PLAN:
+        plan = F.broadcast(plan)
     taken = row.join(plan, F.col("s").eqNullSafe(F.col("source"))).withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full_epochs")))
     )
