@@ -49,14 +49,19 @@ def base_measures(text: Column, w: Column) -> dict[str, Column]:
     }
 
 
-_WINDOWS = """CASE WHEN size(words) >= 4 THEN sort_array(transform(sequence(0, size(words) - 3),
-    i -> struct(xxhash64(words[i], words[i + 1], words[i + 2]) AS h, i AS i))) END"""
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` computed once, whatever the optimizer does with columns."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+_WINDOWS = "sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)))"
 #: Starts of windows that occur twice or more, in order.
 _REPEATED = """sort_array(filter(transform(w3, (x, k) -> CASE
     WHEN k > 0 AND w3[k - 1].h = x.h THEN x.i
     WHEN k < size(w3) - 1 AND w3[k + 1].h = x.h THEN x.i END), x -> x IS NOT NULL))"""
 _COVERED = """CASE WHEN size(at) > 0 THEN 3L + aggregate(zip_with(slice(at, 2, size(at)), slice(at, 1, size(at) - 1),
     (b, a) -> least(b - a, 3)), 0L, (s, x) -> s + x) ELSE 0L END"""
+_REPEAT_WORDS = _let("w", "words", f"CASE WHEN size(w) < 4 THEN 0L ELSE {_let('w3', _WINDOWS, _let('at', _REPEATED, _COVERED))} END")
 
 
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
@@ -105,9 +110,7 @@ def quality_rules(
     cascade = " ".join(f"WHEN {rule.fails} THEN false" for rule in order)
     measured = (
         prepared.withColumns(base_measures(F.col("text"), F.col("words")))
-        .withColumn("w3", F.expr(_WINDOWS))
-        .withColumn("at", F.expr(_REPEATED))
-        .withColumn("n_repeat_words", F.expr(_COVERED))
+        .withColumn("n_repeat_words", F.expr(_REPEAT_WORDS))
     )
     return measured.withColumn("base_failed", F.expr(failed)).select(
         F.col("i").alias(id_col),
@@ -128,5 +131,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     needed. Columns may have any names: the row travels as one nested value.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("i"), F.col(text_col).alias("text"))
-    judged = quality_rules(row, id_col="i", text_col="text", **options)
-    return judged.filter("kept").select("i.*")
+    # beside an indeterminate column the verdict is a column too: a filter that moved below
+    # would split the text again for each use of its words
+    judged = quality_rules(row, id_col="i", text_col="text", **options).withColumn("n", F.monotonically_increasing_id())
+    return judged.filter("kept AND n >= 0").select("i.*")
