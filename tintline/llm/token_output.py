@@ -16,14 +16,15 @@ An id's place is width * its number, so any document is read from its block alon
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,41 +34,54 @@ from .common import shared_folder
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
-#: Distinct pieces of text that a worker remembers the ids of.
-REMEMBERED = 400_000
+#: Distinct pieces of text that a worker remembers the ids of; the frequent ones come early.
+REMEMBERED = 300_000
 FORMAT = "shard int, block int, start long, n_ids long, width int, docs binary, has binary, ends binary, payload binary"
 
-#: The pattern that byte-level BPE splits by. On texts of only the characters in
-#: PLAIN this regex and the library's own agree; other texts are given to the library whole.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-PLAIN = regex.compile("[\\t\\n\\r\\x20-\\x7E¡-¬®-ɏ–—‘-„…]*")
+#: The pattern that byte-level BPE splits by (words first, which meets the same
+#: pieces), for texts of only the characters in PLAIN; other texts are given to the library whole.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9²³¹¼-¾]+| ?[^\s{LETTERS}0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
+PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7E¡-¬®-ɏ–—‘-„…]*")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letters that byte-level BPE writes bytes as: visible ones as themselves, the rest from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them without special tokens added.
 
-    Pieces are encoded by the library too, once each: BPE merges never cross pieces.
+    BPE merges never cross the pieces that a text is split into, and texts repeat
+    their pieces, so the library's model is asked once for each and a text's ids
+    are put together from those. ``ids`` are of 4 bytes each, little-endian.
     """
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = max(1, (self.library.get_vocab_size() - 1).bit_length())
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.library.encode(text, add_special_tokens=False).ids
-        pieces, known, out = PIECES.findall(text), self.known, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        if fresh:
-            for piece, got in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[piece] = got.ids
-        for piece in pieces:
-            out += known[piece]
-        return out
+        self.model, self.letters = self.library.model, byte_letters()
+        self.byte_level = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> bytes:
+        got = self.pieces.get(text)
+        if got is None:
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+            got = array("I", [t.id for t in tokens]).tobytes()
+            if len(self.pieces) < REMEMBERED:
+                self.pieces[text] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        if not self.byte_level or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        known, piece = self.pieces.get, self.piece
+        return b"".join([known(p) or piece(p) for p in PIECES.findall(text)])
 
 
 @lru_cache(maxsize=2)
@@ -111,7 +125,7 @@ def _write(path: str, end_id: int, block_ids: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 doc = batch.column(0)[k].as_py()
-                got = np.array([*coder.encode(batch.column(1)[k].as_py() or ""), end_id], np.uint32)
+                got = np.append(np.frombuffer(coder.encode(batch.column(1)[k].as_py() or ""), np.uint32), np.uint32(end_id))
                 docs.append(doc or 0)
                 has.append(doc is not None)
                 lengths.append(len(got))
