@@ -12,6 +12,12 @@ have one in common with those of a partner. The order is by how many documents
 have the lane's value, rarest first. Lanes that no other document has need not be
 sent; a document with more of those than it may miss has no partner. Where a
 passage is in very many documents, its lanes come last and are hardly ever sent.
+
+Of the documents that share a lane's value one, the hub, is compared with all the
+others: the one with the least share of lanes of its own, which in a group of near
+copies is the original or close to it. What is still apart then is compared with
+the rest where a dense sketch of SKETCH_BITS bits allows: that two of those differ
+in more bits than linked sets may have shingles of their own rules a pair out.
 """
 
 from __future__ import annotations
@@ -46,7 +52,9 @@ from .packed import (
 SMALL, SMALL_LANES = 64, 20
 #: Lanes (of both bands) for each byte of text, to size the hash ranges.
 LANES_PER_BYTE = 0.12
-ROW = "uid long, doc_id long, n long, sig_a long, sig_b long, keys array<long>, body binary"
+#: Bits of the dense sketch.
+SKETCH_BITS = 1024
+ROW = "uid long, doc_id long, n long, own long, sig_a long, sig_b long, keys array<long>, sketch array<long>, body binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -91,6 +99,15 @@ def lanes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def dense_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parities of the shingles at each of SKETCH_BITS bits, as 64-bit integers."""
+    odd = np.bincount((hashes & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+LONGS = pa.list_(pa.int64())
+
+
 def _allowed(n: np.ndarray, percent: int) -> np.ndarray:
     """Most lanes that a set of n can differ in from a partner at ``percent`` or more."""
     return n * (100 - percent) // percent
@@ -123,13 +140,16 @@ def _choose(size: int, percent: int, ranges):
         rank = np.arange(len(order)) - np.searchsorted(slot[order], slot[order], "left")
         for k in order[rank < need[slot[order]]]:
             keys[of[k]].append(int(values[k]) >> 1)
+        own = np.zeros(len(sets), np.int64)
+        own[groups // 64] = 1_000_000 * alone // filled
         mixed = (mix(x) for x in sets)
         sig = [(int(x.sum(dtype=U64)) >> 1, int(np.bitwise_xor.reduce(mix(x + U64(1)))) >> 1) if len(x) else (0, 0) for x in mixed]
         body = [squeeze(chunk.text(i).tobytes()) if k else None for i, k in enumerate(keys)]
+        dense = [dense_sketch(x) if k else None for x, k in zip(sets, keys, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(chunk.uids), chunk.id_array(), pa.array(n), pa.array([a for a, _ in sig], pa.int64()), pa.array([b for _, b in sig], pa.int64()),
-             pa.array(keys, pa.list_(pa.int64())), pa.array(body, pa.binary())],
-            ["uid", "doc_id", "n", "sig_a", "sig_b", "keys", "body"],
+            [pa.array(chunk.uids), chunk.id_array(), pa.array(n), pa.array(own), pa.array([a for a, _ in sig], pa.int64()),
+             pa.array([b for _, b in sig], pa.int64()), pa.array(keys, LONGS), pa.array(dense, LONGS), pa.array(body, pa.binary())],
+            ["uid", "doc_id", "n", "own", "sig_a", "sig_b", "keys", "sketch", "body"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +186,13 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
 def _links(kept: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges (u, v) with the same connected components as the links between different sets."""
     bodies = kept.filter("body IS NOT NULL").select("uid", "body")
-    keyed = kept.select("uid", "n", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("uid", "n")).alias("hub")).filter("c > 1")
-    members = checkpointed(keyed.join(buckets, "key").select("key", "uid", "n", "c", "hub"))
+    keyed = kept.select("uid", "n", "own", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("own", "uid", "n")).alias("hub")).filter("c > 1")
+    buckets = buckets.select("key", "c", F.col("hub.uid").alias("hub"), F.col("hub.n").alias("hub_n"))
+    members = checkpointed(keyed.join(buckets, "key").select("key", "uid", "n", "c", "hub", "hub_n"))
     near = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
-    # first each bucket's least member against all others of it
-    stars = members.filter("uid != hub.uid").filter(near.format("n", "hub.n")).select(F.col("hub.uid").alias("u"), F.col("uid").alias("v")).distinct()
+    # first each bucket's hub against all others of it
+    stars = members.filter("uid != hub").filter(near.format("n", "hub_n")).select(F.col("hub").alias("u"), F.col("uid").alias("v")).distinct()
     first = checkpointed(_verified(stars, bodies, size, percent))
     # then what is still apart within a bucket: all members but those of its largest component, against all
     roots = components(first)
@@ -179,9 +200,18 @@ def _links(kept: DataFrame, size: int, percent: int) -> DataFrame:
     sides = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
         F.max_by("comp", F.struct("m", "comp")).alias("giant"), F.count(F.lit(1)).alias("sides")
     ).filter("sides > 1")
-    split = checkpointed(member.join(sides, "key"))
-    light = split.filter("comp != giant").select("key", F.col("uid").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    apart = light.join(split, "key").filter("comp != ac AND (comp = giant OR a < uid) AND a != hub.uid AND uid != hub.uid").filter(near.format("n", "an"))
+    split = member.filter("uid != hub").join(sides, "key").join(kept.select("uid", "sketch"), "uid")
+    words = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64)]
+    split = checkpointed(split.select("key", "uid", "n", "comp", "giant", *words))
+    names = {"uid": "a", "n": "an", "comp": "ac"} | {f"s{k}": f"t{k}" for k in range(SKETCH_BITS // 64)}
+    light = split.filter("comp != giant").drop("giant").withColumnsRenamed(names)
+    distance = " + ".join(f"bit_count(s{k} ^ t{k})" for k in range(SKETCH_BITS // 64))
+    apart = (
+        light.join(split, "key")
+        .filter("comp != ac AND (comp = giant OR a < uid)")
+        .filter(near.format("n", "an"))
+        .filter(f"{100 + percent} * ({distance}) <= {100 - percent} * (n + an)")
+    )
     apart = apart.select(F.greatest("a", "uid").alias("u"), F.least("a", "uid").alias("v")).distinct()
     return first.unionByName(checkpointed(_verified(apart, bodies, size, percent)))
 
@@ -192,7 +222,7 @@ def _grouped(chunks: DataFrame, size: int, percent: int) -> DataFrame:
     # equal sets are one node, their least row
     same = rows.filter("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"))
     same = checkpointed(same)
-    nodes = rows.join(same.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "keys", "body")
+    nodes = rows.join(same.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "n", "own", "keys", "sketch", "body")
     roots = checkpointed(components(_links(nodes, size, percent)))
     comp = same.join(roots, F.col("rep") == F.col("node"), "left").select("sig_a", "sig_b", "n", "least_id", F.coalesce("root", "rep").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("least_id").alias("component_id"))
