@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .controls import control_pattern
-from .state import REGISTERS, SPECIAL, events, fold_pieces, let, nothing, then
+from .state import SPECIAL, events, fold_pieces, let, nothing, register, then
 
 # The 16 basic colours, the steps of the colour cube, and the style of each register.
 BASIC = (
@@ -68,9 +68,9 @@ def check_classes(classes: list[str]) -> list[str]:
 
 
 def _opening(state: Column, classes: list[str]) -> Column:
-    on = {n: F.coalesce(state[n], F.lit("")) != "" for n in (*REGISTERS, "url")}
-    color = F.nullif(F.when(on["invert"], state["bg"]).otherwise(state["fg"]), F.lit(""))
-    ground = F.nullif(F.when(on["invert"], state["fg"]).otherwise(state["bg"]), F.lit(""))
+    fg, bg, inverted = register(state, "fg"), register(state, "bg"), register(state, "invert") != ""
+    color = F.nullif(F.when(inverted, bg).otherwise(fg), F.lit(""))
+    ground = F.nullif(F.when(inverted, fg).otherwise(bg), F.lit(""))
     names, inline = [], []
     for code, css, k in ((color, "color", 0), (ground, "background-color", 1)):
         named = F.lit(None).cast("string")
@@ -79,7 +79,7 @@ def _opening(state: Column, classes: list[str]) -> Column:
             named = F.when(n < len(classes) // 2, _lookup(classes[k::2], F.least(n, F.lit(len(classes) // 2 - 1))))
         names.append(named)
         inline.append(F.when(code.isNotNull() & named.isNull(), F.concat(F.lit(f"{css}: "), color_hex(code))))
-    inline += [F.when(on[n], F.lit(css)) for n, css in CSS.items()]
+    inline += [F.when(register(state, n) != "", F.lit(css)) for n, css in CSS.items()]
     names_text, style = F.concat_ws(" ", *names), F.concat_ws("; ", *inline)
     span = F.concat(
         F.lit("<span"),
@@ -87,9 +87,9 @@ def _opening(state: Column, classes: list[str]) -> Column:
         F.when(style != "", F.concat(F.lit(" style='"), style, F.lit(";'"))).otherwise(""),
         F.lit(">"),
     )
-    address = F.regexp_extract(state["url"], r"^\x1B\]8;[^;]*;(.*)\x1B\\$", 1)
+    address = F.regexp_extract(register(state, "url"), r"^\x1B\]8;[^;]*;(.*)\x1B\\$", 1)
     return F.concat(
-        F.when(on["url"], F.concat(F.lit("<a href='"), html_esc(address), F.lit("'>"))).otherwise(""),
+        F.when(register(state, "url") != "", F.concat(F.lit("<a href='"), html_esc(address), F.lit("'>"))).otherwise(""),
         F.when(_shown(state), span).otherwise(""),
     )
 
@@ -97,12 +97,12 @@ def _opening(state: Column, classes: list[str]) -> Column:
 def _shown(state: Column) -> Column:
     any_on = F.lit(False)
     for n in ("fg", "bg", *CSS):
-        any_on = any_on | (F.coalesce(state[n], F.lit("")) != "")
+        any_on = any_on | (register(state, n) != "")
     return any_on
 
 
 def _ending(state: Column) -> Column:
-    link = F.when(F.coalesce(state["url"], F.lit("")) != "", F.lit("</a>")).otherwise("")
+    link = F.when(register(state, "url") != "", F.lit("</a>")).otherwise("")
     return F.concat(F.when(_shown(state), F.lit("</span>")).otherwise(""), link)
 
 
@@ -121,7 +121,7 @@ def to_html(x: Column, classes: bool | list[str] = False, carry: Column | None =
 
     # formats before the first and behind the last character give no empty elements
     lead = F.regexp_extract(x, rf"^((?:{SPECIAL})?)", 1)
-    inner = F.regexp_replace(x, F.lit(rf"^{SPECIAL}|{SPECIAL}$"), F.lit(""))
+    inner = F.regexp_replace(x, F.lit(rf"^{SPECIAL}|{SPECIAL}\z"), F.lit(""))
 
     def whole(begin: Column) -> Column:
         folded = let(fold_pieces(inner, begin, step), lambda f: F.concat(f["text"], _ending(f["state"])))

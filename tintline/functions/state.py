@@ -2,10 +2,10 @@
 
 Every SGR code and hyperlink assigns registers without reading them, so the state
 after a text is, register by register, the last assignment in it, or else the state
-before. ``events`` gives a text's assignments as a struct: null for a register that it
-leaves alone, "" for one that it clears, else the code (for the hyperlink, the
-sequence) that sets it. States are such structs too. Joining two is a coalesce, and
-carrying over rows is a window's last non-null value.
+before. ``events`` gives a text's assignments as an array with an element for each
+register: null for one that it leaves alone, "" for one that it clears, else the code
+(for the hyperlink, the sequence) that sets it. States are such arrays too. Joining two
+is a coalesce of their elements, and carrying over rows is a window's last non-null value.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .controls import SGR, URL, control_pattern
 
-# Registers in the order that their codes are written in, with the codes that set
-# and clear each (0 clears all), as regular expressions.
+# Registers in the order that their codes are written in, with the code that sets
+# and the one that clears each (0 clears all). FG, BG and FONT stand for the codes of _FAMILIES.
 REGISTERS = {
     "bold": ("1", "22"),
     "faint": ("2", "22"),
@@ -32,8 +32,8 @@ REGISTERS = {
     "fraktur": ("20", "23"),
     "double_underline": ("21", "24"),
     "proportional": ("26", "50"),
-    "fg": (r"3[0-7]|9[0-7]|38;\S+", "39"),
-    "bg": (r"4[0-7]|10[0-7]|48;\S+", "49"),
+    "fg": ("FG", "39"),
+    "bg": ("BG", "49"),
     "framed": ("51", "54"),
     "encircled": ("52", "54"),
     "overlined": ("53", "55"),
@@ -42,12 +42,11 @@ REGISTERS = {
     "ideogram62": ("62", "65"),
     "ideogram63": ("63", "65"),
     "ideogram64": ("64", "65"),
-    "font": ("1[1-9]", "10"),
+    "font": ("FONT", "10"),
 }
+_FAMILIES = {"FG": "^(?:3[0-7]|9[0-7]|38;.*)$", "BG": "^(?:4[0-7]|10[0-7]|48;.*)$", "FONT": "^1[1-9]$"}
 NAMES = (*REGISTERS, "url")
-STATE = "struct<" + ",".join(f"{n}:string" for n in NAMES) + ">"
-#: The order that closing codes are written in.
-CLOSERS = tuple(dict.fromkeys(sorted((off for _, off in REGISTERS.values()), key=int)))
+STATE = "array<string>"
 
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CODE = rf"([34]8;0*5;{_BYTE}(?=;)|[34]8;0*2;{_BYTE};{_BYTE};{_BYTE}(?=;)|[^;]*+);"
@@ -59,25 +58,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def _slots() -> Column:
+    """The registers' codes; the hyperlink's are no code's."""
+    rows = ", ".join(f"named_struct('on', '{on}', 'off', '{off}')" for on, off in (*REGISTERS.values(), ("url", "url")))
+    return F.expr(f"array({rows})")
+
+
+def register(state: Column, name: str) -> Column:
+    """What ``name`` is set to; "" if it isn't."""
+    return F.coalesce(state[NAMES.index(name)], F.lit(""))
+
+
 def codes(x: Column, term_cap: tuple[str, ...] | None = None) -> Column:
     """All SGR codes of ``x`` in order, colours with their parameters as one.
 
     Without ``term_cap`` codes beyond a terminal's abilities count like others; with
     it, those of abilities that it lacks are skipped.
     """
-    sequences = F.regexp_extract_all(x, F.lit(rf"(?s:{SGR}|{control_pattern()})"), F.lit(0))
-    own = F.transform(sequences, lambda s: F.regexp_extract(s, rf"^{SGR}$", 1))
-    own = F.filter(F.zip_with(sequences, own, lambda s, p: F.when(s.rlike(rf"^{SGR}$"), p)), lambda p: p.isNotNull())
-    split = F.flatten(F.transform(own, lambda p: F.regexp_extract_all(F.concat(p, F.lit(";")), F.lit(_CODE), F.lit(1))))
+    sequences = F.filter(F.regexp_extract_all(x, F.lit(rf"(?s:{SGR}|{control_pattern()})"), F.lit(0)), lambda s: s.rlike(rf"^{SGR}$"))
+    own = F.transform(sequences, lambda s: F.concat(F.substring(s, F.lit(3), F.char_length(s) - 3), F.lit(";")))
+    split = F.flatten(F.transform(own, lambda p: F.regexp_extract_all(p, F.lit(_CODE), F.lit(1))))
     plain = F.transform(split, lambda c: F.when(c == "", "0").otherwise(F.regexp_replace(c, r"(^|;)0+(?=[0-9])", "$1")))
     lacking = [p for k, p in _CAPABILITY.items() if term_cap is not None and k not in term_cap]
     return F.filter(plain, lambda c: ~c.rlike(rf"^(?:{'|'.join(lacking)})$")) if lacking else plain
 
 
-def _matches(pattern: str) -> Callable[[Column], Column]:
-    return lambda c: c.rlike(f"^(?:{pattern})$")
-
-
 def links(x: Column) -> Column:
     """The hyperlinks of ``x`` in order, as the sequences that open them; "" for one that closes."""
     sequences = F.filter(F.regexp_extract_all(x, F.lit(control_pattern()), F.lit(0)), lambda s: s.startswith("\x1b]8;"))
@@ -95,43 +100,41 @@ def links(x: Column) -> Column:
 def events(x: Column, term_cap: tuple[str, ...] | None = None) -> Column:
     """What ``x`` assigns to each register."""
 
-    def registers(found: Column) -> Column:
-        out = []
-        for name, (on, off) in REGISTERS.items():
-            last = F.try_element_at(F.filter(found, _matches(f"0|{off}|{on}")), F.lit(-1))
-            out.append(F.when(last.rlike(rf"^(?:{on})$"), last).when(last.isNotNull(), "").alias(name))
-        out.append(F.try_element_at(links(x), F.lit(-1)).alias("url"))
-        return F.struct(*out)
+    def assign(state: Column, code: Column) -> Column:
+        family = code
+        for name, pattern in _FAMILIES.items():
+            family = F.when(code.rlike(pattern), F.lit(name)).otherwise(family)
+        with_family = F.struct(code.alias("code"), family.alias("family"))
+        return let(with_family, lambda c: F.zip_with(state, _slots(), lambda value, slot: (
+            F.when((slot["off"] == c["code"]) | ((c["code"] == "0") & (slot["off"] != "url")), "").when(slot["on"] == c["family"], c["code"]).otherwise(value)
+        )))
 
-    some = let(codes(x, term_cap), registers).cast(STATE)
-    return F.when(x.contains("\x1b"), some).otherwise(nothing())
+    formats = F.when(x.contains("\x1b["), F.aggregate(codes(x, term_cap), nothing(), assign)).otherwise(nothing())
+    link = F.when(x.contains("\x1b]8;"), F.try_element_at(links(x), F.lit(-1)))
+    return F.concat(F.slice(formats, 1, len(REGISTERS)), F.array(link))
 
 
 def nothing() -> Column:
     """No assignment, or the state without any format."""
-    return F.struct(*[F.lit(None).cast("string").alias(n) for n in NAMES])
+    return F.expr(f"array_repeat(cast(NULL AS string), {len(NAMES)})")
 
 
 def then(before: Column, after: Column) -> Column:
     """The state of ``before`` with the assignments of ``after``."""
-    both = F.struct(before.alias("before"), after.alias("after"))
-    return let(both, lambda p: F.struct(*[F.coalesce(p["after"][n], p["before"][n]).alias(n) for n in NAMES]))
+    return F.zip_with(before, after, lambda b, a: F.coalesce(a, b))
 
 
-def _on(register: Column) -> Column:
-    return F.coalesce(register, F.lit("")) != ""
-
-
-def _joined(parts: list[Column], each: bool) -> Column:
-    """SGR codes as one sequence, or one ``each``; "" if all are null."""
+def _sequences(active: Column, each: bool) -> Column:
+    """An array of SGR codes as one sequence, or as one ``each``; "" if there are none."""
     if each:
-        return F.concat_ws("", *[F.concat(F.lit("\x1b["), p, F.lit("m")) for p in parts])
-    return let(F.concat_ws(";", *parts), lambda c: F.when(c == "", "").otherwise(F.concat(F.lit("\x1b["), c, F.lit("m"))))
+        return F.array_join(F.transform(active, lambda c: F.concat(F.lit("\x1b["), c, F.lit("m"))), "")
+    return let(F.array_join(active, ";"), lambda c: F.when(c == "", "").otherwise(F.concat(F.lit("\x1b["), c, F.lit("m"))))
 
 
 def open_state(state: Column, normalize: bool = False) -> Column:
     """The sequences that bring ``state`` about."""
-    return let(state, lambda s: F.concat(_joined([F.when(_on(s[n]), s[n]) for n in REGISTERS], normalize), F.coalesce(s["url"], F.lit(""))))
+    formats = lambda s: F.filter(F.slice(s, 1, len(REGISTERS)), lambda v: v != "")
+    return let(state, lambda s: F.concat(_sequences(formats(s), normalize), register(s, "url")))
 
 
 _END_LINK = "\x1b]8;;\x1b\\"
@@ -139,22 +142,14 @@ _END_LINK = "\x1b]8;;\x1b\\"
 
 def close_of(state: Column, normalize: bool = False) -> Column:
     """The sequences that end ``state``."""
-    return let(state, lambda s: _closing(s, normalize))
 
+    def closing(s: Column) -> Column:
+        pairs = F.zip_with(s, _slots(), lambda v, slot: F.when((v != "") & (slot["off"] != "url"), slot["off"]))
+        offs = F.sort_array(F.array_distinct(F.array_compact(pairs)))
+        text = _sequences(offs, True) if normalize else F.when(F.size(offs) > 0, F.lit("\x1b[0m")).otherwise("")
+        return F.concat(text, F.when(register(s, "url") != "", F.lit(_END_LINK)).otherwise(""))
 
-def _closing(state: Column, normalize: bool) -> Column:
-    closing = []
-    for off in CLOSERS:
-        own = [_on(state[n]) for n, (_, o) in REGISTERS.items() if o == off]
-        active = own[0]
-        for more in own[1:]:
-            active = active | more
-        closing.append(F.when(active, F.lit(off)))
-    if normalize:
-        text = _joined(closing, True)
-    else:
-        text = F.when(F.coalesce(*closing).isNotNull(), F.lit("\x1b[0m")).otherwise("")
-    return F.concat(text, F.when(_on(state["url"]), F.lit(_END_LINK)).otherwise(""))
+    return let(state, closing)
 
 
 def bridge(before: Column, after: Column, normalize: bool = False) -> Column:
@@ -163,33 +158,32 @@ def bridge(before: Column, after: Column, normalize: bool = False) -> Column:
     Unless ``normalize``, any register that ends or changes means a reset and all of
     ``after`` anew; with it, registers that end get their own closing code.
     """
-    both = F.struct(before.alias("before"), after.alias("after"))
-    return let(both, lambda p: _changes(p["before"], p["after"], normalize))
+    none = F.lit("")
+    pairs = F.zip_with(before, after, lambda b, a: F.struct(F.coalesce(b, none).alias("was"), F.coalesce(a, none).alias("now")))
+    changes = F.zip_with(pairs, _slots(), lambda p, slot: F.struct(p["was"].alias("was"), p["now"].alias("now"), slot["off"].alias("off")))
+    return let(changes, lambda c: _changes(c, normalize))
+
+
+def _changes(changes: Column, normalize: bool) -> Column:
+    url = changes[len(REGISTERS)]
+    link = F.when(url["was"] == url["now"], "").when(url["now"] == "", F.lit(_END_LINK)).otherwise(url["now"])
 
+    def codes_of(of: Callable[[Column], Column], field: str = "now") -> Column:
+        return F.transform(F.filter(changes, lambda c: (c["off"] != "url") & of(c)), lambda c: c[field])
 
-def _changes(before: Column, after: Column, normalize: bool) -> Column:
-    was = {n: F.coalesce(before[n], F.lit("")) for n in NAMES}
-    now = {n: F.coalesce(after[n], F.lit("")) for n in NAMES}
-    opened = {n: F.when((now[n] != "") & (now[n] != was[n]), now[n]) for n in REGISTERS}
-    link = F.when(now["url"] == "", F.lit(_END_LINK)).otherwise(now["url"])
-    link = F.when(was["url"] == now["url"], "").otherwise(link)
     if normalize:
-        closing = []
-        for off in CLOSERS:
-            names = [n for n, (_, o) in REGISTERS.items() if o == off]
-            ends = F.lit(False)
-            for n in names:
-                ends = ends | ((was[n] != "") & (now[n] == ""))
-            for n in names:  # a closing code takes its whole group away
-                opened[n] = F.when((now[n] != "") & ((now[n] != was[n]) | ends), now[n])
-            closing.append(F.when(ends, F.lit(off)))
-        return F.concat(_joined(closing, True), _joined([opened[n] for n in REGISTERS], True), link)
-    ends = F.lit(False)
-    for n in REGISTERS:
-        ends = ends | ((was[n] != "") & (was[n] != now[n]))
-    kept = [F.when((now[n] != "") & (now[n] == was[n]), now[n]) for n in REGISTERS]
-    anew = _joined([F.lit("0"), *kept, *[opened[n] for n in REGISTERS]], False)
-    return F.concat(F.when(ends, anew).otherwise(_joined(list(opened.values()), False)), link)
+        ended = F.sort_array(F.array_distinct(codes_of(lambda c: (c["was"] != "") & (c["now"] == ""), "off")))
+        # a closing code takes its whole group away
+        def opened(ends: Column) -> Column:
+            new = codes_of(lambda c: (c["now"] != "") & ((c["now"] != c["was"]) | F.array_contains(ends, c["off"])))
+            return F.concat(_sequences(ends, True), _sequences(new, True))
+
+        return F.concat(let(ended, opened), link)
+    new = codes_of(lambda c: (c["now"] != "") & (c["now"] != c["was"]))
+    kept = codes_of(lambda c: (c["now"] != "") & (c["now"] == c["was"]))
+    ends = F.exists(changes, lambda c: (c["off"] != "url") & (c["was"] != "") & (c["was"] != c["now"]))
+    anew = _sequences(F.concat(F.array(F.lit("0")), kept, new), False)
+    return F.concat(F.when(ends, anew).otherwise(_sequences(new, False)), link)
 
 
 def state_at_end(x: Column, normalize: bool = False, carry: Column | None = None, term_cap: tuple[str, ...] | None = None) -> Column:

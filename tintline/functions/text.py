@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .controls import SGR, URL, Ctl, control_pattern, kinds, strip_ctl
 from .state import SPECIAL, STATE, bridge, close_of, events, let, normalize_state, nothing, open_state, then
-from .width import cluster_pattern, graphemes_of, width_of
+from .width import cluster_pattern, graphemes_of, is_plain, width_of
 
 IntColumn = Column | int
 ROUND = ("start", "stop", "both", "neither")
@@ -67,6 +67,35 @@ def _window(found: Column, start: Column, stop: Column, type: str, round: str, c
     return F.aggregate(found, zero, step)
 
 
+def _bytes_behind(ctl: Ctl) -> str:
+    """A regular expression for controls of one byte, which stay with the character before them."""
+    found = "".join(p for k, p in (("c0", r"\x01-\x09\x0B-\x1A\x1C-\x1F\x7F"), ("nl", r"\n")) if k in kinds(ctl))
+    return f"[{found}]*+" if found else ""
+
+
+def _cut_pattern(start: int, stop: int, ctl: Ctl) -> str:
+    """A regular expression whose groups are what stands before positions start to stop, and these.
+
+    Controls before the first position count as before it, unless the start is below 1; those
+    behind the last are left out, but for single bytes right behind it, or where the text ends sooner.
+    """
+    control, first = control_pattern(ctl), max(start, 1)
+    gap = f"{control}*+" if control else ""
+    unit = f"(?:{gap}(?s:.))"
+    lead = rf"((?:{unit}{{{first - 1}}}+{gap}|(?s:.*+)))" if start >= 1 else "()"
+    return rf"^{lead}({unit}{{{max(0, stop - first + 1)}}}+{_bytes_behind(ctl)}|{unit}*+{gap})"
+
+
+def _formatted(state: Column, text: Column, terminate: bool, normalize: bool) -> Column:
+    """``text`` with the format that it begins in put in front and, if ``terminate``, ended behind."""
+    if terminate:
+        text = F.regexp_replace(text, F.lit(rf"{SPECIAL}\z"), F.lit(""))
+    out = let(text, lambda t: F.when(F.lit(terminate) & (t == ""), "").otherwise(
+        F.concat(open_state(state), t, close_of(then(state, events(t))) if terminate else F.lit(""))
+    ))
+    return normalize_state(out) if normalize else out
+
+
 def substr_ctl(
     x: Column,
     start: IntColumn,
@@ -86,10 +115,11 @@ def substr_ctl(
     """
     if round not in ROUND:
         raise ValueError(f"round: {round!r} is none of {', '.join(ROUND)}")
-    start, stop = _int(start), _int(stop)
     if tab_stops:
         x = tabs_as_spaces(x, tab_stops, ctl)
     before = nothing() if carry is None else carry
+    known = (start, stop) if isinstance(start, int) and isinstance(stop, int) else None
+    start, stop = _int(start), _int(stop)
 
     def cut(found: Column) -> Column:
         return let(_window(found, start, stop, type, round, ctl), lambda w: piece(found, w))
@@ -99,22 +129,23 @@ def substr_ctl(
         first = F.when((start < 1) & (stop > 0), 1).when(w["first"] > 0, w["first"]).otherwise(w["i"] + 1)
         lead = F.slice(found, 1, first - 1)
         body = F.when(w["last"] >= first, F.slice(found, first, w["last"] - first + 1)).otherwise(F.array().cast("array<string>"))
-        return let(F.struct(then(before, events(F.array_join(lead, ""))).alias("state"), body.alias("body")), written)
+        return in_format(F.array_join(lead, ""), F.array_join(body, ""))
+
+    def in_format(lead: Column, body: Column) -> Column:
+        return let(F.struct(then(before, events(lead)).alias("state"), body.alias("body")), written)
 
     def written(p: Column) -> Column:
-        text = F.array_join(p["body"], "")
-        if terminate:
-            text = F.regexp_replace(text, F.lit(rf"{SPECIAL}$"), F.lit(""))
-        text = let(text, lambda t: F.when(F.lit(terminate) & (t == ""), "").otherwise(
-            F.concat(open_state(p["state"]), t, let(then(p["state"], events(t)), close_of) if terminate else F.lit(""))
-        ))
-        return normalize_state(text) if normalize else text
+        return _formatted(p["state"], p["body"], terminate, normalize)
 
     plain = F.substring(x, F.greatest(start, F.lit(1)), stop - F.greatest(start, F.lit(1)) + 1)
     general = let(tokens(x, ctl, type != "chars"), cut)
+    if known:  # each character is a position: one pattern finds the cut
+        one = _cut_pattern(*known, ctl)
+        direct = in_format(F.regexp_extract(x, one, 1), F.regexp_extract(x, one, 2))
+        general = direct if type == "chars" else F.when(is_plain(strip_ctl(x, ctl)), direct).otherwise(general)
     simple = ~x.rlike(control_pattern(ctl)) if control_pattern(ctl) else F.lit(True)
     if carry is not None or type != "chars":
-        simple = F.lit(False) if carry is not None else x.rlike("^[\\x20-\\x7E]*$")
+        simple = F.lit(False) if carry is not None else x.rlike(r"^[\x20-\x7E]*\z")
     out = F.when((stop < start) | (stop < 1), "").when(simple, plain).otherwise(general)
     return F.when(x.isNotNull() & start.isNotNull() & stop.isNotNull(), out)
 
@@ -151,7 +182,7 @@ def trimws_ctl(x: Column, which: str = "both", normalize: bool = False) -> Colum
         raise ValueError(f"which: {which!r} is none of both, left, right")
     space = r"[ \t\r\n]"
     left = F.regexp_extract(x, rf"^((?:{space}|{SPECIAL})*+)", 1) if which != "right" else F.lit("")
-    ends = F.regexp_extract(x, rf"(?s)((?:{space}|{SPECIAL})*)$", 1) if which != "left" else F.lit("")
+    ends = F.regexp_extract(x, rf"(?s)((?:{space}|{SPECIAL})*)\z", 1) if which != "left" else F.lit("")
 
     def cut(p: Column) -> Column:
         middle = F.substring(x, F.char_length(p["l"]) + 1, F.char_length(x) - F.char_length(p["l"]) - F.char_length(p["r"]))
@@ -177,7 +208,7 @@ def tabs_as_spaces(x: Column, tab_stops: tuple[int, ...] = (8,), ctl: Ctl = "all
         return F.repeat(F.lit(" "), (next_stop - at).cast("int"))
 
     def step(acc: Column, piece: Column) -> Column:
-        line = strip_ctl(F.regexp_extract(acc, r"([^\n]*+)$", 1), tuple(kinds(ctl)))
+        line = strip_ctl(F.regexp_extract(acc, r"([^\n]*+)\z", 1), tuple(kinds(ctl)))
         return F.concat(acc, let(width_of(line), pad), piece)
 
     parts = F.split(x, "\t", -1)
@@ -191,12 +222,29 @@ def strsplit_ctl(x: Column, split: str, fixed: bool = False, ctl: Ctl = "all", n
     An empty ``split`` gives the characters. A text that ends in a match has no
     empty last piece; an empty text has no pieces.
     """
-    pattern = re.escape(split) if fixed else split
+    pattern = f"(?:{re.escape(split) if fixed else split})"
+    control = control_pattern(ctl)
+    gap = f"{control}*+" if control else ""
+    behind = _bytes_behind(ctl)
+
+    def in_format(parts: Column) -> Column:
+        """Parts that follow each other, each with the format that it begins in."""
+        own = rf"^({gap})((?:{gap}(?s:.))*+{behind})"
+
+        def step(acc: Column, part: Column) -> Column:
+            lead, body = F.regexp_extract(part, own, 1), F.regexp_extract(part, own, 2)
+            text = let(then(acc["state"], events(lead)), lambda state: _formatted(state, body, terminate, normalize))
+            return F.struct(then(acc["state"], events(part)).alias("state"), F.concat(acc["out"], F.array(text)).alias("out"))
+
+        start = F.struct(nothing().alias("state"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(parts, start, step)["out"]
 
-    def pieces(clean: Column) -> Column:
-        if not split:
-            return F.transform(F.sequence(F.lit(1), F.char_length(clean)), lambda k: F.struct(k.alias("a"), k.alias("b")))
-        gaps, parts = F.regexp_extract_all(clean, F.lit(f"(?:{pattern})"), F.lit(0)), F.split(clean, f"(?:{pattern})", -1)
+    def without_last(parts: Column, visible: Column) -> Column:
+        return F.when(F.element_at(visible, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def spans(clean: Column) -> Column:
+        """First and last position of each piece."""
+        gaps, parts = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)), F.split(clean, pattern, -1)
         lengths = F.zip_with(parts, gaps, lambda p, g: F.struct(F.char_length(p).alias("p"), F.coalesce(F.char_length(g), F.lit(0)).alias("g")))
 
         def step(acc: Column, n: Column) -> Column:
@@ -204,14 +252,25 @@ def strsplit_ctl(x: Column, split: str, fixed: bool = False, ctl: Ctl = "all", n
             return F.struct((acc["at"] + n["p"] + n["g"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-        spans = F.aggregate(lengths, start, step)["spans"]
-        return let(spans, lambda s: F.when(F.element_at(s, -1)["b"] < F.element_at(s, -1)["a"], F.slice(s, 1, F.size(s) - 1)).otherwise(s))
+        return without_last(F.aggregate(lengths, start, step)["spans"], parts)
 
-    def cut(spans: Column) -> Column:
-        return F.transform(spans, lambda s: substr_ctl(x, s["a"], s["b"], ctl=ctl, normalize=normalize, terminate=terminate))
+    def cut(found: Column) -> Column:
+        return F.transform(found, lambda s: substr_ctl(x, s["a"], s["b"], ctl=ctl, normalize=normalize, terminate=terminate))
 
     clean = strip_ctl(x, ctl)
-    return F.when(clean == "", F.array().cast("array<string>")).when(clean.isNotNull(), let(let(clean, pieces), cut))
+    if not split:
+        pieces = in_format(F.regexp_extract_all(x, F.lit(f"{gap}(?s:.){behind}"), F.lit(0)))
+    else:
+        parts, visible = F.split(x, pattern, -1), F.split(clean, pattern, -1)
+        # where no match takes a control, the text's own pieces are those of its visible part
+        apart = F.lit(True)
+        if control:
+            apart = ~F.exists(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda g: g.rlike(control))
+            apart = apart & (F.transform(parts, lambda p: strip_ctl(p, ctl)) == visible)
+        plain = without_last(visible, visible)
+        pieces = F.when(apart, without_last(in_format(parts), visible)).otherwise(let(let(clean, spans), cut))
+        pieces = F.when(x == clean, plain).otherwise(pieces)
+    return F.when(clean == "", F.array().cast("array<string>")).when(clean.isNotNull(), pieces)
 
 
 def squeeze_space(x: Column) -> Column:
@@ -241,6 +300,8 @@ def strwrap_ctl(
     initial: str | None = None,
     wrap_always: bool = False,
     pad_end: str = "",
+    strip_spaces: bool = True,
+    tab_stops: tuple[int, ...] | None = None,
     ctl: Ctl = "all",
     normalize: bool = False,
     terminate: bool = True,
@@ -250,7 +311,8 @@ def strwrap_ctl(
 
     White space is squeezed first; each line begins with the format in force there.
     ``wrap_always`` breaks words that are longer than a line; ``pad_end`` is a character
-    to fill lines up with.
+    to fill lines up with. Without ``strip_spaces`` white space stays as it is and each line
+    break begins a paragraph; with ``tab_stops`` tabs become spaces first.
     """
     target = max(1, width - 1)
     head, rest = (prefix if initial is None else initial) + " " * indent, prefix + " " * exdent
@@ -290,7 +352,7 @@ def strwrap_ctl(
             fits = (acc["n"] == 0) | (acc["w"] + F.char_length(gap) + w <= room)
             line = F.when(fits, F.concat(acc["line"], gap, text)).otherwise(text)
             return F.struct(
-                F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(F.rtrim(acc["line"])))).alias("lines"),
+                F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(F.rtrim(acc["line"]) if strip_spaces else acc["line"]))).alias("lines"),
                 line.alias("line"),
                 F.when(fits, acc["w"] + F.char_length(gap) + w).otherwise(w).cast("int").alias("w"),
                 F.when(~fits & (text == ""), 0).otherwise(acc["n"] + 1).alias("n"),
@@ -303,7 +365,7 @@ def strwrap_ctl(
         """Lines (text, lead) with the format in force put in front and ended behind."""
 
         def step(acc: Column, line: Column) -> Column:
-            body = F.regexp_replace(line["text"], F.lit(rf"{SPECIAL}$"), F.lit("")) if terminate else line["text"]
+            body = F.regexp_replace(line["text"], F.lit(rf"{SPECIAL}\z"), F.lit("")) if terminate else line["text"]
             after = then(acc["state"], events(line["text"]))
             lead_in = F.regexp_extract(line["text"], rf"^((?:{SPECIAL})?)", 1)
             opened = let(then(acc["state"], events(lead_in)), open_state)
@@ -317,6 +379,9 @@ def strwrap_ctl(
         begin = F.struct((nothing() if carry is None else carry).cast(STATE).alias("state"), F.array().cast("array<string>").alias("out"))
         return F.aggregate(lines, begin, step)["out"]
 
-    paragraphs = F.split(squeeze_space(F.coalesce(x, F.lit("NA"))), "\n\n", -1)
+    x = F.coalesce(x, F.lit("NA"))
+    if tab_stops:
+        x = tabs_as_spaces(x, tab_stops, ctl)
+    paragraphs = F.split(squeeze_space(x), "\n\n", -1) if strip_spaces else F.split(x, "\n", -1)
     filled = F.flatten(F.transform(paragraphs, lambda p: F.transform(fill(p, head), lambda t, k: F.struct(t.alias("text"), F.when(k == 0, head).otherwise(rest).alias("lead")))))
     return with_format(filled) if control else F.transform(filled, lambda s: F.concat(s["lead"], s["text"]))

@@ -18,7 +18,7 @@ _FLAGS = r"[\x{1F1E6}-\x{1F1FF}]{2}"
 _JOINED = r"(?s:\x{200D}.?)"
 _SKIN = r"[\x{1F3FB}-\x{1F3FF}]"
 #: Text in which each character is a column: no table is needed.
-_PLAIN = r"^[\x20-\x7E\xA1-\xAC\xAE-\x{2FF}]*$"
+_PLAIN = r"^[\x20-\x7E\xA1-\xAC\xAE-\x{2FF}]*\z"
 
 
 def _class(of) -> str:
@@ -52,19 +52,24 @@ def _joined(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(flags, F.lit(_JOINED), F.lit("")), F.lit(_SKIN), F.lit(""))
 
 
+def is_plain(x: Column) -> Column:
+    """Whether each character of ``x`` is a column."""
+    return x.rlike(_PLAIN)
+
+
 def width_of(x: Column) -> Column:
     """Columns that a terminal shows ``x`` in."""
     zero, wide = classes()
     y = _joined(x)
     exact = F.char_length(y) + F.regexp_count(y, F.lit(wide)) - F.regexp_count(y, F.lit(zero))
-    return F.when(x.rlike(_PLAIN), F.char_length(x)).otherwise(exact)
+    return F.when(is_plain(x), F.char_length(x)).otherwise(exact)
 
 
 def graphemes_of(x: Column) -> Column:
     """Characters that a reader sees: those of any width, with what joins them as one."""
     zero, _ = classes()
     y = _joined(x)
-    return F.when(x.rlike(_PLAIN), F.char_length(x)).otherwise(F.char_length(y) - F.regexp_count(y, F.lit(zero)))
+    return F.when(is_plain(x), F.char_length(x)).otherwise(F.char_length(y) - F.regexp_count(y, F.lit(zero)))
 
 
 def cluster_pattern() -> str:

@@ -21,7 +21,7 @@ def with_state(
     """
     before = Window.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     with_events = df.withColumn("_events", events(F.col(x), term_cap))
-    carried = F.struct(*[F.last(F.col("_events")[n], ignorenulls=True).over(before).alias(n) for n in NAMES])
+    carried = F.array(*[F.last(F.col("_events")[k], ignorenulls=True).over(before) for k in range(len(NAMES))])
     out = with_events.withColumn("_carried", carried).drop("_events")
     return out.withColumn(into, then(events(F.lit(initial)), F.col("_carried")) if initial else F.col("_carried")).drop("_carried")
 

@@ -183,7 +183,7 @@ ORACLE_SQL: dict[str, str] = {
     "substr_plain": _sql("substring(x, 3, 18) AS part"),
     "substr_colored": _sql(f"{_cut(3, 20)} AS part"),
     "substr_normalized": _sql(
-        "CASE WHEN x = '' THEN '' ELSE replace(opened, ';48', 'm' || chr(27) || '[48') || substring(x, 1, 9) || chr(27) || '[39m' || chr(27) || '[49m' END AS part"
+        "CASE WHEN x = '' THEN '' ELSE replace(opened, ';48;5;', 'm' || chr(27) || '[48;5;') || substring(x, 1, 9) || chr(27) || '[39m' || chr(27) || '[49m' END AS part"
     ),
     "substr_width": _sql(f"{_cut(2, 15)} AS part"),
     "overlay_colored": _sql(
@@ -200,7 +200,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "close_state": _sql("chr(27) || '[0m' AS reset, chr(27) || '[22m' || chr(27) || '[39m' AS each"),
     "normalize_state": _sql(
-        "CASE WHEN x = '' THEN '' ELSE replace(opened, ';48', 'm' || chr(27) || '[48') || x || chr(27) || '[39m' || chr(27) || '[49m' END AS part"
+        "CASE WHEN x = '' THEN '' ELSE replace(opened, ';48;5;', 'm' || chr(27) || '[48;5;') || x || chr(27) || '[39m' || chr(27) || '[49m' END AS part"
     ),
     "to_html_colored": _sql(
         f"""CASE WHEN x = '' THEN '' ELSE '<span style=''color: #' || CASE WHEN ((b - 16) // 18) % 2 = 1 THEN '000000' ELSE 'BBBBBB' END
