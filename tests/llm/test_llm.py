@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -271,6 +273,37 @@ def test_suffix_dedup(docs, rows, empty, hot, monkeypatch):
     assert suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize(("pieces", "most"), [(2000, 10**6), (3, 60)])
+def test_suffix_dedup_hot_edges(spark, pieces, most, monkeypatch):
+    """A passage with another text beside it in each document: its edges' windows have many keys and none is lost."""
+    whole = suffix_dedup.__globals__["_shard"]
+
+    def shard(width):
+        run = whole(width)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, windows = list(batches), collections.Counter()
+            for b in held:
+                for key, body in zip(b.column("key").to_pylist(), b.column("body").to_pylist(), strict=True):
+                    windows[key] += len(body) - width + 1
+            assert max(windows.values()) <= most
+            yield from run(iter(held))
+
+        return counted
+
+    monkeypatch.setattr("tintline.llm.suffix_dedup._shard", shard)
+    monkeypatch.setattr("tintline.llm.suffix_dedup.HOT_ANCHOR", 4)
+    monkeypatch.setattr("tintline.llm.suffix_dedup.HOT_PIECES", pieces, raising=False)
+    monkeypatch.setattr("tintline.llm.suffix_dedup.SHARD_WINDOWS", 100)
+    r = random.Random(8)
+    passage = prose(r, 100)
+    # beside the passage a few bytes are the same in some
+    texts = [f"{prose(r, 60)}{'abcdefgh'[-(k % 9) or 8:]}{passage}{'ijklmnop'[: k % 9]}{prose(r, 60)}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: bytes(x.kept) for x in suffix_dedup(df).collect()}
+    assert got == {k: x[3] for k, x in enumerate(without_repeats([t.encode() for t in texts], 200))}
+
+
 def test_suffix_family():
     r = random.Random(4)
     texts = [bytes(r.choice(b"ab\0") for _ in range(r.randrange(8, 60))) for _ in range(60)]

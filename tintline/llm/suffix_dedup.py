@@ -6,7 +6,10 @@ the 32-byte gram in it with the least hash, so equal windows have equal anchors,
 windows whose anchor stands in one place only are unique. Neighbouring windows
 with the same anchor form a stretch. Anchors and whole stretches are counted over
 the corpus first. A stretch that stands twice as a whole is repeated; one whose
-anchor has other stretches too goes to a shard of the suffix arrays.
+anchor has other stretches too goes to a shard of the suffix arrays. Stretches of a
+hot anchor go in pieces of a few windows, dealt by the bytes that all windows of a
+piece have in common, and where very many pieces share those, window by window, dealt
+by all bytes: equal windows still meet.
 
 A shard keeps a logarithmic family of suffix arrays. Each new batch of stretches
 gets the array of its windows' suffixes (their first 200 bytes, in order), which is
@@ -37,10 +40,15 @@ STRETCHES_PER_BYTE = 0.025
 SHARD_WINDOWS, BATCH_STRETCHES = 200_000, 500
 #: Stretches of an anchor that has this many are dealt out in pieces of so many windows.
 HOT_ANCHOR, PIECE = 256, 8
+#: Where more pieces than this share their common bytes, their windows are dealt out one by one.
+HOT_PIECES = 2_000
 ROW = (
     "uid long, spans array<struct<begin:long,end:long>>,"
-    " sent array<struct<key:long,same:long,begin:long,known:boolean,body:binary>>"
+    " sent array<struct<key:long,same:long,begin:long,known:boolean,lead:long,body:binary>>"
 )
+PIECE_ROW = "key long, uid long, begin long, end long, flags binary, body binary"
+#: A window's flag in a piece: open, repeated for sure, or that and sent by another piece.
+OPEN, KNOWN, TOLD = 0, 1, 2
 
 
 class Stretches:
@@ -116,17 +124,10 @@ def _sort_out(width: int, ranges):
                 if anchors[k] == bodies[k] or known and int(body[k]) in told:
                     continue
                 told.add(int(body[k]))
-                # equal windows have their anchor in the same place, so pieces are cut by that
-                lead = int(found.place[k]) - begin
-                size = PIECE if anchors[k] >= HOT_ANCHOR else 1 << 20
-                i = 0
-                while i < n:
-                    piece = (lead - i) // size
-                    j = min(n, lead - piece * size + 1)
-                    text = chunk.data[begin + i : begin + j + width - 1].tobytes()
-                    key = (int(anchor[k]) * 31 + piece) & (2**62 - 1)
-                    sent.setdefault(d, []).append({"key": key, "same": int(body[k]) >> 1, "begin": at + i, "known": known, "body": text})
-                    i = j
+                text = chunk.data[begin : begin + n + width - 1].tobytes()
+                lead = int(found.place[k]) - begin if anchors[k] >= HOT_ANCHOR else -1
+                key = int(anchor[k]) & (2**62 - 1)
+                sent.setdefault(d, []).append({"key": key, "same": int(body[k]) >> 1, "begin": at, "known": known, "lead": lead, "body": text})
             docs = sorted({*spans, *sent})
             yield pa.RecordBatch.from_arrays(
                 [
@@ -141,7 +142,7 @@ def _sort_out(width: int, ranges):
 
 
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-SENT = pa.list_(pa.struct([("key", pa.int64()), ("same", pa.int64()), ("begin", pa.int64()), ("known", pa.bool_()), ("body", pa.binary())]))
+SENT = pa.list_(pa.struct([("key", pa.int64()), ("same", pa.int64()), ("begin", pa.int64()), ("known", pa.bool_()), ("lead", pa.int64()), ("body", pa.binary())]))
 
 
 class SuffixFamily:
@@ -184,28 +185,104 @@ class SuffixFamily:
             self.levels.append((rank, suffixes, owner))
 
 
+def _runs(hit: np.ndarray, row: np.ndarray, counts: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of the windows ``hit`` within a text: its row, and the bytes from begin to end."""
+    new = np.append(True, (np.diff(hit) > 1) | (np.diff(row[hit]) > 0))[: len(hit)]
+    first, last = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
+    base = begin[row[first]] - (np.cumsum(counts) - counts)[row[first]]
+    return row[first], base + first, base + last + width
+
+
+def _pieces(width: int):
+    """Stretches of hot anchors in pieces, and (without a body) the spans repeated among them.
+
+    Of equal windows in a batch of stretches one stands for all. Equal windows have
+    their anchor in the same place, so pieces are cut by that. A piece's key is the hash of
+    the bytes that every window at its distance from the anchor has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, _, _ = _tables()
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_STRETCHES):
+                batch = whole.slice(start, BATCH_STRETCHES)
+                uid, begin, lead = (np.asarray(batch.column(c)) for c in ("uid", "begin", "lead"))
+                at, data = binary_buffers(batch.column("body"))
+                at, data = at - at[0], data[at[0] : at[-1]]
+                family = SuffixFamily(width)
+                family.add(data, at)
+                counts = np.diff(at) - width + 1
+                row = np.repeat(np.arange(len(counts)), counts)
+                known = (np.asarray(batch.column("known").cast(pa.int8())) > 0)[row]
+                flags = np.full(len(row), TOLD, np.uint8)
+                flags[family.levels[0][2]] = KNOWN
+                flags[~family.repeated & ~known] = OPEN
+                i = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+                piece = (lead[row] - i) // PIECE
+                first = np.flatnonzero(np.append(True, (np.diff(row) > 0) | (np.diff(piece) != 0)))
+                past = np.append(first[1:], len(row))
+                fresh = np.flatnonzero(np.minimum.reduceat(flags, first) < TOLD)
+                first, past = first[fresh], past[fresh]
+                of, piece = row[first], piece[first]
+                sums = np.zeros(len(data) + 1, U64)
+                np.cumsum(plain[data] * powers(len(data)), out=sums[1:])
+                a = at[of] + lead[of] - piece * PIECE
+                core = (sums[a + width - PIECE + 1] - sums[a]) * powers(len(data) + 1, INVERSE)[a]
+                key = mix(mix(core) + piece.astype(U64)) >> U64(1)
+                text, low = data.tobytes(), at[of] + i[first]
+                bodies = [text[b : b + n + width - 1] for b, n in zip(low.tolist(), (past - first).tolist(), strict=True)]
+                marks = [flags[b:e].tobytes() for b, e in zip(first, past, strict=True)]
+                own, span_begin, span_end = _runs(np.flatnonzero(family.repeated & ~known), row, counts, begin, width)
+                none = [None] * len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([*key.astype(np.int64).tolist(), *none], pa.int64()),
+                        pa.array(np.concatenate([uid[of], uid[own]])),
+                        pa.array(np.concatenate([begin[of] + i[first], span_begin])),
+                        pa.array([*[None] * len(first), *span_end.tolist()], pa.int64()),
+                        pa.array([*marks, *none], pa.binary()),
+                        pa.array([*bodies, *none], pa.binary()),
+                    ],
+                    ["key", "uid", "begin", "end", "flags", "body"],
+                )
+
+    return run
+
+
+def _dealt(pieces: DataFrame, width: int) -> DataFrame:
+    """The pieces, and instead of those with very common keys their windows."""
+    many = F.broadcast(pieces.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_PIECES).select("key"))
+    split = pieces.join(many, "key", "left_semi").select("uid", "begin", "flags", "body", F.explode(F.expr("sequence(0, length(flags) - 1)")).alias("i"))
+    split = split.select(
+        "uid", (F.col("begin") + F.col("i")).alias("begin"), F.expr("substring(flags, i + 1, 1)").alias("flags"), F.expr(f"substring(body, i + 1, {width})").alias("body")
+    ).filter(F.col("flags") != F.lit(bytes([TOLD])))
+    windows = split.select(F.xxhash64("body").alias("key"), "uid", "begin", "flags", "body")
+    return pieces.join(many, "key", "left_anti").select(windows.columns).unionByName(windows)
+
+
 def _shard(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows = SuffixFamily(width), []
+        family, rows, flags = SuffixFamily(width), [], []
         for whole in batches:
             for begin in range(0, whole.num_rows, BATCH_STRETCHES):
                 batch = whole.slice(begin, BATCH_STRETCHES)
                 at, data = binary_buffers(batch.column("body"))
                 family.add(data[at[0] : at[-1]], at - at[0])
-                rows.append((np.asarray(batch.column("uid")), np.asarray(batch.column("begin")), np.asarray(batch.column("known").cast(pa.int8())) > 0, np.diff(at) - width + 1))
-        uid, begin, known, counts = (np.concatenate(x) for x in zip(*rows, strict=True))
+                counts = np.diff(at) - width + 1
+                # one flag for each window, or one for all
+                mark_at, marks = binary_buffers(batch.column("flags"))
+                marks = marks[mark_at[0] : mark_at[-1]]
+                lengths = np.diff(mark_at)
+                marks = np.repeat(marks, np.repeat(np.where(lengths == counts, 1, counts), lengths))
+                rows.append((np.asarray(batch.column("uid")), np.asarray(batch.column("begin")), counts))
+                flags.append(marks)
+        uid, begin, counts = (np.concatenate(x) for x in zip(*rows, strict=True))
         row = np.repeat(np.arange(len(counts)), counts)
-        hit = np.flatnonzero(family.repeated & ~known[row])
+        hit = np.flatnonzero(family.repeated & (np.concatenate(flags) == OPEN))
         if not len(hit):
             return
-        # runs of repeated windows of one stretch
-        new = np.append(True, (np.diff(hit) > 1) | (np.diff(row[hit]) > 0))
-        first, last = hit[new], hit[np.append(new[1:], True)]
-        zero = (np.cumsum(counts) - counts)[row[first]]
-        base = begin[row[first]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(uid[row[first]]), pa.array(base + first - zero), pa.array(base + last - zero + width)], ["uid", "begin", "end"]
-        )
+        of, first, past = _runs(hit, row, counts, begin, width)
+        yield pa.RecordBatch.from_arrays([pa.array(uid[of]), pa.array(first), pa.array(past)], ["uid", "begin", "end"])
 
     return run
 
@@ -240,21 +317,27 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
 
     Hashes of 64 bits pick the candidates' groups; windows of different stretches are
     compared byte by byte. A passage in very many documents is one stretch for each
-    chunk at most; distinct stretches around a hot anchor are dealt out in pieces.
+    chunk at most; distinct stretches around a hot anchor are dealt out by their bytes,
+    so a shard gets a frequent window once for each batch of stretches.
     """
     chunks = pack_docs(docs, id_col, text_col)
     ranges = ranges_for(chunks, STRETCHES_PER_BYTE)
     rows = with_counts(chunks, _features(width, ranges), ranges).mapInArrow(_sort_out(width, ranges), ROW)
     rows = checkpointed(rows)
     sent = rows.select("uid", F.explode("sent").alias("x")).select("uid", "x.*")
-    known = sent.filter("known").groupBy("key", "same", "known").agg(F.min_by(F.struct("uid", "begin", "body"), F.struct("uid", "begin")).alias("one"))
-    sent = sent.filter("NOT known").select("key", "uid", "begin", "known", "body").unionByName(
-        known.select("key", "one.uid", "one.begin", "known", "one.body")
+    known = sent.filter("known").groupBy("key", "same", "known").agg(F.min_by(F.struct("uid", "begin", "lead", "body"), F.struct("uid", "begin")).alias("one"))
+    sent = sent.filter("NOT known").select("key", "uid", "begin", "known", "lead", "body").unionByName(
+        known.select("key", "one.uid", "one.begin", "known", "one.lead", "one.body")
     )
-    windows = rows.select(F.explode("sent.body").alias("b")).agg(F.sum(F.length("b") - (width - 1))).first()[0] or 0
+    hot = checkpointed(sent.filter("lead >= 0").drop("key").mapInArrow(_pieces(width), PIECE_ROW))
+    flags = F.when(F.col("known"), F.lit(bytes([KNOWN]))).otherwise(F.lit(bytes([OPEN])))
+    cold = sent.filter("lead < 0").select("key", "uid", "begin", flags.alias("flags"), "body")
+    windows = rows.select(F.explode("sent").alias("x")).filter("x.lead < 0").agg(F.sum(F.length("x.body") - (width - 1))).first()[0] or 0
+    windows += hot.agg(F.sum(F.length("flags"))).first()[0] or 0
     shards = max(1, int(windows // SHARD_WINDOWS) + 1)
-    parts = sent.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    parts = cold.unionByName(_dealt(hot.filter("body IS NOT NULL"), width)).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     spans = parts.groupBy("shard").applyInArrow(_shard(width), "uid long, begin long, end long")
+    spans = spans.unionByName(hot.filter("body IS NULL").select("uid", "begin", "end"))
     spans = spans.select("uid", F.struct("begin", "end").alias("s")).groupBy("uid").agg(F.collect_list("s").alias("spans"))
     found = rows.select("uid", "spans").filter(F.size("spans") > 0).unionByName(spans)
     back = found.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
