@@ -24,7 +24,7 @@ from tintline.llm.line_dedup import line_dedup
 from tintline.llm.lm_score import lm_score
 from tintline.llm.quality_rules import quality_filter, quality_rules
 from tintline.llm.source_mix import mix_rows, mixing_plan
-from tintline.llm.suffix_dedup import SuffixFamily, suffix_dedup
+from tintline.llm.suffix_dedup import Stretches, SuffixFamily, suffix_dedup
 from tintline.llm.token_output import Encoder, pack_bits, read_digest, read_ids, token_folder, unpack_bits, write_tokens
 from tintline.llm.url_filters import url_filters
 
@@ -304,6 +304,25 @@ def test_suffix_dedup_hot_edges(spark, pieces, most, monkeypatch):
     assert got == {k: x[3] for k, x in enumerate(without_repeats([t.encode() for t in texts], 200))}
 
 
+@pytest.mark.parametrize("hot", [256, 4])
+def test_suffix_dedup_compares_bytes(spark, hot, monkeypatch):
+    """Where all anchors and all stretches have one hash, only equal bytes go."""
+
+    class Colliding(Stretches):
+        def __init__(self, chunk, width):
+            Stretches.__init__(self, chunk, width)
+            self.anchor, self.body = np.full_like(self.anchor, 5 << 40), np.full_like(self.body, 7 << 40)
+
+    monkeypatch.setattr("tintline.llm.suffix_dedup.Stretches", Colliding)
+    monkeypatch.setattr("tintline.llm.suffix_dedup.HOT_ANCHOR", hot)
+    r = random.Random(9)
+    texts = [prose(r, 60) for _ in range(12)]
+    texts += [texts[0], texts[1] + prose(r, 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: bytes(x.kept) for x in suffix_dedup(df).collect()}
+    assert got == {k: x[3] for k, x in enumerate(without_repeats([t.encode() for t in texts], 200))}
+
+
 def test_suffix_family():
     r = random.Random(4)
     texts = [bytes(r.choice(b"ab\0") for _ in range(r.randrange(8, 60))) for _ in range(60)]

@@ -4,10 +4,12 @@ A suffix array over every byte of the corpus would be some 200 bytes of sorting
 for each byte of text. Most of it can't matter: a 200-byte window names as its anchor
 the 32-byte gram in it with the least hash, so equal windows have equal anchors, and
 windows whose anchor stands in one place only are unique. Neighbouring windows
-with the same anchor form a stretch. Anchors and whole stretches are counted over
-the corpus first. A stretch that stands twice as a whole is repeated; one whose
-anchor has other stretches too goes to a shard of the suffix arrays. Stretches of a
-hot anchor go in pieces of a few windows, dealt by the bytes that all windows of a
+with the same anchor form a stretch. Hashes of anchors and whole stretches are counted
+over the corpus first. That a stretch's hash stands twice only proposes it as repeated:
+such stretches meet by their bytes, and of those that are equal as a whole one goes on,
+unless they are all that their anchor has. What goes on and all other stretches of
+repeated anchors go to shards of the suffix arrays, which compare their windows.
+Stretches of a hot anchor go in pieces of a few windows, dealt by the bytes that all windows of a
 piece have in common, and where very many pieces share those, window by window, dealt
 by all bytes: equal windows still meet.
 
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .decontaminate import merged
 from .packed import (
-    INVERSE, U64, Chunk, _tables, binary_buffers, chunk_rows, mix, pack_docs, powers, ranges_for, sums_of, with_counts,
+    INVERSE, U64, Chunk, _tables, binary_buffers, chunk_rows, ipc_bytes, mix, pack_docs, powers, ranges_for, squeeze, sums_of,
+    unsqueeze, with_counts,
 )
 
 #: Bytes of the gram that a window's anchor is.
@@ -42,10 +45,8 @@ SHARD_WINDOWS, BATCH_STRETCHES = 200_000, 500
 HOT_ANCHOR, PIECE = 256, 8
 #: Where more pieces than this share their common bytes, their windows are dealt out one by one.
 HOT_PIECES = 2_000
-ROW = (
-    "uid long, spans array<struct<begin:long,end:long>>,"
-    " sent array<struct<key:long,same:long,begin:long,known:boolean,lead:long,body:binary>>"
-)
+ROW = "windows long, spans binary, rest binary, proposed binary"
+SENT_ROW = "uid long, key long, begin long, anchors long, copies long, lead long, body binary"
 PIECE_ROW = "key long, uid long, begin long, end long, flags binary, body binary"
 #: A window's flag in a piece: open, repeated for sure, or that and sent by another piece.
 OPEN, KNOWN, TOLD = 0, 1, 2
@@ -64,17 +65,23 @@ class Stretches:
         sums = np.zeros(n + 1, U64)
         np.cumsum(plain[data] * powers(n), out=sums[1:])
         back = powers(n, INVERSE)
-        grams = mix((sums[GRAM:] - sums[: n - GRAM + 1]) * back[: n - GRAM + 1])
+        grams = sums[GRAM:] - sums[: n - GRAM + 1]
+        grams *= back[: n - GRAM + 1]
         # the least (hash, place) of each window's grams: running minima within blocks, from both ends
         w, low = width - GRAM + 1, U64(n.bit_length())
-        keys = ((grams >> low) << low) | np.arange(len(grams), dtype=U64)
-        blocks = np.full(-(-len(keys) // w) * w, np.iinfo(U64).max, U64)
-        blocks[: len(keys)] = keys
+        blocks = np.full(-(-len(grams) // w) * w, np.iinfo(U64).max, U64)
+        keys = blocks[: len(grams)]
+        keys[:] = mix(grams)
+        del grams
+        keys >>= low
+        keys <<= low
+        keys |= np.arange(len(keys), dtype=U64)
         blocks = blocks.reshape(-1, w)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        np.minimum.accumulate(blocks[:, ::-1], axis=1, out=blocks[:, ::-1])
         starts = n - width + 1
-        least = np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts])
+        least = np.minimum(blocks.ravel()[:starts], ahead[w - 1 : w - 1 + starts])
+        del keys, blocks, ahead
         inside = np.zeros(n + 1, np.int64)
         long = np.diff(chunk.offsets) >= width
         np.add.at(inside, chunk.offsets[:-1][long], 1)
@@ -88,7 +95,7 @@ class Stretches:
         self.windows = np.flatnonzero(last) - self.begin + 1
         self.place = (least[self.begin] & ((U64(1) << low) - U64(1))).astype(np.int64)
         end = self.begin + self.windows + width - 1
-        self.anchor = mix(grams[self.place] + U64(1))
+        self.anchor = mix(mix((sums[self.place + GRAM] - sums[self.place]) * back[self.place]) + U64(1))
         self.body = mix((sums[end] - sums[self.begin]) * back[self.begin] + (end - self.begin).astype(U64))
 
 
@@ -101,7 +108,11 @@ def _features(width: int, ranges):
 
 
 def _sort_out(width: int, ranges):
-    """Per document: spans that are repeated for sure, and the stretches to send to the shards."""
+    """Per chunk: spans that are repeated within it, and the stretches to compare with other chunks'.
+
+    These are packed, as neighbours have most bytes in common. Of proposed stretches of
+    the chunk that are equal byte by byte the first is sent, with the number of copies.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, row in chunk_rows(batches):
@@ -113,36 +124,49 @@ def _sort_out(width: int, ranges):
             anchors, bodies = sums[np.searchsorted(values, anchor)], sums[np.searchsorted(values, body)]
             repeated = np.flatnonzero(anchors > 1)
             doc = np.searchsorted(chunk.offsets, found.begin, "right") - 1
-            spans: dict[int, list] = {}
-            sent: dict[int, list] = {}
-            told: set[int] = set()
+            spans, windows = [], 0
+            sent: dict[bool, list] = {False: [], True: []}
+            told: dict[bytes, list] = {}
             for k in repeated:
-                d, begin, n, known = int(doc[k]), int(found.begin[k]), int(found.windows[k]), bool(bodies[k] > 1)
-                at = begin - int(chunk.offsets[d])
-                if known:
-                    spans.setdefault(d, []).append((at, at + n + width - 1))
-                if anchors[k] == bodies[k] or known and int(body[k]) in told:
-                    continue
-                told.add(int(body[k]))
+                d, begin, n, proposed = int(doc[k]), int(found.begin[k]), int(found.windows[k]), bool(bodies[k] > 1)
+                uid, at = int(chunk.uids[d]), begin - int(chunk.offsets[d])
                 text = chunk.data[begin : begin + n + width - 1].tobytes()
+                if proposed and text in told:
+                    one = told[text]
+                    if one[4] == 1:
+                        spans.append((one[0], one[2], one[2] + len(text)))
+                    one[4] += 1
+                    spans.append((uid, at, at + len(text)))
+                    continue
                 lead = int(found.place[k]) - begin if anchors[k] >= HOT_ANCHOR else -1
-                key = int(anchor[k]) & (2**62 - 1)
-                sent.setdefault(d, []).append({"key": key, "same": int(body[k]) >> 1, "begin": at, "known": known, "lead": lead, "body": text})
-            docs = sorted({*spans, *sent})
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(chunk.uids[d]) for d in docs], pa.int64()),
-                    pa.array([[{"begin": a, "end": b} for a, b in merged(spans.get(d, []))] for d in docs], SPANS),
-                    pa.array([sent.get(d, []) for d in docs], SENT),
-                ],
-                ["uid", "spans", "sent"],
-            )
+                one = [uid, int(anchor[k]) & (2**62 - 1), at, int(anchors[k]), 1, lead, text]
+                sent[proposed].append(one)
+                if proposed:
+                    told[text] = one
+                elif lead < 0:
+                    windows += n
+            packed = [_packed_rows(spans, SPAN), _packed_rows(sent[False], SENT), _packed_rows(sent[True], SENT)]
+            yield pa.RecordBatch.from_arrays([pa.array([windows]), *(pa.array([x], pa.binary()) for x in packed)], ["windows", "spans", "rest", "proposed"])
 
     return run
 
 
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-SENT = pa.list_(pa.struct([("key", pa.int64()), ("same", pa.int64()), ("begin", pa.int64()), ("known", pa.bool_()), ("lead", pa.int64()), ("body", pa.binary())]))
+SPAN = pa.schema([("uid", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+SENT = pa.schema([*((n, pa.int64()) for n in ("uid", "key", "begin", "anchors", "copies", "lead")), ("body", pa.binary())])
+
+
+def _packed_rows(rows: list, schema: pa.Schema) -> bytes:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return squeeze(ipc_bytes(pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column(0):
+            whole = pa.ipc.open_stream(unsqueeze(packed.as_py())).read_next_batch()
+            for begin in range(0, whole.num_rows, 2000):
+                yield whole.slice(begin, 2000)
 
 
 class SuffixFamily:
@@ -315,32 +339,40 @@ def suffix_dedup(docs: DataFrame, width: int = 200, id_col: str = "doc_id", text
     is a document, so of rows that repeat all bytes of a text of ``width`` bytes or more
     are removed. Null ids are like others; other columns are not read.
 
-    Hashes of 64 bits pick the candidates' groups; windows of different stretches are
-    compared byte by byte. A passage in very many documents is one stretch for each
-    chunk at most; distinct stretches around a hot anchor are dealt out by their bytes,
-    so a shard gets a frequent window once for each batch of stretches.
+    Hashes pick the candidates' groups; what is removed was found equal byte by byte.
+    A passage in very many documents is one stretch for each chunk at most; distinct
+    stretches around a hot anchor are dealt out by their bytes, so a shard gets a
+    frequent window once for each batch of stretches.
     """
     chunks = pack_docs(docs, id_col, text_col)
     ranges = ranges_for(chunks, STRETCHES_PER_BYTE)
     rows = with_counts(chunks, _features(width, ranges), ranges).mapInArrow(_sort_out(width, ranges), ROW)
     rows = checkpointed(rows)
-    sent = rows.select("uid", F.explode("sent").alias("x")).select("uid", "x.*")
-    known = sent.filter("known").groupBy("key", "same", "known").agg(F.min_by(F.struct("uid", "begin", "lead", "body"), F.struct("uid", "begin")).alias("one"))
-    sent = sent.filter("NOT known").select("key", "uid", "begin", "known", "lead", "body").unionByName(
-        known.select("key", "one.uid", "one.begin", "known", "one.lead", "one.body")
+    # proposed stretches that are equal as a whole: one place for each chunk
+    same = rows.select("proposed").mapInArrow(_unpacked, SENT_ROW).groupBy("key", "body").agg(
+        F.collect_list(F.struct("uid", "begin")).alias("places"), F.sum("copies").alias("copies"), F.max("anchors").alias("anchors"), F.max("lead").alias("lead")
     )
+    # the anchor's count is one of hashes, so never too small: all its stretches are these where it has no more
+    others = F.when(F.col("copies") < F.col("anchors"), F.col("body"))
+    same = checkpointed(same.select("key", "places", F.length("body").alias("n"), (F.col("copies") > 1).alias("known"), "lead", others.alias("body")))
+    twice = same.filter(F.size("places") > 1).select(F.explode("places").alias("x"), "n")
+    twice = twice.select("x.uid", "x.begin", (F.col("x.begin") + F.col("n")).alias("end"))
+    # windows of one that stands alone are open still
+    one = same.filter("body IS NOT NULL").select("key", F.col("places")[0].alias("x"), "n", "known", "lead", "body")
+    windows = rows.agg(F.sum("windows")).first()[0] or 0
+    windows += one.filter("lead < 0").agg(F.sum(F.col("n") - (width - 1))).first()[0] or 0
+    sent = rows.select("rest").mapInArrow(_unpacked, SENT_ROW).select("key", "uid", "begin", F.lit(False).alias("known"), "lead", "body")
+    sent = sent.unionByName(one.select("key", "x.uid", "x.begin", "known", "lead", "body"))
     hot = checkpointed(sent.filter("lead >= 0").drop("key").mapInArrow(_pieces(width), PIECE_ROW))
     flags = F.when(F.col("known"), F.lit(bytes([KNOWN]))).otherwise(F.lit(bytes([OPEN])))
     cold = sent.filter("lead < 0").select("key", "uid", "begin", flags.alias("flags"), "body")
-    windows = rows.select(F.explode("sent").alias("x")).filter("x.lead < 0").agg(F.sum(F.length("x.body") - (width - 1))).first()[0] or 0
     windows += hot.agg(F.sum(F.length("flags"))).first()[0] or 0
     shards = max(1, int(windows // SHARD_WINDOWS) + 1)
     parts = cold.unionByName(_dealt(hot.filter("body IS NOT NULL"), width)).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     spans = parts.groupBy("shard").applyInArrow(_shard(width), "uid long, begin long, end long")
-    spans = spans.unionByName(hot.filter("body IS NULL").select("uid", "begin", "end"))
-    spans = spans.select("uid", F.struct("begin", "end").alias("s")).groupBy("uid").agg(F.collect_list("s").alias("spans"))
-    found = rows.select("uid", "spans").filter(F.size("spans") > 0).unionByName(spans)
-    back = found.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = spans.unionByName(hot.filter("body IS NULL").select("uid", "begin", "end")).unionByName(twice)
+    spans = spans.unionByName(rows.select("spans").mapInArrow(_unpacked, "uid long, begin long, end long"))
+    back = spans.select("uid", F.struct("begin", "end").alias("s")).groupBy("uid").agg(F.collect_list("s").alias("spans"))
     back = back.groupBy(F.shiftright("uid", 20).alias("of")).agg(F.collect_list(F.struct("uid", "spans")).alias("found"))
     whole = chunks.join(back, F.col("chunk") == F.col("of"), "left").drop("of")
     return whole.mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
