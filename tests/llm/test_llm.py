@@ -141,6 +141,22 @@ def test_small_sets_link(spark):
     assert {x.doc_id: x.component_id for x in jaccard_join(df, min_percent=50).collect()} == {k: least[x] for k, x in enumerate(roots)}
 
 
+def test_sets_of_different_bands_link(spark):
+    """Below 75 percent partners can be more than a size band apart."""
+    texts, percents = [], (50, 25)
+    for k in range(3):
+        long = " ".join(f"v{k}x{j}" for j in range(300))
+        texts += [" ".join(long.split()[:n]) for n in (74, 134, 300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for percent in percents:
+        _, roots = linked(texts, percent)
+        least = {}
+        for k, root in enumerate(roots):
+            least.setdefault(root, k)
+        assert {x.doc_id: x.component_id for x in jaccard_join(df, min_percent=percent).collect()} == {k: least[x] for k, x in enumerate(roots)}
+        assert len(least) == {50: 6, 25: 3}[percent]
+
+
 def test_components(spark):
     r = random.Random(1)
     pairs = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]

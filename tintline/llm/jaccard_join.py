@@ -72,11 +72,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-def lanes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lanes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Filled lanes of all sets: their values, the set, and the band.
 
-    Band j >= 6 has 2**j lanes and is home to sets of 2**j to 2**(j + 1) - 1; a
-    set of at least three quarters of the next band's least size is in that too.
+    Band j >= 6 has 2**j lanes and is home to sets of 2**j to 2**(j + 1) - 1; a set is
+    also in each higher band whose least size a partner at ``percent`` can have.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
     if not sizes.sum():
@@ -85,10 +85,12 @@ def lanes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     home = np.where(sizes < SMALL, 5, np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     random = mix(flat + U64(0x5851F42D4C957F2D))
     out = []
-    for band, member in ((home, sizes > 0), (home + 1, 4 * sizes >= 3 * 2 ** (home + 1))):
+    for up in range(64):
+        band = home + up
+        member = (sizes > 0) & ((up == 0) | (100 * sizes >= percent * 2**band))
+        if not member.any():
+            break
         of = np.repeat(np.arange(len(sets)), np.where(member, sizes, 0))
-        if not len(of):
-            continue
         mine = np.repeat(member, sizes)
         bits = np.where(band == 5, SMALL_LANES, band)[of].astype(U64)
         lane = flat[mine] >> (U64(64) - bits)
@@ -113,8 +115,8 @@ def _allowed(n: np.ndarray, percent: int) -> np.ndarray:
     return n * (100 - percent) // percent
 
 
-def _features(size: int, ranges):
-    return lambda chunk: ranges.cut(lanes(shingle_sets(chunk.data, chunk.offsets, size))[0])
+def _features(size: int, percent: int, ranges):
+    return lambda chunk: ranges.cut(lanes(shingle_sets(chunk.data, chunk.offsets, size), percent)[0])
 
 
 def _choose(size: int, percent: int, ranges):
@@ -123,7 +125,7 @@ def _choose(size: int, percent: int, ranges):
     def choose(chunk: Chunk, sums: np.ndarray) -> pa.RecordBatch:
         sets = shingle_sets(chunk.data, chunk.offsets, size)
         n = np.array([len(x) for x in sets], np.int64)
-        values, of, band = lanes(sets)
+        values, of, band = lanes(sets, percent)
         values = ranges.cut(values)
         df = sums[np.searchsorted(np.unique(values), values)] if len(values) else sums
         keys: list[list[int]] = [[] for _ in sets]
@@ -218,7 +220,7 @@ def _links(kept: DataFrame, size: int, percent: int) -> DataFrame:
 
 def _grouped(chunks: DataFrame, size: int, percent: int) -> DataFrame:
     ranges = ranges_for(chunks, LANES_PER_BYTE)
-    rows = checkpointed(with_counts(chunks, _features(size, ranges), ranges).mapInArrow(_choose(size, percent, ranges), ROW))
+    rows = checkpointed(with_counts(chunks, _features(size, percent, ranges), ranges).mapInArrow(_choose(size, percent, ranges), ROW))
     # equal sets are one node, their least row
     same = rows.filter("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least_id"))
     same = checkpointed(same)
