@@ -24,7 +24,7 @@ from tintline.llm.line_dedup import line_dedup
 from tintline.llm.lm_score import lm_score
 from tintline.llm.quality_rules import quality_filter, quality_rules
 from tintline.llm.source_mix import mix_rows, mixing_plan
-from tintline.llm.suffix_dedup import Stretches, SuffixFamily, suffix_dedup
+from tintline.llm.suffix_dedup import Stretches, SuffixIndex, repeated_windows, suffix_dedup
 from tintline.llm.token_output import Encoder, pack_bits, read_digest, read_ids, token_folder, unpack_bits, write_tokens
 from tintline.llm.url_filters import url_filters
 
@@ -322,12 +322,12 @@ def test_suffix_dedup_hot_edges(spark, pieces, most, monkeypatch):
 
 @pytest.mark.parametrize("hot", [256, 4])
 def test_suffix_dedup_compares_bytes(spark, hot, monkeypatch):
-    """Where all anchors and all stretches have one hash, only equal bytes go."""
+    """Where all anchors have one hash, only equal bytes go."""
 
     class Colliding(Stretches):
         def __init__(self, chunk, width):
             Stretches.__init__(self, chunk, width)
-            self.anchor, self.body = np.full_like(self.anchor, 5 << 40), np.full_like(self.body, 7 << 40)
+            self.anchor = np.full_like(self.anchor, 5 << 40)
 
     monkeypatch.setattr("tintline.llm.suffix_dedup.Stretches", Colliding)
     monkeypatch.setattr("tintline.llm.suffix_dedup.HOT_ANCHOR", hot)
@@ -339,17 +339,29 @@ def test_suffix_dedup_compares_bytes(spark, hot, monkeypatch):
     assert got == {k: x[3] for k, x in enumerate(without_repeats([t.encode() for t in texts], 200))}
 
 
-def test_suffix_family():
+def test_suffix_index_meets_later_documents(docs, rows, spark):
+    """Documents added at three times are judged like a table of them all; levels of a rank merge."""
+    want = collections.Counter()
+    for r, x in zip(rows, without_repeats([(r[1] or "").encode() for r in rows], 200), strict=True):
+        want[(r[0], x[0], x[1], x[3])] += 1
+    index = SuffixIndex(spark)
+    for k in range(3):
+        index.add(docs.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(3)) == k))
+    assert [rank for rank, _ in index.levels] == [1, 0]
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    got = index.result().select("doc_id", "n_bytes", removed, "kept").collect()
+    assert collections.Counter((*r[:3], bytes(r[3])) for r in got) == want
+    index.drop()
+
+
+def test_repeated_windows():
     r = random.Random(4)
     texts = [bytes(r.choice(b"ab\0") for _ in range(r.randrange(8, 60))) for _ in range(60)]
-    family = SuffixFamily(8)
-    for k in range(0, 60, 7):
-        batch = texts[k : k + 7]
-        family.add(np.frombuffer(b"".join(batch), np.uint8), np.cumsum([0, *map(len, batch)]))
+    repeated, first = repeated_windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), 8)
     windows = [t[i : i + 8] for t in texts for i in range(len(t) - 7)]
     count = collections.Counter(windows)
-    assert family.repeated.tolist() == [count[w] > 1 for w in windows]
-    assert [rank for rank, *_ in family.levels] == sorted({rank for rank, *_ in family.levels}, reverse=True)
+    assert repeated.tolist() == [count[w] > 1 for w in windows]
+    assert sorted(w for w, one in zip(windows, first, strict=True) if one) == sorted(count)
 
 
 def plain_words(text):

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import stored
 
 U64 = np.uint64
 #: Text of a chunk, in bytes; a longer document is a chunk of its own.
@@ -92,7 +92,7 @@ def unpack_ints(packed: bytes) -> np.ndarray:
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, has_id binary, lengths binary, body binary, rest binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, first: int = 0) -> Iterator[pa.RecordBatch]:
     """Column 0 is the id, column 1 the text; others travel along as ``rest``."""
     part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -101,11 +101,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has, values = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
         begin = 0
         while begin < len(ids):
-            end = int(np.searchsorted(at, at[begin] + CHUNK_BYTES, "right")) - 1
+            end = int(np.searchsorted(at, at[begin] + limit, "right")) - 1
             end = min(max(end, begin + 1), len(ids), begin + CHUNK_ROWS)
             rest = batch.slice(begin, end - begin).select(range(2, batch.num_columns)) if batch.num_columns > 2 else None
             row = {
-                "chunk": (part << 20) + number,
+                "chunk": first + (part << 20) + number,
                 "n_bytes": int(at[end] - at[begin]),
                 "ids": values[begin:end].astype("<i8").tobytes(),
                 "has_id": np.packbits(has[begin:end]).tobytes(),
@@ -118,18 +118,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, begin = number + 1, end
 
 
-def pack_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """Documents as chunks (one row each), written to the checkpoint folder.
+def pack_docs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, limit: int = CHUNK_BYTES, first: int = 0
+) -> DataFrame:
+    """Documents as chunks (one row each) of about ``limit`` bytes of text, written to the checkpoint folder.
 
     Later steps name a document by its chunk and place; that they are written
     keeps the names the same when a lost task is run again. With ``whole`` all
-    columns travel along, for ``unpack_docs``.
+    columns travel along, for ``unpack_docs``. Chunks are numbered from ``first`` on.
     """
     columns = [F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")]
     if whole:
         others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]
         columns += [F.col(text_col).isNull().alias("no_text"), *others]
-    return checkpointed(docs.select(columns).mapInArrow(_pack, CHUNK_SCHEMA))
+    return stored(docs.select(columns).mapInArrow(partial(_pack, limit=limit, first=first), CHUNK_SCHEMA), "chunks")
 
 
 def unpack_docs(chunks: DataFrame, keep: DataFrame, like: DataFrame, text_col: str = "text") -> DataFrame:
