@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tintline.llm import packed
-from tintline.llm.decontaminate import clean_rows, decontaminate, word_offsets
+from tintline.llm.decontaminate import Scanner, clean_rows, decontaminate, normalised_words, word_offsets
 from tintline.llm.graph import components
 from tintline.llm.html_text import extract_text, html_to_text
 from tintline.llm.jaccard_join import jaccard_join, one_of_each_group
@@ -393,11 +393,33 @@ def test_decontaminate(spark, docs, rows, empty, block):
     got = decontaminate(docs, bench, block_bytes=block)
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, x: n + x["past"] - x["first"])
     assert collections.Counter((r[0], r[1], r[2], tuple(r[3])) for r in got.select("row.doc_id", "n_words", n_hit, "items").collect()) == want
+    for r in got.filter("size(hit_bytes) > 0").select("text", "hit_words", "hit_bytes").collect():
+        text = bytes(r.text)
+        assert [normalised_words(text[x.begin : x.end]) for x in r.hit_bytes] == [normalised_words(text)[x.first : x.past] for x in r.hit_words]
     clean = clean_rows(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(n for r, n in want.items() if not r[2])
     assert decontaminate(empty, bench).count() == 0 and clean_rows(docs, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 10])
+def test_scanner(size):
+    r = random.Random(size)
+    for _ in range(60):
+        items = [(str(k % 9), " ".join(r.choice("abc") for _ in range(r.randrange(0, 25))).encode()) for k in range(10)]
+        text = " ".join(r.choice("abcd") for _ in range(60))
+        want, names, w = set(), set(), text.encode().split()
+        for name, item in items:
+            own = item.split()
+            for i in range(max(1, len(own) - size + 1)) if own else ():
+                window = own[i : i + size]
+                for k in range(len(w) - len(window) + 1):
+                    if w[k : k + len(window)] == window:
+                        want |= set(range(k, k + len(window)))
+                        names.add(name)
+        n, runs, found = Scanner(items, size).scan(text.encode())
+        assert (n, {k for a, b in runs for k in range(a, b)}, found) == (60, want, names)
+
+
 def test_word_offsets():
     text = "Ab, c! éD".encode()
     assert [text[a:b].decode() for a, b in word_offsets(text)] == ["Ab", "c", "éD"]
@@ -465,6 +487,33 @@ def test_html():
     assert html_to_text(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>a<td rowspan=0>bb<td>c<tr><td>d<td>e</table>", "a  bb  c\nd      e"),
+    ("<table><tr><td colspan=999999999999>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table></table>x<table><tr></table>", "x"),
+    ("<select><option>one<option selected>two</select><textarea>a\n  b</textarea><svg><title>no</title><text>drawn</text></svg>", "one\ntwo\na\n  b\ndrawn"),
+    ("<xmp><b>raw</b></xmp>", "<b>raw</b>"),
+    ("<details><summary>more</summary>hid</details><details open><summary>s</summary>shown</details>", "more\ns\nshown"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+    ("<ul><li><p>a</p><p>b</p></li><li><ul><li>c</li></ul></li><li></li><li>d</ul>", "- a\n\n  b\n- - c\n- d"),
+    ("<blockquote>q<blockquote>r</blockquote></blockquote>s", "    q\n\n        r\n\ns"),
+])
+def test_html_elements(html, want):
+    assert html_to_text(html) == want
+
+
+@pytest.mark.parametrize("tag", ["div", "p", "li", "ul><li", "table><td", "span", "b", "a x=1"])
+def test_html_deep(tag):
+    """A megabyte of unclosed elements, in time that grows with its length."""
+    import time
+
+    html = f"<{tag}>" * (1_000_000 // (len(tag) + 2)) + "deep"
+    began = time.perf_counter()
+    assert html_to_text(html).split()[-1] == "deep"
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("html", ["", "<", "a<b", "</p>", "<p", "<!--", "<script>x", "<div>" * 5000 + "deep", "<table><td>" * 300 + "x", "&#0;&bogus;", "<a href='x>y"])
 def test_html_broken(html):
     html_to_text(html)

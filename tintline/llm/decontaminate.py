@@ -1,8 +1,17 @@
-"""Benchmark decontamination with an Aho-Corasick automaton."""
+"""Benchmark decontamination with an Aho-Corasick automaton.
+
+Holding every window of ten words would take some sixty nodes of the automaton for each
+word of the benchmark. Every window of ten holds one of the runs of three words that
+begin at every eighth word of an item, so the automaton holds those runs; where one is
+met, the match is extended in both directions through the item, and counts if it
+reaches a window's length.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
+from uuid import uuid4
 
 import ahocorasick
 import numpy as np
@@ -10,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of benchmark text in one automaton; more text is scanned for in several passes.
+#: Bytes of benchmark text in one automaton (some 25 bytes of memory each); more text is scanned for block by block.
 BLOCK_BYTES = 16 << 20
+#: Words of a run that the automaton holds.
+RUN_WORDS = 3
 
 #: Per byte: A-Z as a-z, other ASCII but letters and digits as a blank. Lengths stay.
 _FOLD = bytes(
@@ -23,28 +34,34 @@ def normalised_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def item_windows(text: bytes, size: int) -> set[bytes]:
-    """The windows of an item, each as its words between blanks."""
-    words = normalised_words(text)
-    if not words:
-        return set()
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))}
-
-
 class Scanner:
     """Finds items' windows in texts; ``items`` is [(name, text)]."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
-        owners: dict[bytes, set[str]] = {}
+        self.size, run = size, min(RUN_WORDS, size)
+        self.numbers: dict[bytes, int] = {}
+        self.names: list[str] = []
+        self.words: list[np.ndarray] = []
+        starts: dict[bytes, list[tuple[int, int]]] = {}
+        seen = set()
         for name, text in items:
-            for window in item_windows(text, size):
-                owners.setdefault(window, set()).add(name)
+            words = normalised_words(text)
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.uint32)
+            if not words or (name, ids.tobytes()) in seen:
+                continue
+            seen.add((name, ids.tobytes()))
+            item, length = len(self.names), min(run, len(words))
+            self.names.append(name)
+            self.words.append(ids)
+            # the last of these begins no later than the last window's end allows
+            for k in range(0, max(1, len(words) - run + 1), size - run + 1):
+                starts.setdefault(b" " + b" ".join(words[k : k + length]) + b" ", []).append((item, k))
         self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for window, names in owners.items():
+        for key, places in starts.items():
             # latin-1 gives each byte a character, so offsets are offsets in bytes
-            self.found.add_word(window.decode("latin-1"), (window.count(b" ") - 1, names))
-        self.empty = not owners
-        if owners:
+            self.found.add_word(key.decode("latin-1"), (key.count(b" ") - 1, places))
+        self.empty = not starts
+        if starts:
             self.found.make_automaton()
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -52,17 +69,46 @@ class Scanner:
         words = normalised_words(text)
         if self.empty or not words:
             return len(words), [], set()
-        line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        ends, names = [], set()
-        for end, (count, own) in self.found.iter(line):
-            ends.append((end, count))
-            names |= own
-        if not ends:
-            return len(words), [], names
-        blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        last = np.searchsorted(blanks, [e for e, _ in ends])  # the blank after word k - 1 is number k
-        runs = merged([(int(k) - c, int(k)) for k, (_, c) in zip(last, ends, strict=True)])
-        return len(words), runs, names
+        joined = b" " + b" ".join(words) + b" "
+        met = list(self.found.iter(joined.decode("latin-1")))
+        if not met:
+            return len(words), [], set()
+        line = np.fromiter(map(self.numbers.get, words, repeat(0)), np.uint32, len(words))
+        blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+        past = np.searchsorted(blanks, [end for end, _ in met]).tolist()  # the blank after word k - 1 is number k
+        runs, names = [], set()
+        for last, (_, (length, places)) in zip(past, met, strict=True):
+            first = last - length
+            for item, k in places:
+                own = self.words[item]
+                begin = first - _common(line[:first][::-1], own[:k][::-1])
+                end = last + _common(line[last:], own[k + length :])
+                if end - begin >= min(self.size, len(own)):
+                    runs.append((begin, end))
+                    names.add(self.names[item])
+        return len(words), merged(runs), names
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common start."""
+    n, done, step = min(len(a), len(b)), 0, 16
+    while done < n:
+        other = np.flatnonzero(a[done : done + step][: n - done] != b[done : done + step][: n - done])
+        if len(other):
+            return done + int(other[0])
+        done, step = done + step, step * 4
+    return n
+
+
+_SCANNERS: dict[str, Scanner] = {}
+
+
+def _scanner(key: str, items, size: int) -> Scanner:
+    """A worker builds an automaton once and keeps it for the tasks that follow."""
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(items.value, size)
+    return _SCANNERS[key]
 
 
 def word_offsets(text: bytes) -> np.ndarray:
@@ -88,25 +134,29 @@ def _blocks(items: DataFrame, item_id: str, text_col: str, limit: int) -> Iterat
 
 
 def _pass(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFrame:
-    """Scan column ``text`` for the items; adds to hit_words and items."""
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+    """Scan column ``text`` for the items; adds to hit_words, hit_bytes and items."""
+    shared, key = rows.sparkSession.sparkContext.broadcast(items), uuid4().hex
     schema, names = rows.schema, rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value, size)
+        scanner = _scanner(key, shared, size)
         for batch in batches:
             column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            counts, hits, found = [], [], []
+            counts, hits, places, found = [], [], [], []
             old = zip(column["hit_words"].to_pylist(), column["items"].to_pylist(), strict=True)
             for text, (had, names_before) in zip(column["text"], old, strict=True):
-                n, runs, own = scanner.scan(text.as_py() or b"")
+                body = text.as_py() or b""
+                n, runs, own = scanner.scan(body)
                 counts.append(n)
-                both = [(x["first"], x["past"]) for x in had or ()] + runs
-                hits.append([{"first": a, "past": b} for a, b in merged(both)])
+                both = merged([(x["first"], x["past"]) for x in had or ()] + runs)
+                hits.append([{"first": a, "past": b} for a, b in both])
+                at = word_offsets(body) if both else None
+                places.append([{"begin": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in both])
                 found.append(sorted({*(names_before or ()), *own}))
             column |= {
                 "n_words": pa.array(counts, pa.int64()),
                 "hit_words": pa.array(hits, batch.schema.field("hit_words").type),
+                "hit_bytes": pa.array(places, batch.schema.field("hit_bytes").type),
                 "items": pa.array(found, pa.list_(pa.string())),
             }
             yield pa.RecordBatch.from_arrays([column[n] for n in names], names)
@@ -141,20 +191,22 @@ def decontaminate(
 
     Returns for every row of ``docs``: row (the whole row as a struct, so other
     columns may have any names), text (binary), n_words, hit_words (runs of words
-    inside occurrences, as [first, past) word numbers) and items (names of items
-    with occurring windows, sorted as strings). ``word_offsets`` maps word numbers to
-    bytes of the original text. A null text has no words. Repeated rows and null
+    inside occurrences, as [first, past) word numbers), hit_bytes (the same runs as
+    [begin, end) bytes of the original text) and items (names of items with occurring
+    windows, sorted as strings). A null text has no words. Repeated rows and null
     ids are scanned like others; items that share an id count as one, and a null id
     is the string "null". Without items, or documents, nothing is found.
 
-    Documents are not shuffled. The automaton holds ``block_bytes`` of items'
-    text at most; a larger benchmark is scanned for in several passes.
+    Documents are not shuffled and read once. A block of items (``block_bytes`` of text, or
+    one item) is broadcast and made an automaton by each worker; a benchmark beyond that
+    is a stated set of queries that is scanned for block by block, within the same tasks.
+    A very long text is scanned by one task in time that grows with its length.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    none = "array<struct<first:long,past:long>>"
+    none, nowhere = "array<struct<first:long,past:long>>", "array<struct<begin:long,end:long>>"
     rows = docs.select(
         whole, F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(none).alias("hit_words"), F.array().cast("array<string>").alias("items"),
+        F.array().cast(none).alias("hit_words"), F.array().cast(nowhere).alias("hit_bytes"), F.array().cast("array<string>").alias("items"),
     )
     scanned = False
     for block in _blocks(items, item_id, item_text, block_bytes):

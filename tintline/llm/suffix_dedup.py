@@ -40,7 +40,7 @@ GRAM = 32
 #: taken; the same for all texts, as equal windows must have the same anchor.
 PLACE_BITS = U64(31)
 #: Text of a chunk, in bytes: finding its stretches takes some 40 times as much memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Batches that a table of documents is added to the index in.
 BATCHES = 4
 #: Windows that a shard is to hold, and stretches that are compared at once.
