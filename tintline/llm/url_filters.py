@@ -1,13 +1,13 @@
 """URL filters: allow and block rules as a sort-merge range join.
 
 The canonical key of a host is its labels in reverse order, each followed by a
-dot: ``www.example.net`` becomes ``net.example.www.``. All subdomains of a rule's
-host then form the interval from its key up to the key with its last dot replaced
-by a slash, the next character of the order. Intervals nest or are disjoint, so
-the rules that may apply to a host are those of the last interval end point at or
-before its key. Each end point carries that stack; a sweep over the union of URLs
-and end points in key order hands the latest stack on, and the longest rule of
-the stack whose path starts the URL's path decides.
+dot: ``www.example.net`` becomes ``net.example.www.``. What begins with a rule's key
+is an interval of the order, and intervals nest or are disjoint. So the rules that
+may fit a key are the last key of a rule at or before it and those that this one lies
+in: each rule carries that stack, and a sweep over the union of URLs and rules in
+key order hands the latest stack on. A first sweep finds the ruled hosts that a URL's
+host lies in, a second, by ruled host and path, the rules of each: in both a stack
+is as long as rules nest, however many rules a host has. The longest rule decides.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, lower_ascii
 
-RULE_FIELDS = "struct<len:int,rule:string,path:string,verdict:string>"
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """What follows the first ``://``: the host up to ``/ ? #``, the path up to ``? #``."""
@@ -34,40 +32,43 @@ def reversed_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(labels, "."), F.lit(".")))
 
 
-def _end_points(rules: DataFrame) -> DataFrame:
-    """(key, stack): the rules in force from this key on, up to the next end point."""
-    own = (
-        rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull() & (F.col("host") != ""))
-        .select(lower_ascii(F.col("host")).alias("h"), "path", "verdict")
-        .select(
-            reversed_key(F.col("h")).alias("k"),
-            F.struct(
-                F.length(F.concat("h", "path")).cast("int").alias("len"),
-                F.concat("h", "path").alias("rule"),
-                "path",
-                "verdict",
-            ).alias("r"),
-        )
-        .groupBy("k")
-        .agg(F.collect_set("r").alias("own"))
-    )
-    labels = F.split(F.expr("substring(k, 1, length(k) - 1)"), r"\.")
-    depth = own.select("k", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("d"), labels.alias("labels"))
-    above = depth.select("k", F.concat(F.array_join(F.slice("labels", 1, F.col("d")), "."), F.lit(".")).alias("a"))
-    ruled = own.select(F.col("k").alias("a"), "own")
-    stacks = (
-        above.join(ruled, "a")
-        .groupBy("k")
-        .agg(
-            F.flatten(F.collect_list("own")).alias("full"),
-            F.flatten(F.collect_list(F.when(F.col("a") != F.col("k"), F.col("own")))).alias("outer"),
-        )
-    )
-    starts = stacks.select(F.col("k").alias("key"), F.col("full").alias("stack"))
-    ends = stacks.select(
-        F.concat(F.expr("substring(k, 1, length(k) - 1)"), F.lit("/")).alias("key"), F.col("outer").alias("stack")
-    )
-    return starts.unionByName(ends)
+def _swept(rows: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the ``stack`` of the last of ``points`` at or before each in the order of ``by``.
+
+    Rows (with a unique ``uid``) and points are range-partitioned by ``by`` and uid, so a key
+    with a third of all rows is spread. Each partition is swept on its own; the stack that it
+    starts with is the last one of the partitions before it.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.withColumn("kind", F.lit(1)).unionByName(points.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    dealt = checkpointed(both.repartitionByRange(n, *by, "kind", "uid").withColumn("part", F.spark_partition_id()))
+    # one row for each partition
+    last = dealt.groupBy("part").agg(F.max_by(F.when(F.col("kind") == 0, F.col("stack")), F.when(F.col("kind") == 0, F.struct(*by))).alias("own"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(F.col("part").alias("of"), F.last("own", ignorenulls=True).over(before).alias("carry"))
+    sweep = Window.partitionBy("part").orderBy(*by, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.withColumn("here", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
+    joined = swept.join(carry, F.col("part") == F.col("of"), "left")
+    return joined.withColumn("stack", F.coalesce("here", "carry")).drop("kind", "part", "of", "here", "carry")
+
+
+def _host_points(rules: DataFrame) -> DataFrame:
+    """(key, stack): each ruled host's key, and the keys of the ruled hosts that it lies in, itself included."""
+    own = rules.select("key").distinct()
+    labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.")
+    depth = own.select("key", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("d"), labels.alias("labels"))
+    above = depth.select("key", F.concat(F.array_join(F.slice("labels", 1, F.col("d")), "."), F.lit(".")).alias("a"))
+    return above.join(own.withColumnRenamed("key", "a"), "a").groupBy("key").agg(F.collect_list("a").alias("stack"))
+
+
+def _path_points(rules: DataFrame) -> DataFrame:
+    """(host_key, path, stack): each rule's path, and those of its host's rules that it begins with."""
+    best = rules.groupBy("key", "path").agg(F.min(F.struct("rule", "verdict")).alias("r"))
+    starts = best.select("key", "path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
+    starts = starts.select("key", "path", F.expr("substring(path, 1, n)").alias("start"))
+    named = best.select("key", F.col("path").alias("start"), F.struct(F.col("key").alias("of"), "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict")).alias("x"))
+    found = starts.join(named, ["key", "start"]).groupBy("key", "path").agg(F.collect_list("x").alias("stack"))
+    return found.select(F.col("key").alias("host_key"), "path", "stack")
 
 
 def url_filters(
@@ -85,48 +86,24 @@ def url_filters(
     columns of ``pages`` are not read. Rules with a null or empty host or a null
     path fit nothing; without rules all get the default.
 
-    The URLs are range-partitioned by key and id, so a host with a third of all
-    rows is spread over several partitions. Each partition is swept on its own;
-    the stack that it starts with is the last one of the partitions before it.
+    URLs are dealt out by ranges of keys and rows, so a host with a third of all rows is
+    spread over several partitions, and so is a path of a host. A URL meets a row for
+    each ruled host that its host lies in, and carries rules as far as they nest.
     """
-    spark = pages.sparkSession
-    host, path = host_and_path(F.col("u"))
-    urls = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u")).select(
-        reversed_key(host).alias("key"), F.lit(1).alias("kind"), "i", "u"
-    )
-    points = _end_points(rules).select("key", F.lit(0).alias("kind"), "stack")
-    both = urls.unionByName(points, allowMissingColumns=True).withColumn("stack", F.col("stack").cast(f"array<{RULE_FIELDS}>"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(
-        both.repartitionByRange(n, "key", "kind", "i").withColumn("part", F.spark_partition_id())
-    )
-    # one row for each partition that has end points: the last of them, for the partitions after it
-    last = dealt.filter("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("before"))
-    parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows_in_part"))
-    carry = parts.join(last, "part", "left").select(
-        "part",
-        F.last("before", ignorenulls=True)
-        .over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        .alias("carry"),
-    )
-    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        dealt.withColumn("here", F.last("stack", ignorenulls=True).over(sweep))
-        .filter("kind = 1")
-        .join(carry, "part", "left")
-        .withColumn("stack", F.coalesce("here", "carry"))
-    )
     host, path = host_and_path(F.col("u"))
-    seen = swept.select("i", host.alias("h"), path.alias("p"), "stack")
-    best = F.expr(
-        "try_element_at(array_sort(filter(stack, r -> startswith(p, r.path)),"
-        " (a, b) -> CASE WHEN a.len != b.len THEN b.len - a.len WHEN a.rule < b.rule THEN -1"
-        " WHEN a.rule > b.rule THEN 1 ELSE 0 END), 1)"
+    named = checkpointed(
+        pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"))
+        .withColumn("uid", F.monotonically_increasing_id())
+        .select("uid", "i", host.alias("h"), path.alias("p"))
     )
-    return seen.withColumn("best", best).select(
-        F.col("i").alias(id_col),
-        F.col("h").alias("host"),
-        F.col("p").alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+    ruled = rules.filter("host IS NOT NULL AND path IS NOT NULL AND host != ''").select(lower_ascii(F.col("host")).alias("h"), "path", "verdict")
+    ruled = checkpointed(ruled.select(reversed_key(F.col("h")).alias("key"), "path", F.concat("h", "path").alias("rule"), "verdict"))
+    hosts = _swept(named.select(reversed_key(F.col("h")).alias("key"), "uid", "p"), _host_points(ruled), ["key"])
+    # the last stack may be of a host that this one doesn't lie in
+    hosts = hosts.select("uid", "p", F.explode(F.filter("stack", lambda a: F.col("key").startswith(a))).alias("host_key"))
+    paths = _swept(hosts.withColumnRenamed("p", "path"), _path_points(ruled), ["host_key", "path"])
+    fits = paths.select("uid", F.explode(F.filter("stack", lambda r: (r["of"] == F.col("host_key")) & F.col("path").startswith(r["path"]))).alias("r"))
+    best = fits.groupBy("uid").agg(F.min(F.struct((-F.length("r.rule")).alias("n"), "r.rule", "r.verdict")).alias("r"))
+    return named.join(best.select("uid", "r.rule", "r.verdict"), "uid", "left").select(
+        F.col("i").alias(id_col), F.col("h").alias("host"), F.col("p").alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
