@@ -33,35 +33,37 @@ def line_dedup(
     text is one empty line, and its text comes back empty. Other columns are not
     read.
 
-    Keys are taken once per document before the shuffle and counted with partial
-    sums, so a line in a third of all rows is a few rows for each task. The join
-    that finds the lines to drop has one small row per key on its other side;
-    adaptive execution splits the large side where a key is hot.
+    Lines travel as hash and position. Keys are taken once per document before the
+    shuffle and counted with partial sums, so a line in a third of all rows is a few rows
+    for each task. The join that finds the lines to drop has one small row per key on its
+    other side; adaptive execution splits the large side where a key is hot. What is
+    left of a text is put together from its lines by position, in steps that grow with
+    its number of lines.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n", -1)
-    long_keys = F.filter(
-        F.transform(F.filter(lines, lambda x: F.length(x) >= min_length), line_key),
-        lambda k: F.length(k) >= min_length,
+    # (pos, a, b) of each line whose key is long enough
+    keyed_lines = F.filter(
+        F.transform(lines, lambda x, k: F.struct(k.alias("pos"), F.when(F.length(x) >= min_length, line_key(x)).alias("key"))),
+        lambda s: F.length(s["key"]) >= min_length,
     )
-    keyed = docs.select(F.col(id_col).alias("i"), F.explode(F.array_distinct(F.transform(long_keys, _digest))).alias("h"))
-    shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("keeper")).filter(F.col("n") >= min_docs)
+    marks = F.transform(keyed_lines, lambda s: F.struct(s["pos"].alias("pos"), _digest(s["key"]).alias("h")))
+    rows = docs.select(F.col(id_col).alias("i"), text.alias("t"), marks.alias("marks"))
+    # rows that share an id are told apart by their texts
+    rows = rows.withColumns({"d0": F.xxhash64("i", "t"), "d1": F.xxhash64(F.lit(7), F.col("i"), F.col("t"))})
+    once = rows.select("i", F.explode(F.array_distinct(F.transform("marks", lambda m: m["h"]))).alias("h"))
+    shared = once.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("keeper")).filter(F.col("n") >= min_docs)
     shared = checkpointed(shared.select("h", "keeper"))
     loses = F.col("keeper").isNotNull() & (F.col("i").isNull() | (F.col("i") < F.col("keeper")))
-    drops = (
-        keyed.join(shared, "h").filter(loses).groupBy(F.col("i").alias("di")).agg(F.collect_set("h").alias("drop"))
-    )
-    base = docs.select(F.col(id_col).alias("i"), text.alias("t"))
-    joined = base.join(drops, F.col("i").eqNullSafe(F.col("di")), "left")
-    all_lines = F.split("t", "\n", -1)
-    kept = F.filter(
-        all_lines,
-        lambda x: ~(F.length(line_key(x)) >= min_length) | ~F.array_contains(F.col("drop"), _digest(line_key(x))),
-    )
-    out = joined.select("i", "t", "drop", F.when(F.col("drop").isNotNull(), kept).alias("kept"))
-    return out.select(
+    placed = rows.select("i", "d0", "d1", F.explode("marks").alias("m")).select("i", "d0", "d1", "m.pos", "m.h")
+    drops = placed.join(shared, "h").filter(loses).groupBy("d0", "d1").agg(F.collect_set("pos").alias("drop"))
+    joined = rows.select("i", "t", "d0", "d1").join(drops, ["d0", "d1"], "left")
+    split = F.split("t", "\n", -1)
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("drop"))
+    kept = F.element_at(F.transform(F.array(split), lambda x: F.transform(places, lambda k: F.get(x, k))), 1)
+    return joined.select(
         F.col("i").alias(id_col),
-        F.when(F.col("kept").isNull(), F.col("t")).otherwise(F.array_join("kept", "\n")).alias(text_col),
-        F.size(all_lines).cast("long").alias("n_lines"),
-        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(all_lines) - F.size("kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("drop").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias(text_col),
+        F.size(split).cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
