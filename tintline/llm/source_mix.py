@@ -9,6 +9,8 @@ from .common import checkpointed, words
 
 #: The exponent is found on the grid k / GRID, by passes that each try FAN - 1 inner points.
 GRID, FAN = 2**20, 32
+#: Blocks whose sums are added up first: a source's window has a row for each such group, then one for each of its blocks.
+BLOCK_GROUP = 1024
 #: Sources up to which the plan, a short row for each, is broadcast; beyond, it is joined by shuffles.
 SMALL_PLAN = 10_000
 
@@ -94,27 +96,20 @@ def mixing_plan(
         F.ceil(F.col("n_rows") / rows_per_block).alias("blocks"),
     ).withColumn("full_epochs", F.floor("epochs"))
     plan = plan.withColumn("rest", F.floor((F.col("epochs") - F.col("full_epochs")) * F.col("tokens")))
-    # the last permutation's blocks, summed; the block that the budget ends in; its rows in order
+    # where the last permutation's budget ends: among groups of blocks, then blocks, then rows
     dealt = narrow.join(plan.select(F.col("s").alias("ps"), "blocks", "full_epochs", "rest"), F.col("s").eqNullSafe(F.col("ps"))).select(
         "s", "t", "rest", perm_key("i", "full_epochs", seed).alias("k"), "blocks"
-    ).withColumn("b", block_of("k", "blocks"))
-    by_block = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (
-        dealt.groupBy("s", "b", "rest")
-        .agg(F.sum("t").alias("bt"))
-        .withColumn("upto", F.sum("bt").over(by_block))
-        .filter("upto > rest AND upto - bt <= rest")
-        .groupBy("s")
-        .agg(F.min_by(F.struct("b", (F.col("upto") - F.col("bt")).alias("before")), "b").alias("e"))
-        .select(F.col("s").alias("es"), F.col("e.b").alias("eb"), F.col("e.before").alias("before"))
-    )
+    ).withColumn("b", block_of("k", "blocks")).withColumn("g", F.floor(F.col("b") / BLOCK_GROUP))
+    first = _edge(dealt.withColumn("before", F.lit(0).cast("long")), "g")
+    group = dealt.join(first, F.col("s").eqNullSafe(F.col("es")) & (F.col("g") == F.col("e"))).drop("es", "e")
+    edge = _edge(group, "b")
     within = Window.partitionBy("s").orderBy("k").rangeBetween(Window.unboundedPreceding, 0)
     last = (
-        dealt.join(edge, F.col("s").eqNullSafe(F.col("es")) & (F.col("b") == F.col("eb")))
+        dealt.join(edge, F.col("s").eqNullSafe(F.col("es")) & (F.col("b") == F.col("e")))
         .withColumn("upto", F.col("before") + F.sum("t").over(within))
-        .groupBy("s", "eb")
+        .groupBy("s", "e")
         .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("k"))).alias("last_key"))
-        .select(F.col("s").alias("es"), F.col("eb").alias("last_block"), "last_key")
+        .select(F.col("s").alias("es"), F.col("e").alias("last_block"), "last_key")
     )
     return plan.join(last, F.col("s").eqNullSafe(F.col("es")), "left").select(
         F.col("s").alias("source"), "n_rows", "tokens", "weight", "epochs", "full_epochs", "blocks",
@@ -123,6 +118,20 @@ def mixing_plan(
     )
 
 
+def _edge(dealt: DataFrame, by: str) -> DataFrame:
+    """(es, e, before): each source's value of ``by`` that the budget ends in, and the tokens before it."""
+    so_far = Window.partitionBy("s").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        dealt.groupBy("s", by, "rest", "before")
+        .agg(F.sum("t").alias("bt"))
+        .withColumn("upto", F.col("before") + F.sum("bt").over(so_far))
+        .filter(F.col("upto") > F.col("rest"))
+        .groupBy("s")
+        .agg(F.min_by(F.struct(F.col(by).alias("e"), (F.col("upto") - F.col("bt")).alias("before")), by).alias("x"))
+        .select(F.col("s").alias("es"), "x.e", "x.before")
+    )
+
+
 def perm_key(i: str, epoch: str, seed: int):
     """The place of a row in its source's permutation for an epoch: keys sort in random order."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.col(i)))
