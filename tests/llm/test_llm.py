@@ -22,7 +22,7 @@ from tintline.llm.html_text import extract_text, html_to_text
 from tintline.llm.jaccard_join import jaccard_join, one_of_each_group
 from tintline.llm.line_dedup import line_dedup
 from tintline.llm.lm_score import lm_score
-from tintline.llm.quality_rules import quality_filter, quality_rules
+from tintline.llm.quality_rules import Rule, cascade_order, quality_filter, quality_rules
 from tintline.llm.source_mix import mix_rows, mixing_plan
 from tintline.llm.suffix_dedup import Stretches, SuffixIndex, repeated_windows, suffix_dedup
 from tintline.llm.token_output import Encoder, pack_bits, read_digest, read_ids, token_folder, unpack_bits, write_tokens
@@ -191,6 +191,35 @@ def test_url_filters(spark):
     assert url_filters(pages.limit(0), rules).count() == 0
 
 
+def test_url_filters_hot_host(spark):
+    """Most URLs are of one host that has many rules, over more partitions than usual."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        r = random.Random(6)
+        rules = [("hot.example", "/" + "".join(r.choice("ab/") for _ in range(r.randrange(6))), r.choice(["allow", "block"])) for _ in range(300)]
+        rules = list({(h, p): (h, p, v) for h, p, v in rules}.values()) + [("example", "/a", "block"), ("x.hot.example", "/", "allow")]
+        urls = [f"http://{r.choice(['hot.example', 'hot.example', 'x.hot.example', 'q.hot.example', 'example', 'hot.examples'])}/" + "".join(r.choice("ab/c") for _ in range(r.randrange(9))) for _ in range(900)]
+        want = []
+        for k, u in enumerate(urls):
+            host, path = u[7:].split("/", 1)[0], "/" + u[7:].split("/", 1)[1]
+            fit = [(-len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            want.append((k, host, path, *(min(fit)[1:] if fit else (None, "allow"))))
+        got = url_filters(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+        assert bag(got, "page_id", "host", "path", "rule", "verdict") == collections.Counter(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_cascade_order(spark):
+    """Rules that reject much for their cost come first; what an earlier one rejects doesn't count again."""
+    texts = spark.createDataFrame([(" ".join(f"{'bad' if k % 2 else 'good'}{k}x{j}" for j in range(60)),) for k in range(200)], "text string")
+    slow = "aggregate(sequence(1, 3000), 0L, (s, i) -> s + i * n_words) < 0"
+    rules = (Rule("slow", f"text LIKE 'bad%' OR {slow}"), Rule("never", "n_words < 0"), Rule("quick", "text LIKE 'bad%'"))
+    assert [x.name for x in cascade_order(texts, rules)][0] == "quick"
+    assert [x.name for x in cascade_order(texts, rules)][2] == "slow"
+
+
 def lines_without(rows, min_length=40, min_docs=5):
     holders, white = collections.defaultdict(list), " \t\n\x0b\x0c\r"
     key = lambda x: "".join(c.lower() if c < "\x7f" else c for c in x.strip(white))

@@ -157,13 +157,13 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 b AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
-    coalesce(c.n, 0) AS n_repeat_words, text, w, string_split(text, chr(10)) AS al FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+    coalesce(c.n, 0) AS n_repeat_words, text, w FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-    NOT (base_failed OR n_symbols > 0.3 * n_words OR (len(al) >= 4 AND len(list_distinct(al)) < 0.4 * len(al))
-    OR NOT word_chars BETWEEN 2 * n_words AND 20 * n_words
+    NOT (base_failed OR n_symbols > 0.3 * n_words OR (len(ls) >= 4 AND len(list_distinct(ls)) < 0.4 * len(ls))
     OR len(regexp_extract_all(text, '\p{{L}}')) < 0.5 * word_chars
-    OR list_max(list_transform(w, lambda x: length(x))) > 1000) AS kept
+    OR (len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')) < 0.3 * word_chars
+        AND (NOT word_chars BETWEEN 2 * n_words AND 20 * n_words OR list_max(list_transform(w, lambda x: length(x))) > 1000))) AS kept
 FROM f""",
     "op6_source_mix": rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS t FROM documents),
