@@ -52,6 +52,8 @@ from .packed import (
 SMALL, SMALL_LANES = 64, 20
 #: Lanes (of both bands) for each byte of text, to size the hash ranges.
 LANES_PER_BYTE = 0.12
+#: Pairs of a hub that meet in one place; hubs of more up to which their list is broadcast (beyond, it is joined by shuffles).
+HUB_PAIRS, SMALL_HUBS = 128, 10_000
 #: Bits of the dense sketch.
 SKETCH_BITS = 1024
 ROW = "uid long, doc_id long, n long, own long, sig_a long, sig_b long, keys array<long>, sketch array<long>, body binary"
@@ -179,9 +181,15 @@ def _verified(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # the first of a pair is the one that many pairs share: its text joins last
-    named = pairs.join(bodies.select(F.col("uid").alias("v"), F.col("body").alias("bv")), "v")
-    named = named.join(bodies.select(F.col("uid").alias("u"), F.col("body").alias("bu")), "u")
+    # the first of a pair is the one that many pairs share: its pairs are dealt out by salt, its text sent once for each
+    pairs = checkpointed(pairs)
+    hubs = checkpointed(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("parts")).filter("parts > 1"))
+    if hubs.limit(SMALL_HUBS + 1).count() <= SMALL_HUBS:
+        hubs = F.broadcast(hubs)
+    salt = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).alias("salt")
+    salted = pairs.join(hubs, "u", "left").select("u", "v", salt)
+    first = salted.select("u", "salt").distinct().join(bodies.select(F.col("uid").alias("u"), F.col("body").alias("bu")), "u")
+    named = salted.join(bodies.select(F.col("uid").alias("v"), F.col("body").alias("bv")), "v").join(first, ["u", "salt"])
     return named.select("u", "v", "bu", "bv").mapInArrow(run, "u long, v long")
 
 

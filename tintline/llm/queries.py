@@ -71,7 +71,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(table(spark, sf_dir, "documents"))
+    scored = lm_score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log10_score", "log10_per_word")})
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +166,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls))
     OR (len(regexp_extract_all(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]')) < 0.3 * word_chars
         AND (NOT word_chars BETWEEN 2 * n_words AND 20 * n_words OR list_max(list_transform(w, lambda x: length(x))) > 1000))) AS kept
 FROM f""",
+    "op7_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, i, md5(t[i + 1:i + 200]) AS k FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 199)) AS i FROM d WHERE octet_length(t) >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+s AS (SELECT doc_id, min(i) AS b, max(i) + 200 AS e FROM g GROUP BY doc_id, run),
+x AS (SELECT doc_id, b, e FROM s UNION ALL SELECT doc_id, octet_length(t), NULL FROM d),
+p AS (SELECT doc_id, b, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b, e NULLS LAST), 0) AS a FROM x),
+k AS (SELECT doc_id, string_agg(hex(t[a + 1:b]), '' ORDER BY b, a) AS h FROM p JOIN d USING (doc_id) WHERE b > a GROUP BY doc_id),
+c AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op9_lm_score": rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS a, w[i - 1] AS z, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS y,
+    CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n1 AS (SELECT a AS g, count(*) AS n FROM p GROUP BY a), n2 AS (SELECT b AS g, count(*) AS n FROM p GROUP BY b), n3 AS (SELECT c AS g, count(*) AS n FROM p GROUP BY c),
+s AS (SELECT doc_id, CASE WHEN i > 2 AND n3.n >= 2 THEN log10(n3.n / y2.n)
+    WHEN i > 1 AND n2.n >= 2 THEN log10(n2.n / z1.n) + CASE WHEN i > 2 THEN log10(0.4) ELSE 0 END
+    ELSE log10(n1.n / (SELECT count(*) FROM p)) + least(i - 1, 2) * log10(0.4) END AS x
+    FROM p JOIN n1 ON n1.g = p.a LEFT JOIN n1 z1 ON i > 1 AND z1.g = p.z LEFT JOIN n2 ON n2.g = p.b LEFT JOIN n2 y2 ON y2.g = p.y LEFT JOIN n3 ON n3.g = p.c)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, round(sum(x), 6) AS log10_score, round(sum(x) / len(any_value(w)), 6) AS log10_per_word
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, len(w)""",
     "op6_source_mix": rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS}) AS t FROM documents),
 s AS (SELECT source, count(*) AS n, sum(t)::BIGINT AS tokens FROM d GROUP BY source),
