@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from tintline.functions import aliases
 from tintline.functions.controls import has_ctl, has_sgr, nchar_ctl, nchar_sgr, nzchar_ctl, nzchar_sgr, strip_ctl, strip_sgr
 from tintline.functions.demo import color_lines, default_css, default_term_cap, palette_chart, print_text, term_cap_test, unicode_version
-from tintline.functions.html import html_esc, make_styles, to_html
+from tintline.functions.html import html_esc, make_styles, output_block, to_html
 from tintline.functions.state import bridge, close_state, events, normalize_state, state_at_end
-from tintline.functions.text import overlay_ctl, strsplit_ctl, strtrim_ctl, strwrap_ctl, substr_ctl, tabs_as_spaces, trimws_ctl
+from tintline.functions.text import overlay_ctl, squeeze_space, strsplit_ctl, strtrim_ctl, strwrap_ctl, substr_ctl, tabs_as_spaces, trimws_ctl
 from tintline.operators.carry import carried
 from tintline.operators.tables import code_blocks, exploded, lines, unhandled_ctl
 from tintline.sources.text import read_documents, write_page
@@ -60,7 +61,7 @@ def test_kinds(spark):
 def test_width(spark):
     cases = {
         "plain": (5, 5), "一丁": (4, 2), "é": (1, 1), "\U0001f468": (2, 1), "\U0001f468\U0001f3fe": (2, 1),
-        "\U0001f468\U0001f3fe‍\U0001f9b3": (2, 1), "\U0001f468‍\U0001f469‍\U0001f467‍\U0001f466": (2, 1), "\U0001f1e6\U0001f1e7": (2, 1), "a­b": (3, 3), "": (0, 0),
+        "\U0001f468\U0001f3fe‍\U0001f9b3": (2, 1), "\U0001f468‍\U0001f469‍\U0001f467‍\U0001f466": (2, 1), "\U0001f1e6\U0001f1e7": (2, 1), "\U0001f1e6": (2, 1), "\U0001f1e6\U0001f1e7\U0001f1e6": (4, 2), "a­b": (3, 3), "": (0, 0),
     }
     found = each(spark, list(cases), lambda x: nchar_ctl(x, "width"), lambda x: nchar_ctl(x, "graphemes"))
     assert dict(zip(cases, found, strict=True)) == cases
@@ -74,11 +75,33 @@ def test_states(spark):
     assert found[1] == (f"{E}[33;44m", f"{E}[39m{E}[49m", f"{E}[0m")
     assert found[2] == ("", "", "")
     assert found[3][0] == f"{E}[38;2;1;2;3m"
+    assert found[4] == ("", "", "")
     assert found[5] == ("", "", "") and found[6] == (None, "", "")
     link = f"{E}]8;id=a;http://x.y{E}\\"
     assert each(spark, [f"{link}z"], state_at_end, close_state) == [(link, f"{E}]8;;{E}\\")]
 
 
+def test_colours_with_wrong_parameters(spark):
+    """A selector takes its parameters with it, right or wrong; another selector is a code of its own."""
+    cases = {"38;5;300": "", "38;5": "", "38": "", "48;2;1;2;999": "", "48;2;1;2": "", "38;5;300;1": "1", "48;2;999;1;1;3": "3", "38;7;1": "1;7", "38;7": "",
+             "38;5;;4": "4;38;5;0", "038;05;007": "38;5;7", "38;2;1;2;3;9": "9;38;2;1;2;3", "38;999;1": "1", "38;1!;4": "4", "1;;4": "4", "9999;1": "1", "38;5;1!": ""}
+    assert dict(zip(cases, each(spark, [f"{E}[{c}mx" for c in cases], state_at_end), strict=True)) == {c: f"{E}[{v}m" if v else "" for c, v in cases.items()}
+    old = lambda x: state_at_end(x, term_cap=("256", "old"))
+    found = each(spark, [f"{E}[91;1mx", f"{E}[38;2;1;4;9mx", f"{E}[38;5;9mx"], old, lambda x: state_at_end(x, term_cap=("bright",)))
+    assert found == [(f"{E}[1m", f"{E}[1;91m"), (f"{E}[1;2;4;9m", f"{E}[38;2;1;4;9m"), (f"{E}[38;5;9m", f"{E}[38;5;9m")]
+    with pytest.raises(ValueError):
+        state_at_end(F.lit("x"), term_cap=("nope",))
+
+
+def test_normalize_twice(spark):
+    r = random.Random(13)
+    codes = "0 1 2 3 4 7 9 20 21 22 24 31 92 39 44 38;5;7 48;2;1;2;3 38;5;300 51 54".split()
+    texts = ["".join(f"{E}[{';'.join(r.choices(codes, k=r.randint(0, 3)))}m{'x' * r.randint(0, 2)}" for _ in range(r.choice([3, 70, 200]))) for _ in range(12)]
+    found = each(spark, texts, normalize_state, lambda x: normalize_state(normalize_state(x)), state_at_end, lambda x: state_at_end(normalize_state(x)), lambda x: strip_ctl(normalize_state(x)), strip_ctl)
+    for once, twice, end, end_once, text, stripped in found:
+        assert once == twice and end == end_once and text == stripped
+
+
 @pytest.mark.parametrize("normalize", [False, True])
 def test_bridge(spark, normalize):
     """Whatever the states, what stands behind the bridge is the second."""
@@ -113,6 +136,26 @@ def test_overlay_and_trims(spark):
     assert each(spark, ["1\t12\t123", f"a{E}[31m\tb", "x\n\ty", None], tabs_as_spaces) == ["1       12      123", f"a{E}[31m       b", "x\n        y", None]
 
 
+def test_overlay_options(spark):
+    red = f"{E}[31mabcdef"
+    mark = F.lit(f"{E}[1mXY")
+    assert each(spark, [red], lambda x: overlay_ctl(x, mark, 2, 3), lambda x: overlay_ctl(x, mark, 2, 3, normalize=True), lambda x: overlay_ctl(x, mark, 2, 3, terminate=False)) == [
+        (f"{E}[31ma{E}[0m{E}[1mXY{E}[0m{E}[31mdef{E}[0m", f"{E}[31ma{E}[39m{E}[1mXY{E}[22m{E}[31mdef{E}[39m", f"{E}[31ma{E}[1mXYdef"),
+    ]
+    assert each(spark, ["abc"], lambda x: overlay_ctl(x, F.lit("Z"), 2, 2, carry=events(F.lit(f"{E}[4m")))) == [f"{E}[4ma{E}[0mZ{E}[4mc{E}[0m"]
+    assert each(spark, ["a\tb"], lambda x: overlay_ctl(x, F.lit("ZZ"), 2, 3, tab_stops=(4,))) == ["aZZ b"]
+    # a wide character has no room in one column, and two columns' room for one of two
+    assert each(spark, ["abcdef"], *[lambda x, r=r: overlay_ctl(x, F.lit("一丁"), 2, 4, "width", r) for r in ("start", "stop", "both", "neither")]) == [("a一def", "a一def", "a一def", "a一def")]
+    assert each(spark, ["abc"], lambda x: overlay_ctl(x, F.lit("一"), 2, 2, "width"), lambda x: overlay_ctl(x, F.lit("Z"), 9, 9), lambda x: overlay_ctl(x, F.lit(None).cast("string"), 1, 1)) == [("abc", "abc", None)]
+
+
+def test_nchar_invalid(spark):
+    frame = spark.createDataFrame([(b"ab\xff",), (b"abc",)], "b binary").select(F.col("b").cast("string").alias("x"))
+    assert [r[0] for r in frame.select(nchar_ctl(F.col("x"), allow_na=True)).collect()] == [None, 3]
+    with pytest.raises(Exception, match="valid UTF-8"):
+        frame.select(nchar_ctl(F.col("x"), allow_na=False)).collect()
+
+
 def test_split(spark):
     texts = ["a,b,,c,", ",a", "", None, "abc", "a, b"]
     assert each(spark, texts, lambda x: strsplit_ctl(x, ",")) == [["a", "b", "", "c"], ["", "a"], [], None, ["abc"], ["a", " b"]]
@@ -139,6 +182,38 @@ def test_wrap(spark):
     assert each(spark, ["a b"], lambda x: strwrap_ctl(x, 20, prefix="> ", indent=1)) == [[">  a b"]]
 
 
+def test_wrap_colored_is_wrap_of_plain(spark):
+    """Stripped lines of a coloured text are the lines of the stripped text, whatever stands between its words."""
+    r = random.Random(7)
+    gaps, words = [" ", "  ", "\n", "\n\n", " \t ", f" {E}[31m", f"{E}[0m ", f" {E}[1m {E}[4m {E}[0m ", f"{E}[2m"], ["a", "bcd.", "efghi", "(j!)", "klmnopqrst", "uvw?\"", "一丁", "e\u0301x"]
+    texts = ["".join(r.choice(words[: 6 if k % 2 else 8]) + r.choice(gaps) for _ in range(r.randint(0, 60))) for k in range(40)]
+    found = each(spark, texts, *[lambda x, w=w: F.transform(strwrap_ctl(x, w), lambda t: strip_ctl(t)) for w in (6, 20)], *[lambda x, w=w: strwrap_ctl(strip_ctl(x, ("all", "nl")), w) for w in (6, 20)])
+    for text, row in zip(texts, found, strict=True):
+        assert row[0] == row[2] and row[1] == row[3], text
+    sized = each(spark, texts, lambda x: F.transform(strwrap_ctl(x, 20), lambda t: F.struct(strip_ctl(t).alias("t"), nchar_ctl(t, "width").alias("w"))))
+    assert all(line.w <= 19 or " " not in line.t for row in sized for line in row)
+
+
+def test_wrap_white_space(spark):
+    bar = "a" + "".join(f" {E}[4{k % 8}m" for k in range(12)) + " b"
+    assert each(spark, [bar, "a\ufdd0b c\ufdd1d", "one.  Two   three.\nFour", "\n\n x \n \n y\n\n"], lambda x: strip_ctl(squeeze_space(x), ("all", "nl"))) == [
+        "a b", "a\ufdd0b c\ufdd1d", "one.  Two three. Four", "x\n\ny"]
+    assert each(spark, ["aa bb cc dd"], lambda x: strwrap_ctl(x, 9, prefix="> ", exdent=2), lambda x: strwrap_ctl(x, 3)) == [(["> aa bb", ">   cc", ">   dd"], ["aa", "bb", "cc", "dd"])]
+    long = " ".join(["word"] * 40_000)
+    assert each(spark, [long, f"{E}[1m{long}"], lambda x: F.size(strwrap_ctl(x, 61))) == [3334, 3334]
+
+
+def test_split_and_trim_carry(spark):
+    bold = events(F.lit(f"{E}[1m"))
+    assert each(spark, ["a b"], lambda x: strsplit_ctl(x, " ", carry=bold)) == [[f"{E}[1ma{E}[0m", f"{E}[1mb{E}[0m"]]
+    assert each(spark, [f" {E}[31m a"], lambda x: trimws_ctl(x, ctl="url"), lambda x: trimws_ctl(x)) == [(f"{E}[31m a", f"{E}[31ma")]
+
+
+def test_output_block(spark):
+    assert each(spark, [f"a<{E}[1mb", "a<b", None], lambda x: output_block(x, "k")) == [
+        '<PRE class="k"><CODE>a&lt;<span style=\'font-weight: bold;\'>b</span></CODE></PRE>', "a<b", None]
+
+
 def test_html(spark):
     x = f"hello{E}[31;42;1mworld{E}[m"
     assert each(spark, [x, "plain", None], to_html) == [
@@ -173,14 +248,14 @@ def test_tables(spark, tmp_path):
     bad = spark.createDataFrame([(1, f"foo{E}[22>m"), (2, "fine"), (3, None), (4, f"ab{E}")], "k int, t string")
     assert [(r.k, r.start, r.stop, r.error) for r in unhandled_ctl(bad, "t").orderBy("k").collect()] == [(1, 4, 9, "invalid-substr"), (4, 3, 3, "malformed-ESC")]
     blocks = code_blocks(spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "d int, n int, x string"), "x", ["d"], "n")
-    assert blocks.first().html == "<PRE class='term'><CODE>a\nb</CODE></PRE>"
+    assert blocks.first().html == '<PRE class="term"><CODE>a\nb</CODE></PRE>'
     write_page(blocks, "html", "d", str(tmp_path / "page"), css=(default_css(),))
     assert "<CODE>a" in "\n".join(r.text for r in read_documents(spark, str(tmp_path / "page" / "*.txt")).collect())
 
 
 def test_demo(spark, monkeypatch):
     assert each(spark, ["A", ""], lambda x: color_lines(x, F.lit(1))) == [f"{E}[37;48;5;18mA{E}[39;49m", ""]
-    assert palette_chart(spark).count() > 20 and unicode_version() == "17.0.0" and len(term_cap_test()) == 3
+    assert palette_chart(spark).count() > 20 and unicode_version() == unicodedata.unidata_version and len(term_cap_test()) == 3
     print_text(["x"])
     monkeypatch.setenv("COLORTERM", "truecolor")
     assert "truecolor" in default_term_cap()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .width import graphemes_of, width_of
 
+# The names of the kinds of control sequences.
 KINDS = ("nl", "c0", "sgr", "csi", "esc", "url", "osc")
 Ctl = str | Iterable[str]
 
@@ -68,11 +69,12 @@ def strip_ctl(x: Column, ctl: Ctl = "all") -> Column:
     return F.regexp_replace(x, F.lit(pattern), F.lit("")) if pattern else x
 
 
-def nchar_ctl(x: Column, type: str = "chars", ctl: Ctl = "all", keep_na: bool | None = None) -> Column:
+def nchar_ctl(x: Column, type: str = "chars", ctl: Ctl = "all", keep_na: bool | None = None, allow_na: bool | None = None) -> Column:
     """Length of ``x`` without controls, in chars, bytes, width or graphemes.
 
     Null stays null for chars and bytes and counts 2 for width and graphemes;
-    ``keep_na`` True or False makes it one or the other for all.
+    ``keep_na`` True or False makes it one or the other for all. A text that isn't valid
+    UTF-8 gives null if ``allow_na`` is True, an error if it is False; None doesn't look.
     """
     rest = strip_ctl(x, ctl)
     measures = {"chars": F.char_length, "bytes": F.octet_length, "width": width_of, "graphemes": graphemes_of}
@@ -80,7 +82,11 @@ def nchar_ctl(x: Column, type: str = "chars", ctl: Ctl = "all", keep_na: bool |
         raise ValueError(f"type: {type!r} is none of {', '.join(measures)}")
     counted = measures[type](rest).cast("int")
     keep = type in ("chars", "bytes") if keep_na is None else keep_na
-    return counted if keep else F.coalesce(counted, F.lit(2))
+    found = counted if keep else F.coalesce(counted, F.lit(2))
+    if allow_na is None or type == "bytes":
+        return found
+    invalid = F.lit(None).cast("int") if allow_na else F.raise_error("a text is not valid UTF-8").cast("int")
+    return F.when(F.coalesce(F.is_valid_utf8(x), F.lit(True)), found).otherwise(invalid)
 
 
 def nzchar_ctl(x: Column, ctl: Ctl = "all", keep_na: bool = False) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .width import UNICODE_VERSION
 
+# The style sheet, and the codes of the capability test.
 CSS = "PRE.term SPAN {padding-top: .25em; padding-bottom: .25em};"
 
 
@@ -22,9 +23,11 @@ def color_lines(x: Column, line: Column, step: int = 1) -> Column:
     return F.when(x == "", x).otherwise(colored)
 
 
+TERM_CAP_CODES = {"bright": "91;104", "256": "38;5;196;48;5;21", "truecolor": "38;2;255;0;0;48;2;0;0;255"}
+
+
 def term_cap_test() -> list[str]:
-    tests = {"bright": "91;104", "256": "38;5;196;48;5;21", "truecolor": "38;2;255;0;0;48;2;0;0;255"}
-    found = [f"\x1b[{code}m{name:<9}\x1b[0m" for name, code in tests.items()]
+    found = [f"\x1b[{code}m{name:<9}\x1b[0m" for name, code in TERM_CAP_CODES.items()]
     for text in found:
         print(f"{text}  ->  {text.replace(chr(27), chr(92) + '033')}")
     return found
@@ -59,4 +62,5 @@ def default_css() -> str:
 
 
 def unicode_version() -> str:
+    """Of the width tables, which are Python's own and the ranges that became wide later."""
     return UNICODE_VERSION

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .controls import control_pattern
-from .state import SPECIAL, events, fold_pieces, let, nothing, register, then
+from .controls import control_pattern, has_ctl
+from .state import SPECIAL, TermCap, events, fold_pieces, let, nothing, register, then
 
 # The 16 basic colours, the steps of the colour cube, and the style of each register.
 BASIC = (
@@ -61,9 +61,14 @@ def default_classes() -> list[str]:
     return [f"term-{kind}-{n:03d}" for n in range(256) for kind in ("color", "bgcolor")]
 
 
-def check_classes(classes: list[str]) -> list[str]:
-    if len(classes) not in (16, 32, 512) or not all(re.fullmatch(r"[0-9a-zA-Z_-]*", c) for c in classes):
-        raise ValueError("classes: 16, 32 or 512 names of letters, digits, - and _ are asked for")
+#: Classes for the 8 or 16 basic colours or the whole palette, each as foreground and background.
+_CLASS_COUNTS = {2 * n for n in (8, 16, 256)}
+
+
+def class_names(classes: list[str]) -> list[str]:
+    wrong = [c for c in classes if re.search(r"[^\w-]", c, re.ASCII)]
+    if wrong or len(classes) not in _CLASS_COUNTS:
+        raise ValueError(f"classes: {len(classes)} given, of which {wrong} can't be put in an attribute; known counts are {sorted(_CLASS_COUNTS)}")
     return classes
 
 
@@ -106,14 +111,14 @@ def _ending(state: Column) -> Column:
     return F.concat(F.when(_shown(state), F.lit("</span>")).otherwise(""), link)
 
 
-def to_html(x: Column, classes: bool | list[str] = False, carry: Column | None = None) -> Column:
+def to_html(x: Column, classes: bool | list[str] = False, carry: Column | None = None, term_cap: TermCap = None) -> Column:
     """SGR formats as spans and hyperlinks as links, never nested and all closed.
 
     Other escapes go. ``classes`` (16, 32 or 512 names, foreground and background in
     turn; or True) puts palette colours as classes. ``carry`` is the state that
     the text begins in. The text itself is not escaped; see ``html_esc``.
     """
-    names = check_classes(default_classes() if classes is True else list(classes)) if classes else []
+    names = class_names(default_classes() if classes is True else list(classes)) if classes else []
     start = nothing() if carry is None else carry
 
     def step(a: Column, b: Column) -> Column:
@@ -124,11 +129,11 @@ def to_html(x: Column, classes: bool | list[str] = False, carry: Column | None =
     inner = F.regexp_replace(x, F.lit(rf"^{SPECIAL}|{SPECIAL}\z"), F.lit(""))
 
     def whole(begin: Column) -> Column:
-        folded = let(fold_pieces(inner, begin, step), lambda f: F.concat(f["text"], _ending(f["state"])))
+        folded = let(fold_pieces(inner, begin, step, term_cap), lambda f: F.concat(f["text"], _ending(f["state"])))
         return F.when(inner == "", "").otherwise(F.concat(_opening(begin, names), folded))
 
     rest = control_pattern(("all", "sgr", "url", "nl", "c0"))
-    return F.when(x.contains("\x1b") | F.lit(carry is not None), F.regexp_replace(let(then(start, events(lead)), whole), F.lit(rest), F.lit(""))).otherwise(x)
+    return F.when(x.contains("\x1b") | F.lit(carry is not None), F.regexp_replace(let(then(start, events(lead, term_cap)), whole), F.lit(rest), F.lit(""))).otherwise(x)
 
 
 def html_esc(x: Column, what: str = "<>&'\"") -> Column:
@@ -141,16 +146,26 @@ def html_esc(x: Column, what: str = "<>&'\"") -> Column:
     return x
 
 
-def html_code_block(x: Column, order: Column, css_class: str = "term") -> Column:
-    """An aggregate: the texts of a group in ``order`` as one block of code."""
+def _block(body: Column, css_class: str | list[str]) -> Column:
+    names = css_class if isinstance(css_class, str) else " ".join(css_class)
+    return F.concat(F.lit(f'<PRE class="{names}"><CODE>'), body, F.lit("</CODE></PRE>"))
+
+
+def html_code_block(x: Column, order: Column, css_class: str | list[str] = "term") -> Column:
+    """An aggregate: the texts of a group in ``order`` as one block of code; a null text is "NA"."""
     rows = F.sort_array(F.collect_list(F.struct(order.alias("o"), x.alias("x"))))
-    body = F.array_join(F.transform(rows, lambda r: r["x"]), "\n")
-    return F.concat(F.lit(f"<PRE class='{css_class}'><CODE>"), body, F.lit("</CODE></PRE>"))
+    return _block(F.array_join(F.transform(rows, lambda r: r["x"]), "\n", "NA"), css_class)
+
+
+def output_block(x: Column, css_class: str | list[str] = ("term", "term-output"), classes: bool | list[str] = False) -> Column:
+    """What a document shows of a program's output: a block of HTML if it has formats or links, else ``x`` itself."""
+    formatted = _block(to_html(html_esc(x), classes), css_class if isinstance(css_class, str) else list(css_class))
+    return F.when(has_ctl(x, ("sgr", "url")), formatted).otherwise(x)
 
 
 def make_styles(spark: SparkSession, classes: list[str] | None = None, mix: list[list[float]] | None = None) -> DataFrame:
     """(n, css): the rule of each class; ``mix`` is a 3 by 3 matrix that the colours are multiplied with."""
-    names = check_classes(classes or default_classes())
+    names = class_names(classes or default_classes())
     base = spark.range(len(names)).select(F.col("id").cast("int").alias("n"), let(F.floor(F.col("id") / 2).cast("int"), palette_hex).alias("hex"))
     parts = [F.conv(F.substring("hex", 2 * k + 1, 2), 16, 10).cast("double") for k in range(3)]
     if mix:

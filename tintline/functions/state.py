@@ -48,9 +48,32 @@ _FAMILIES = {"FG": "^(?:3[0-7]|9[0-7]|38;.*)$", "BG": "^(?:4[0-7]|10[0-7]|48;.*)
 NAMES = (*REGISTERS, "url")
 STATE = "array<string>"
 
-_BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_CODE = rf"([34]8;0*5;{_BYTE}(?=;)|[34]8;0*2;{_BYTE};{_BYTE};{_BYTE}(?=;)|[^;]*+);"
+_BYTE = "(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))?"
 _CAPABILITY = {"bright": "9[0-7]|10[0-7]", "256": "[34]8;5;.*", "truecolor": "[34]8;2;.*"}
+CAPABILITIES = ("bright", "256", "truecolor", "old")
+TermCap = tuple[str, ...] | None
+
+
+def capabilities(term_cap: TermCap) -> frozenset[str]:
+    """A terminal's abilities; "all" with others means all but those, and "old" is never of all."""
+    names = set(CAPABILITIES[:3]) if term_cap is None else set(term_cap)
+    if unknown := names - {*CAPABILITIES, "all"}:
+        raise ValueError(f"term_cap: unknown {sorted(unknown)}; known are {', '.join(CAPABILITIES)} and all")
+    return frozenset(set(CAPABILITIES[:3]) - names | names & {"old"} if "all" in names else names)
+
+
+def _code_pattern(skipped: frozenset[str]) -> str:
+    """One SGR code with its semicolon; a colour with all its parameters, whether they are right or not.
+
+    A selector other than 2 and 5 that more follows is a code of its own, and so are all
+    parameters of the kinds of colours ``skipped``.
+    """
+    kinds = {"256": ("5", 1), "truecolor": ("2", 3)}
+    found = []
+    for name, (selector, n) in kinds.items():
+        if name not in skipped:
+            found += [rf"0*[34]8;0*{selector};{f'{_BYTE};' * n}", rf"0*[34]8;0*{selector};(?:[^;]*+;){{0,{n}}}"]
+    return rf"(?:{'|'.join([*found, rf'0*[34]8;[^;]*+;$', rf'0*[34]8;(?!{_BYTE};)[^;]*+;', '[^;]*+;'])})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,18 +92,22 @@ def register(state: Column, name: str) -> Column:
     return F.coalesce(state[NAMES.index(name)], F.lit(""))
 
 
-def codes(x: Column, term_cap: tuple[str, ...] | None = None) -> Column:
+def codes(x: Column, term_cap: TermCap = None) -> Column:
     """All SGR codes of ``x`` in order, colours with their parameters as one.
 
-    Without ``term_cap`` codes beyond a terminal's abilities count like others; with
-    it, those of abilities that it lacks are skipped.
+    Codes count whatever a terminal can do, unless ``term_cap`` has "old": then bright codes are
+    skipped if it lacks them, and the parameters of colours that it lacks are codes of their own.
+    A colour with a wrong or missing parameter changes nothing.
     """
+    able = capabilities(term_cap)
+    skipped = frozenset(_CAPABILITY) - able if "old" in able else frozenset()
     sequences = F.filter(F.regexp_extract_all(x, F.lit(rf"(?s:{SGR}|{control_pattern()})"), F.lit(0)), lambda s: s.rlike(rf"^{SGR}$"))
     own = F.transform(sequences, lambda s: F.concat(F.substring(s, F.lit(3), F.char_length(s) - 3), F.lit(";")))
-    split = F.flatten(F.transform(own, lambda p: F.regexp_extract_all(p, F.lit(_CODE), F.lit(1))))
-    plain = F.transform(split, lambda c: F.when(c == "", "0").otherwise(F.regexp_replace(c, r"(^|;)0+(?=[0-9])", "$1")))
-    lacking = [p for k, p in _CAPABILITY.items() if term_cap is not None and k not in term_cap]
-    return F.filter(plain, lambda c: ~c.rlike(rf"^(?:{'|'.join(lacking)})$")) if lacking else plain
+    split = F.flatten(F.transform(own, lambda p: F.regexp_extract_all(p, F.lit(_code_pattern(skipped)), F.lit(0))))
+    bare = F.transform(split, lambda c: F.substring(c, F.lit(1), F.char_length(c) - 1))
+    plain = F.transform(bare, lambda c: F.when(c == "", "0").otherwise(F.regexp_replace(F.regexp_replace(c, ";(?=;|$)", ";0"), r"(^|;)0+(?=[0-9])", "$1")))
+    right = F.filter(plain, lambda c: ~c.contains(";") | c.rlike(rf"^[34]8;(?:5;{_BYTE}|2;{_BYTE};{_BYTE};{_BYTE})$"))
+    return F.filter(right, lambda c: ~c.rlike(rf"^(?:{_CAPABILITY['bright']})$")) if "bright" in skipped else right
 
 
 def links(x: Column) -> Column:
@@ -97,7 +124,7 @@ def links(x: Column) -> Column:
     return F.transform(good, opened)
 
 
-def events(x: Column, term_cap: tuple[str, ...] | None = None) -> Column:
+def events(x: Column, term_cap: TermCap = None) -> Column:
     """What ``x`` assigns to each register."""
 
     def assign(state: Column, code: Column) -> Column:
@@ -186,15 +213,15 @@ def _changes(changes: Column, normalize: bool) -> Column:
     return F.concat(F.when(ends, anew).otherwise(_sequences(new, False)), link)
 
 
-def state_at_end(x: Column, normalize: bool = False, carry: Column | None = None, term_cap: tuple[str, ...] | None = None) -> Column:
+def state_at_end(x: Column, normalize: bool = False, carry: Column | None = None, term_cap: TermCap = None) -> Column:
     """The sequences that bring about the state that ``x`` ends in; ``carry`` is the state it begins in."""
     found = let(then(carry, events(x, term_cap)) if carry is not None else events(x, term_cap), lambda s: open_state(s, normalize))
     return F.when(x.isNotNull(), found)
 
 
-def close_state(x: Column, normalize: bool = False) -> Column:
+def close_state(x: Column, normalize: bool = False, term_cap: TermCap = None) -> Column:
     """The sequences that end the state that ``x`` ends in; "" for null."""
-    return F.when(x.contains("\x1b"), let(events(x), lambda s: close_of(s, normalize))).otherwise("")
+    return F.when(x.contains("\x1b"), let(events(x, term_cap), lambda s: close_of(s, normalize))).otherwise("")
 
 
 #: Pieces of a text between which its state may change: runs of SGR and hyperlinks, and what stands between.
@@ -203,29 +230,52 @@ _OTHER = control_pattern(("all", "sgr", "url", "nl", "c0"))
 PIECES = rf"(?s:{SPECIAL}|(?:(?!{SPECIAL})(?:{_OTHER}|[^\x1B]++))++)"
 
 
-def fold_pieces(x: Column, start: Column, step: Callable[[Column, Column, Column], Column]) -> Column:
+#: Items that a fold puts together before it adds them to what it has.
+_RUN = 64
+
+
+def fold(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str = "string") -> Column:
+    """Go through ``items`` with a state: a struct of the end's state and out, an array of what each step gave.
+
+    ``step`` takes a state and an item and gives a struct of state and out (of type ``kind``). Adding to an
+    array copies it, so items are taken in runs and the runs' arrays are put together in the end.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        return let(step(acc["state"], item), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def whole(found: Column) -> Column:
+        def run(acc: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(found, k * _RUN + 1, F.lit(_RUN)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+            return let(part, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+        runs = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(found) - 1) / _RUN).cast("int"))
+        begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+        return let(F.aggregate(runs, begin, run), lambda r: F.struct(r["state"].alias("state"), F.flatten(r["outs"]).alias("out")))
+
+    return let(items, whole)
+
+
+def fold_pieces(x: Column, start: Column, step: Callable[[Column, Column], Column], term_cap: TermCap = None) -> Column:
     """Go through the pieces of ``x``; gives a struct of the end's state and the text written.
 
-    ``step`` writes the text for a change (from state, to state, to first piece).
+    ``step`` writes the text for a change (from state, to state).
     """
 
-    def one(acc: Column, piece: Column) -> Column:
-        changed = let(
-            then(acc["state"], events(piece)),
-            lambda s: F.struct(s.alias("state"), F.concat(acc["text"], step(acc["state"], s)).alias("text")),
-        )
-        same = F.struct(acc["state"].alias("state"), F.concat(acc["text"], piece).alias("text"))
-        return F.when(piece.rlike(rf"^{SPECIAL}$"), changed).otherwise(same)
+    def one(state: Column, piece: Column) -> Column:
+        changed = let(then(state, events(piece, term_cap)), lambda s: F.struct(s.alias("state"), step(state, s).alias("out")))
+        return F.when(piece.rlike(rf"^{SPECIAL}$"), changed).otherwise(F.struct(state.alias("state"), piece.alias("out")))
 
-    first = F.struct(start.cast(STATE).alias("state"), F.lit("").alias("text"))
-    return F.aggregate(F.regexp_extract_all(x, F.lit(PIECES), F.lit(0)), first, one)
+    folded = fold(F.regexp_extract_all(x, F.lit(PIECES), F.lit(0)), start.cast(STATE), one)
+    return let(folded, lambda f: F.struct(f["state"].alias("state"), F.array_join(f["out"], "").alias("text")))
 
 
-def normalize_state(x: Column, carry: Column | None = None) -> Column:
+def normalize_state(x: Column, carry: Column | None = None, term_cap: TermCap = None) -> Column:
     """``x`` with each run of SGR and hyperlinks as the least changes, a sequence for each code.
 
     Codes that change nothing go. With ``carry`` the text is taken to begin in that state.
     """
     start = nothing() if carry is None else carry
-    folded = fold_pieces(x, start, lambda a, b: bridge(a, b, True))["text"]
+    folded = fold_pieces(x, start, lambda a, b: bridge(a, b, True), term_cap)["text"]
     return F.when(x.contains("\x1b"), folded).otherwise(x)

@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .controls import SGR, URL, Ctl, control_pattern, kinds, strip_ctl
-from .state import SPECIAL, STATE, bridge, close_of, events, let, normalize_state, nothing, open_state, then
-from .width import cluster_pattern, graphemes_of, is_plain, width_of
+from .state import SPECIAL, STATE, TermCap, bridge, close_of, events, fold, let, normalize_state, nothing, open_state, then
+from .width import cluster_pattern, graphemes_of, is_plain, width_of, zero_pattern
 
 IntColumn = Column | int
 ROUND = ("start", "stop", "both", "neither")
@@ -86,14 +86,21 @@ def _cut_pattern(start: int, stop: int, ctl: Ctl) -> str:
     return rf"^{lead}({unit}{{{max(0, stop - first + 1)}}}+{_bytes_behind(ctl)}|{unit}*+{gap})"
 
 
-def _formatted(state: Column, text: Column, terminate: bool, normalize: bool) -> Column:
+def _start_pattern(units: int, ctl: Ctl) -> str:
+    """A regular expression for so many visible units from the start, each of a column or more, and what has no width behind them."""
+    control, zero = control_pattern(ctl), zero_pattern()
+    gap = f"(?:{control}|{zero})*+" if control else f"{zero}*+"
+    return f"^(?:{gap}{cluster_pattern()}){{0,{units}}}+{gap}"
+
+
+def _formatted(state: Column, text: Column, terminate: bool, normalize: bool, term_cap: TermCap = None) -> Column:
     """``text`` with the format that it begins in put in front and, if ``terminate``, ended behind."""
     if terminate:
         text = F.regexp_replace(text, F.lit(rf"{SPECIAL}\z"), F.lit(""))
     out = let(text, lambda t: F.when(F.lit(terminate) & (t == ""), "").otherwise(
-        F.concat(open_state(state), t, close_of(then(state, events(t))) if terminate else F.lit(""))
+        F.concat(open_state(state), t, close_of(then(state, events(t, term_cap))) if terminate else F.lit(""))
     ))
-    return normalize_state(out) if normalize else out
+    return normalize_state(out, term_cap=term_cap) if normalize else out
 
 
 def substr_ctl(
@@ -107,6 +114,7 @@ def substr_ctl(
     terminate: bool = True,
     carry: Column | None = None,
     tab_stops: tuple[int, ...] | None = None,
+    term_cap: TermCap = None,
 ) -> Column:
     """The part of ``x`` from position ``start`` to ``stop``, in the format that it has there.
 
@@ -132,13 +140,15 @@ def substr_ctl(
         return in_format(F.array_join(lead, ""), F.array_join(body, ""))
 
     def in_format(lead: Column, body: Column) -> Column:
-        return let(F.struct(then(before, events(lead)).alias("state"), body.alias("body")), written)
+        return let(F.struct(then(before, events(lead, term_cap)).alias("state"), body.alias("body")), written)
 
     def written(p: Column) -> Column:
-        return _formatted(p["state"], p["body"], terminate, normalize)
+        return _formatted(p["state"], p["body"], terminate, normalize, term_cap)
 
     plain = F.substring(x, F.greatest(start, F.lit(1)), stop - F.greatest(start, F.lit(1)) + 1)
-    general = let(tokens(x, ctl, type != "chars"), cut)
+    # what stands behind a known stop is not looked at, but for one unit
+    near = F.regexp_extract(x, _start_pattern(max(0, known[1]) + 1, ctl), 0) if known and type != "chars" else x
+    general = let(tokens(near, ctl, type != "chars"), cut)
     if known:  # each character is a position: one pattern finds the cut
         one = _cut_pattern(*known, ctl)
         direct = in_format(F.regexp_extract(x, one, 1), F.regexp_extract(x, one, 2))
@@ -150,44 +160,93 @@ def substr_ctl(
     return F.when(x.isNotNull() & start.isNotNull() & stop.isNotNull(), out)
 
 
-def overlay_ctl(x: Column, value: Column, start: IntColumn, stop: IntColumn, type: str = "chars", ctl: Ctl = "all") -> Column:
+def overlay_ctl(
+    x: Column,
+    value: Column,
+    start: IntColumn,
+    stop: IntColumn,
+    type: str = "chars",
+    round: str = "start",
+    ctl: Ctl = "all",
+    normalize: bool = False,
+    terminate: bool = True,
+    carry: Column | None = None,
+    value_carry: Column | None = None,
+    tab_stops: tuple[int, ...] | None = None,
+    term_cap: TermCap = None,
+) -> Column:
     """``x`` with positions start to stop taken by ``value``, cut to the room that there is.
 
-    The text behind moves neither way: a shorter value takes as many positions as it
-    has. Each part keeps its own format.
+    A shorter value takes as many positions as it has, and so does one that loses a wide
+    character to the cut; the text behind follows it. Each part keeps its own format;
+    without ``terminate`` formats run on, and the text behind gets what leads from the format
+    of the text before to its own. ``carry`` and ``value_carry`` are the states that the two
+    texts begin in. Null if any argument is.
     """
+    if tab_stops:
+        x, value = tabs_as_spaces(x, tab_stops, ctl), tabs_as_spaces(value, tab_stops, ctl)
     start, stop = F.greatest(_int(start), F.lit(1)), _int(stop)
     size = {"chars": F.char_length, "graphemes": graphemes_of, "width": width_of}[type]
-    have, room = size(strip_ctl(x, ctl)), size(strip_ctl(value, ctl))
-    last = F.least(stop, have, start + room - 1)
-    parts = F.concat(
-        substr_ctl(x, F.lit(1), start - 1, type, "neither", ctl),
-        substr_ctl(value, F.lit(1), last - start + 1, type, "neither", ctl),
-        substr_ctl(x, last + 1, have, type, "neither", ctl),
-    )
-    return F.when(last >= start, parts).otherwise(F.when(value.isNotNull() & start.isNotNull() & stop.isNotNull(), x))
+    common = {"ctl": ctl, "normalize": normalize, "terminate": terminate, "term_cap": term_cap}
+
+    def visible(t: Column) -> Column:
+        return size(strip_ctl(t, ctl)).cast("int")
+
+    have = visible(x)
+    room = F.least(stop, have) - start + 1
+
+    def fitting(n: Column) -> Column:
+        return substr_ctl(value, F.lit(1), n, type, round, carry=value_carry, **common)
+
+    def put_together(middle: Column, taken: Column) -> Column:
+        lead = substr_ctl(x, F.lit(1), start - 1, type, round, carry=carry, **common)
+        tail = substr_ctl(x, start + taken, have, type, "neither", carry=carry, **common)
+        if terminate:
+            return F.concat(lead, middle, tail)
+
+        def joined(p: dict[str, Column]) -> Column:
+            between = F.when(p["tail"] == "", "").otherwise(bridge(events(p["lead"], term_cap), events(p["opened"], term_cap), normalize))
+            return F.concat(p["lead"], p["middle"], between, F.substring(p["tail"], F.char_length(p["opened"]) + 1, F.char_length(p["tail"])))
+
+        parts = F.struct(lead.alias("lead"), middle.alias("middle"), tail.alias("tail"))
+        return let(parts, lambda p: joined({"lead": p["lead"], "middle": p["middle"], "tail": p["tail"], "opened": F.regexp_extract(p["tail"], rf"^((?:{SPECIAL})?)", 1)}))
+
+    if type == "chars":
+        whole = put_together(fitting(room), F.least(room, visible(value)))
+    else:
+        # a cut that rounds up may be a position too wide: then one less, then nothing
+        one = let(fitting(room), lambda m: F.struct(m.alias("m"), visible(m).alias("n")))
+        less = let(fitting(room - 1), lambda m: F.struct(m.alias("m"), visible(m).alias("n")))
+        fits = F.filter(F.array(one, less, F.struct(F.lit("").alias("m"), F.lit(0).alias("n"))), lambda c: c["n"] <= room)
+        whole = let(F.element_at(fits, 1), lambda c: put_together(c["m"], c["n"]))
+    given = x.isNotNull() & value.isNotNull() & start.isNotNull() & stop.isNotNull()
+    return F.when(given & (room >= 1), whole).otherwise(F.when(given, x))
 
 
 def strtrim_ctl(
     x: Column, width: IntColumn, ctl: Ctl = "all", normalize: bool = False, terminate: bool = True,
-    carry: Column | None = None, tab_stops: tuple[int, ...] | None = None,
+    carry: Column | None = None, tab_stops: tuple[int, ...] | None = None, term_cap: TermCap = None,
 ) -> Column:
     """The first ``width`` columns of ``x``."""
-    return substr_ctl(x, 1, width, "width", "neither", ctl, normalize, terminate, carry, tab_stops)
+    return substr_ctl(x, 1, width, "width", "neither", ctl, normalize, terminate, carry, tab_stops, term_cap)
 
 
-def trimws_ctl(x: Column, which: str = "both", normalize: bool = False) -> Column:
-    """``x`` without white space (blank, tab, \\r, \\n) at its ends, through formats, which stay."""
+def trimws_ctl(x: Column, which: str = "both", normalize: bool = False, ctl: Ctl = "all", term_cap: TermCap = None) -> Column:
+    """``x`` without white space (blank, tab, \\r, \\n) at its ends, through the formats of ``ctl``, which stay."""
     if which not in ("both", "left", "right"):
         raise ValueError(f"which: {which!r} is none of both, left, right")
-    space = r"[ \t\r\n]"
-    left = F.regexp_extract(x, rf"^((?:{space}|{SPECIAL})*+)", 1) if which != "right" else F.lit("")
-    ends = F.regexp_extract(x, rf"(?s)((?:{space}|{SPECIAL})*)\z", 1) if which != "left" else F.lit("")
+    formats = [pattern for kind, pattern in (("sgr", SGR), ("url", URL)) if kind in kinds(ctl)]
+    end = "|".join([r"[ \t\r\n]", *(rf"(?s:{f})" for f in formats)]).replace("([^", "(?:[^")
+    left = F.regexp_extract(x, rf"^((?:{end})*+)", 1) if which != "right" else F.lit("")
+    ends = F.regexp_extract(x, rf"(?s)((?:{end})*)\z", 1) if which != "left" else F.lit("")
+
+    def state_of(t: Column) -> Column:
+        return events(t, term_cap)
 
     def cut(p: Column) -> Column:
         middle = F.substring(x, F.char_length(p["l"]) + 1, F.char_length(x) - F.char_length(p["l"]) - F.char_length(p["r"]))
-        state = let(events(p["l"]), lambda s: F.concat(open_state(s, normalize), middle, let(then(s, events(middle)), lambda m: bridge(m, then(m, events(p["r"])), normalize))))
-        return F.when(F.char_length(p["l"]) == F.char_length(x), open_state(events(x), normalize)).otherwise(state)
+        state = let(state_of(p["l"]), lambda s: F.concat(open_state(s, normalize), middle, let(then(s, state_of(middle)), lambda m: bridge(m, then(m, state_of(p["r"])), normalize))))
+        return F.when(F.char_length(p["l"]) == F.char_length(x), open_state(state_of(x), normalize)).otherwise(state)
 
     plain = {"both": F.btrim, "left": F.ltrim, "right": F.rtrim}[which](x, F.lit(" \t\r\n"))
     return F.when(x.contains("\x1b"), let(F.struct(left.alias("l"), ends.alias("r")), cut)).otherwise(plain)
@@ -207,37 +266,47 @@ def tabs_as_spaces(x: Column, tab_stops: tuple[int, ...] = (8,), ctl: Ctl = "all
             next_stop = F.when(at < f, F.lit(f)).otherwise(next_stop)
         return F.repeat(F.lit(" "), (next_stop - at).cast("int"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        line = strip_ctl(F.regexp_extract(acc, r"([^\n]*+)\z", 1), tuple(kinds(ctl)))
-        return F.concat(acc, let(width_of(line), pad), piece)
+    def behind(piece: Column, at: Column) -> Column:
+        """The column after ``piece``, which begins in column ``at``."""
+        last = F.regexp_extract(piece, r"([^\n]*+)\z", 1)
+        return (F.when(piece.contains("\n"), 0).otherwise(at) + width_of(strip_ctl(last, tuple(kinds(ctl))))).cast("int")
+
+    def step(at: Column, piece: Column) -> Column:
+        return let(pad(at), lambda p: F.struct(behind(piece, at + F.char_length(p)).alias("state"), F.concat(p, piece).alias("out")))
 
-    parts = F.split(x, "\t", -1)
-    expanded = F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), step)
-    return F.when(x.contains("\t"), expanded).otherwise(x)
+    def expanded(parts: Column) -> Column:
+        first = F.element_at(parts, 1)
+        rest = fold(F.slice(parts, 2, F.size(parts)), behind(first, F.lit(0)), step)
+        return F.concat(first, F.array_join(rest["out"], ""))
 
+    return F.when(x.contains("\t"), let(F.split(x, "\t", -1), expanded)).otherwise(x)
 
-def strsplit_ctl(x: Column, split: str, fixed: bool = False, ctl: Ctl = "all", normalize: bool = False, terminate: bool = True) -> Column:
+
+def strsplit_ctl(
+    x: Column, split: str, fixed: bool = False, ctl: Ctl = "all", normalize: bool = False, terminate: bool = True,
+    carry: Column | None = None, term_cap: TermCap = None,
+) -> Column:
     """Pieces of ``x`` between matches of ``split`` (a regular expression) in its visible text.
 
     An empty ``split`` gives the characters. A text that ends in a match has no
-    empty last piece; an empty text has no pieces.
+    empty last piece; an empty text has no pieces. ``carry`` is the state that the text begins in.
     """
     pattern = f"(?:{re.escape(split) if fixed else split})"
     control = control_pattern(ctl)
     gap = f"{control}*+" if control else ""
     behind = _bytes_behind(ctl)
+    begin_in = nothing() if carry is None else carry
 
     def in_format(parts: Column) -> Column:
         """Parts that follow each other, each with the format that it begins in."""
         own = rf"^({gap})((?:{gap}(?s:.))*+{behind})"
 
-        def step(acc: Column, part: Column) -> Column:
+        def step(state: Column, part: Column) -> Column:
             lead, body = F.regexp_extract(part, own, 1), F.regexp_extract(part, own, 2)
-            text = let(then(acc["state"], events(lead)), lambda state: _formatted(state, body, terminate, normalize))
-            return F.struct(then(acc["state"], events(part)).alias("state"), F.concat(acc["out"], F.array(text)).alias("out"))
+            text = let(then(state, events(lead, term_cap)), lambda begin: _formatted(begin, body, terminate, normalize, term_cap))
+            return F.struct(then(state, events(part, term_cap)).alias("state"), text.alias("out"))
 
-        start = F.struct(nothing().alias("state"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(parts, start, step)["out"]
+        return fold(parts, begin_in.cast(STATE), step)["out"]
 
     def without_last(parts: Column, visible: Column) -> Column:
         return F.when(F.element_at(visible, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
@@ -247,15 +316,14 @@ def strsplit_ctl(x: Column, split: str, fixed: bool = False, ctl: Ctl = "all", n
         gaps, parts = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)), F.split(clean, pattern, -1)
         lengths = F.zip_with(parts, gaps, lambda p, g: F.struct(F.char_length(p).alias("p"), F.coalesce(F.char_length(g), F.lit(0)).alias("g")))
 
-        def step(acc: Column, n: Column) -> Column:
-            span = F.struct((acc["at"] + 1).alias("a"), (acc["at"] + n["p"]).alias("b"))
-            return F.struct((acc["at"] + n["p"] + n["g"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        def step(at: Column, n: Column) -> Column:
+            span = F.struct((at + 1).alias("a"), (at + n["p"]).alias("b"))
+            return F.struct((at + n["p"] + n["g"]).cast("int").alias("state"), span.alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-        return without_last(F.aggregate(lengths, start, step)["spans"], parts)
+        return without_last(fold(lengths, F.lit(0), step, "struct<a:int,b:int>")["out"], parts)
 
     def cut(found: Column) -> Column:
-        return F.transform(found, lambda s: substr_ctl(x, s["a"], s["b"], ctl=ctl, normalize=normalize, terminate=terminate))
+        return F.transform(found, lambda s: substr_ctl(x, s["a"], s["b"], ctl=ctl, normalize=normalize, terminate=terminate, carry=carry, term_cap=term_cap))
 
     clean = strip_ctl(x, ctl)
     if not split:
@@ -269,26 +337,60 @@ def strsplit_ctl(x: Column, split: str, fixed: bool = False, ctl: Ctl = "all", n
             apart = apart & (F.transform(parts, lambda p: strip_ctl(p, ctl)) == visible)
         plain = without_last(visible, visible)
         pieces = F.when(apart, without_last(in_format(parts), visible)).otherwise(let(let(clean, spans), cut))
-        pieces = F.when(x == clean, plain).otherwise(pieces)
+        if carry is None:
+            pieces = F.when(x == clean, plain).otherwise(pieces)
     return F.when(clean == "", F.array().cast("array<string>")).when(clean.isNotNull(), pieces)
 
 
+def _paragraphs(x: Column) -> Column:
+    """The paragraphs of ``x`` with white space as one blank, or two after the end of a sentence.
+
+    Controls within white space go behind it.
+    """
+    control = control_pattern(("all", "nl"))
+    run = rf"[ \t\n]++(?:(?:{control})++[ \t\n]++)++"
+
+    def moved(piece: Column) -> Column:
+        controls = F.array_join(F.regexp_extract_all(piece, F.lit(control), F.lit(0)), "")
+        return F.when(piece.rlike(rf"^{run}"), F.concat(F.regexp_replace(piece, F.lit(control), F.lit("")), controls)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(x, F.lit(rf"(?s:{run}|(?:(?!{run}).)++)"), F.lit(0))
+    gathered = F.when(x.contains("\x1b") & x.rlike(run), F.array_join(F.transform(pieces, moved), "")).otherwise(x)
+
+    def squeezed(p: Column) -> Column:
+        flat = F.regexp_replace(p, F.lit(r"[\t\n]"), F.lit(" "))
+        # a text's or paragraph's controls beyond its first and last word go to these
+        ends = F.regexp_replace(F.regexp_replace(flat, F.lit(rf"^ *+((?:{control})++) ++"), F.lit("$1")), F.lit(rf" ++((?:{control})++) *+\z"), F.lit("$1"))
+        flat = F.when(flat.contains("\x1b"), ends).otherwise(flat)
+        words = F.regexp_replace(flat, F.lit(r"(?<! )(?<![.?!])(?<![.?!][\"')]) {2,}"), F.lit(" "))
+        return F.btrim(F.regexp_replace(words, F.lit(" {3,}"), F.lit("  ")), F.lit(" "))
+
+    parts = F.transform(F.split(gathered, r"[ \t]*+\n(?:[ \t]*+\n)++[ \t]*+", -1), squeezed)
+    return let(F.filter(parts, lambda p: p != ""), lambda found: F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found))
+
+
 def squeeze_space(x: Column) -> Column:
     """White space as one blank; two after the end of a sentence; an empty line between paragraphs.
 
     Controls within white space go behind it.
     """
-    space = r"[ \t\n]"
-    moved = x
-    for _ in range(3):
-        moved = F.regexp_replace(moved, F.lit(rf"({space}++)((?:{control_pattern(('all', 'nl'))})++)({space}++)"), F.lit("$1$3$2"))
-    moved = F.when(x.contains("\x1b"), moved).otherwise(x)
-    paragraphs = F.regexp_replace(moved, F.lit(r"[ \t]*+\n(?:[ \t]*+\n)++[ \t]*+"), F.lit("﷐"))
-    flat = F.regexp_replace(paragraphs, F.lit(r"[\t\n]"), F.lit(" "))
-    sentences = F.regexp_replace(flat, F.lit(r"([.?!][\"')]?) {2,}"), F.lit("$1﷑"))
-    single = F.regexp_replace(sentences, F.lit(" {2,}"), F.lit(" "))
-    trimmed = F.btrim(single, F.lit(" ﷐﷑"))
-    return F.replace(F.replace(trimmed, F.lit("﷑"), F.lit("  ")), F.lit("﷐"), F.lit("\n\n"))
+    return F.when(x.isNotNull(), F.array_join(_paragraphs(x), "\n\n"))
+
+
+def _line_pattern(head: int, rest: int, control: str) -> str:
+    """A regular expression for the lines of a paragraph in turn: as many words as fit, or one that is too long.
+
+    Each character is a column, and controls are none.
+    """
+    gap = f"(?:{control})*+" if control else ""
+
+    def line(width: int) -> str:
+        visible, any_one = f"{gap}[^ ]", f"(?:{gap}(?s:.))"
+        more = f"(?:{any_one}{{0,{width - 2}}}{visible})?" if width > 1 else ""
+        fits = rf"{visible}{more}(?={gap}(?: |\z))|" if width > 0 else ""
+        return f"(?:{fits}(?:{visible})++){gap}"
+
+    return line(rest) if head == rest else rf"(?:\A{line(head)}|(?<!\A){line(rest)})"
 
 
 def strwrap_ctl(
@@ -306,6 +408,7 @@ def strwrap_ctl(
     normalize: bool = False,
     terminate: bool = True,
     carry: Column | None = None,
+    term_cap: TermCap = None,
 ) -> Column:
     """Lines of at most ``width`` - 1 columns, as an array; null is the text "NA".
 
@@ -322,66 +425,90 @@ def strwrap_ctl(
         return width_of(strip_ctl(t, ctl)).cast("int")
 
     def broken(word: Column) -> Column:
-        """Parts of a long word, each within the target."""
+        """Parts of a long word, each within the target; all but the first go on without a blank."""
 
         def step(acc: Column, t: Column) -> Column:
             w = _size_of("width", ctl)(t)
             over = acc["w"] + w > target - max(len(head), len(rest))
-            return F.struct(
-                F.when(over, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-                F.when(over, t).otherwise(F.concat(acc["now"], t)).alias("now"),
-                F.when(over, w).otherwise(acc["w"] + w).cast("int").alias("w"),
-            )
+            state = F.struct(F.when(over, t).otherwise(F.concat(acc["now"], t)).alias("now"), F.when(over, w).otherwise(acc["w"] + w).cast("int").alias("w"))
+            return F.struct(state.alias("state"), F.when(over, acc["now"]).alias("out"))
 
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("w"))
-        return let(F.aggregate(tokens(word, ctl, True), start, step), lambda a: F.concat(a["done"], F.array(a["now"])))
+        start = F.struct(F.lit("").alias("now"), F.lit(0).alias("w"))
+        parts = let(fold(tokens(word, ctl, True), start, step), lambda a: F.concat(F.array_compact(a["out"]), F.array(a["state"]["now"])))
+        return let(parts, lambda p: F.transform(p, lambda t, k: F.struct(t.alias("text"), (k > 0).alias("on"))))
 
     def fill(paragraph: Column, lead: str) -> Column:
+        """The general way: word by word, by width."""
         words = F.split(paragraph, " ", -1)
-        if wrap_always:
-            words = F.flatten(F.transform(words, lambda w: let(broken(w), lambda p: F.transform(p, lambda s, k: F.when(k > 0, F.concat(F.lit("﷐"), s)).otherwise(s)))))
+        items = F.flatten(F.transform(words, broken)) if wrap_always else F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(False).alias("on")))
 
         def step(acc: Column, word: Column) -> Column:
-            # an empty word is the second blank after a sentence; a mark begins the rest of a broken word
-            goes_on = word.startswith("﷐")
-            gap = F.when(acc["n"] == 0, "").when(goes_on, "").otherwise(" ")
-            text = F.replace(word, F.lit("﷐"), F.lit(""))
-            first = F.size(acc["lines"]) == 0
-            room = target - F.when(first, len(lead)).otherwise(len(rest))
-            w = size(text)
+            # an empty word is the second blank after a sentence
+            gap = F.when((acc["n"] == 0) | word["on"], "").otherwise(" ")
+            room = target - F.when(acc["first"], len(lead)).otherwise(len(rest))
+            w = size(word["text"])
             fits = (acc["n"] == 0) | (acc["w"] + F.char_length(gap) + w <= room)
-            line = F.when(fits, F.concat(acc["line"], gap, text)).otherwise(text)
-            return F.struct(
-                F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(F.rtrim(acc["line"]) if strip_spaces else acc["line"]))).alias("lines"),
-                line.alias("line"),
+            state = F.struct(
+                F.when(fits, F.concat(acc["line"], gap, word["text"])).otherwise(word["text"]).alias("line"),
                 F.when(fits, acc["w"] + F.char_length(gap) + w).otherwise(w).cast("int").alias("w"),
-                F.when(~fits & (text == ""), 0).otherwise(acc["n"] + 1).alias("n"),
+                F.when(~fits & (word["text"] == ""), 0).otherwise(acc["n"] + 1).alias("n"),
+                (acc["first"] & fits).alias("first"),
             )
+            return F.struct(state.alias("state"), F.when(~fits, F.rtrim(acc["line"]) if strip_spaces else acc["line"]).alias("out"))
+
+        start = F.struct(F.lit("").alias("line"), F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(True).alias("first"))
+        return let(fold(items, start, step), lambda a: F.concat(F.array_compact(a["out"]), F.array(a["state"]["line"])))
+
+    def filled(paragraph: Column) -> Column:
+        general = fill(paragraph, head)
+        if wrap_always or not strip_spaces:
+            return general
 
-        start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0).alias("w"), F.lit(0).alias("n"))
-        return let(F.aggregate(words, start, step), lambda a: F.concat(a["lines"], F.array(a["line"])))
+        def by(pattern_control: str) -> Column:
+            pattern = _line_pattern(target - len(head), target - len(rest), pattern_control)
+            return F.regexp_extract_all(paragraph, F.lit(pattern), F.lit(0))
+
+        one = F.when(is_plain(strip_ctl(paragraph, ctl)), by(control)) if control else F.when(is_plain(paragraph), by(""))
+        if control:  # most texts have no controls
+            one = F.when(is_plain(paragraph), by("")).otherwise(one)
+        return F.when(paragraph == "", F.array(F.lit(""))).otherwise(F.coalesce(one, general))
 
     def with_format(lines: Column) -> Column:
         """Lines (text, lead) with the format in force put in front and ended behind."""
 
-        def step(acc: Column, line: Column) -> Column:
+        def finished(line: Column, text: Column) -> Column:
+            if pad_end:
+                text = F.concat(text, F.repeat(F.lit(pad_end), F.greatest(F.lit(0), target - F.char_length(line["lead"]) - size(line["text"]))))
+            return F.concat(line["lead"], normalize_state(text, term_cap=term_cap) if normalize else text)
+
+        def step(state: Column, line: Column) -> Column:
             body = F.regexp_replace(line["text"], F.lit(rf"{SPECIAL}\z"), F.lit("")) if terminate else line["text"]
-            after = then(acc["state"], events(line["text"]))
             lead_in = F.regexp_extract(line["text"], rf"^((?:{SPECIAL})?)", 1)
-            opened = let(then(acc["state"], events(lead_in)), open_state)
+            opened = let(then(state, events(lead_in, term_cap)), open_state)
             rest_of = F.regexp_replace(body, F.lit(rf"^{SPECIAL}"), F.lit(""))
-            formatted = F.concat(opened, rest_of, let(then(acc["state"], events(body)), close_of) if terminate else F.lit(""))
-            text = F.when(body.contains("\x1b") | (open_state(acc["state"]) != ""), formatted).otherwise(body)
-            if pad_end:
-                text = F.concat(text, F.repeat(F.lit(pad_end), F.greatest(F.lit(0), target - F.char_length(line["lead"]) - size(line["text"]))))
-            return F.struct(after.alias("state"), F.concat(acc["out"], F.array(F.concat(line["lead"], normalize_state(text) if normalize else text))).alias("out"))
+            formatted = F.concat(opened, rest_of, let(then(state, events(body, term_cap)), close_of) if terminate else F.lit(""))
+            plain = ~line["text"].contains("\x1b") & ~F.exists(state, lambda v: F.coalesce(v, F.lit("")) != "")
+            full = F.struct(then(state, events(line["text"], term_cap)).alias("state"), finished(line, formatted).alias("out"))
+            return F.when(plain, F.struct(state.alias("state"), finished(line, line["text"]).alias("out"))).otherwise(full)
 
-        begin = F.struct((nothing() if carry is None else carry).cast(STATE).alias("state"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(lines, begin, step)["out"]
+        begin = (nothing() if carry is None else carry).cast(STATE)
+        return fold(lines, begin, step)["out"]
 
     x = F.coalesce(x, F.lit("NA"))
     if tab_stops:
         x = tabs_as_spaces(x, tab_stops, ctl)
-    paragraphs = F.split(squeeze_space(x), "\n\n", -1) if strip_spaces else F.split(x, "\n", -1)
-    filled = F.flatten(F.transform(paragraphs, lambda p: F.transform(fill(p, head), lambda t, k: F.struct(t.alias("text"), F.when(k == 0, head).otherwise(rest).alias("lead")))))
-    return with_format(filled) if control else F.transform(filled, lambda s: F.concat(s["lead"], s["text"]))
+    paragraphs = _paragraphs(x) if strip_spaces else F.split(x, "\n", -1)
+    found = F.flatten(F.transform(paragraphs, lambda p: F.transform(let(p, filled), lambda t, k: F.struct(t.alias("text"), F.when(k == 0, head).otherwise(rest).alias("lead")))))
+
+    def plainly(lines: Column) -> Column:
+        def one(s: Column) -> Column:
+            text = F.concat(s["lead"], s["text"])
+            return F.concat(text, F.repeat(F.lit(pad_end), F.greatest(F.lit(0), target - F.char_length(s["lead"]) - size(s["text"])))) if pad_end else text
+
+        return F.transform(lines, one)
+
+    if not control:
+        return plainly(found)
+    if carry is not None:
+        return with_format(found)
+    return let(found, lambda lines: F.when(x.contains("\x1b"), with_format(lines)).otherwise(plainly(lines)))

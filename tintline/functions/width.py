@@ -9,12 +9,14 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNICODE_VERSION = "17.0.0"
+#: Of the tables below, but for LATER_WIDE.
+UNICODE_VERSION = unicodedata.unidata_version
 
 # Ranges that became wide after the Unicode version of Python's own tables.
 LATER_WIDE = ((0x2630, 0x2637), (0x268A, 0x268F), (0x4DC0, 0x4DFF), (0x1D300, 0x1D356), (0x1D360, 0x1D376))
 
-_FLAGS = r"[\x{1F1E6}-\x{1F1FF}]{2}"
+#: A pair of regional indicators is one flag; one alone is as wide.
+_FLAGS = r"[\x{1F1E6}-\x{1F1FF}]{1,2}"
 _JOINED = r"(?s:\x{200D}.?)"
 _SKIN = r"[\x{1F3FB}-\x{1F3FF}]"
 #: Text in which each character is a column: no table is needed.
@@ -76,3 +78,8 @@ def cluster_pattern() -> str:
     """A regular expression for one visible character with the zero-width ones that follow."""
     zero, _ = classes()
     return rf"(?s:(?:{_FLAGS}|.)(?:{_JOINED}|{_SKIN}|{zero})*+)"
+
+
+def zero_pattern() -> str:
+    """A regular expression for one character without width."""
+    return classes()[0]

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.controls import has_ctl, nchar_ctl, nzchar_ctl, strip_ctl
 from ..functions.demo import color_lines, palette_chart
-from ..functions.html import html_esc, make_styles, to_html
-from ..functions.state import close_state, normalize_state, state_at_end
+from ..functions.html import html_esc, make_styles, output_block, to_html
+from ..functions.state import close_state, events, normalize_state, state_at_end
 from ..functions.text import overlay_ctl, strsplit_ctl, strtrim_ctl, strwrap_ctl, substr_ctl, tabs_as_spaces, trimws_ctl
 from ..operators.carry import carried
 from ..operators.tables import code_blocks, exploded, lines, unhandled_ctl
@@ -94,7 +94,7 @@ def to_html_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrapped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     colored = F.regexp_replace("text", r"(?s)^(\S+)(.*)$", f"{ESC}[1;34m$1{ESC}[0m$2")
     return exploded(docs.select("doc_id", strwrap_ctl(colored, 60).alias("w")), F.col("w"), "wrapped", "no").drop("w")
 
@@ -103,7 +103,39 @@ def wrap_keeps_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document after wrapping and stripping, as many and as long as before."""
     found = wrapped_documents(spark, sf_dir).withColumn("s", strip_ctl(F.col("wrapped")))
     spaces = F.length(F.regexp_replace("s", r"[ ]", ""))
-    return found.groupBy("doc_id").agg(F.sum(spaces.cast("long")).alias("n_chars"), F.max(nchar_ctl(F.col("wrapped"))).alias("longest"))
+    return found.groupBy("doc_id").agg(F.sum(spaces.cast("long")).alias("n_chars"), F.max(nchar_ctl(F.col("wrapped")).cast("long")).alias("longest"))
+
+
+#: Wide characters, a combining accent, a flag, a lone half of a flag and a family: 4 + 1 + 2 + 2 + 2 columns of 1 + 4 graphemes more.
+WIDE = "\u4e00\u4e01e\u0301\U0001f1e6\U0001f1e7x\U0001f1e6-\U0001f468\u200d\U0001f469"
+
+
+def wide_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines behind wide, combining, joined and flag characters in a colour."""
+    c = F.concat(F.lit(f"{ESC}[32m{WIDE}"), F.col("x"), F.lit(f"{ESC}[0m"))
+    found = document_lines(spark, sf_dir).withColumn("c", c)
+    return found.select(
+        "doc_id", "line_no", nchar_ctl(F.col("c")).cast("long").alias("chars"), nchar_ctl(F.col("c"), "width").cast("long").alias("width"),
+        nchar_ctl(F.col("c"), "graphemes").cast("long").alias("graphemes"), substr_ctl(F.col("c"), 3, 7, "width").alias("part"),
+        substr_ctl(F.col("c"), 2, 4, "graphemes").alias("three"), strtrim_ctl(F.col("c"), 6).alias("trimmed"),
+    )
+
+
+#: Codes whose colours lack a parameter or have a wrong one, and what state is left of each.
+MALFORMED = {"38;5;300": "", "48;2;1;2;999": "", "38;5": "", "38;5;300;1": "1", "48;2;7": "", "38;7;4": "4;7", "1;48;2;1;2": "1", "038;05;007": "38;5;7"}
+
+
+def malformed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = F.element_at(F.array(*[F.lit(f"{ESC}[{c}m") for c in MALFORMED]), (F.col("line_no") % len(MALFORMED)).cast("int") + 1)
+    found = document_lines(spark, sf_dir).withColumn("c", F.concat(codes, F.col("x")))
+    return found.select("doc_id", "line_no", state_at_end(F.col("c")).alias("state"), close_state(F.col("c")).alias("close"), substr_ctl(F.col("c"), 2, 5).alias("part"))
+
+
+def output_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as a document shows them: every third is coloured, so it becomes a block of HTML."""
+    turns = _table(spark, sf_dir, "conversations")
+    shown = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(f"{ESC}[1m"), F.col("text"), F.lit(f"{ESC}[22m"))).otherwise(F.col("text"))
+    return turns.select("conv_id", "turn", output_block(shown, "term").alias("shown"))
 
 
 def unhandled_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlay_colored": _each_line(part=lambda x, c: overlay_ctl(x, F.lit(f"{ESC}[31mXY{ESC}[0m"), 3, 4)),
     "strtrim_colored": _each_line(part=lambda x, c: strtrim_ctl(c, 25)),
     "trimws_colored": _each_line(part=lambda x, c: trimws_ctl(F.concat(F.lit(f" \t{ESC}[31m "), x, F.lit(f"{ESC}[39m  ")))),
-    "tabs_as_spaces": _each_line(part=lambda x, c: tabs_as_spaces(F.concat(F.substring(x, 1, 5), F.lit("\t"), F.substring(x, 6, 9), F.lit("\tz")))),
+    "tabs_as_spaces": _each_line(part=lambda x, c: tabs_as_spaces(F.concat(x, F.lit("\t"), x, F.lit("\tz")))),
     "strsplit_colored": _each_line(joined=lambda x, c: F.array_join(strsplit_ctl(c, ", "), "|")),
     "close_state": _each_line(
         reset=lambda x, c: close_state(F.concat(F.lit(f"{ESC}[1;31m"), x)), each=lambda x, c: close_state(F.concat(F.lit(f"{ESC}[1;31m"), x), True)
@@ -143,12 +175,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "to_html_carried": to_html_carried,
     "wrapped_documents": wrapped_documents,
     "wrap_keeps_words": wrap_keeps_words,
+    "wide_text": wide_text,
+    "malformed_states": malformed_states,
+    "output_blocks": output_blocks,
+    "strsplit_carried": _each_line(joined=lambda x, c: F.array_join(strsplit_ctl(x, ", ", carry=events(F.lit(f"{ESC}[1m"))), "|")),
     "unhandled_by_error": unhandled_by_error,
     "make_styles": lambda spark, sf_dir: make_styles(spark),
     "palette_chart": lambda spark, sf_dir: palette_chart(spark),
 }
 
-_LINES = """lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+_LINES = """lines AS (SELECT doc_id, lang, unnest(coalesce(string_split(text, chr(10)), [NULL])) AS x, generate_subscripts(coalesce(string_split(text, chr(10)), [NULL]), 1) AS line_no FROM documents),
 g AS (SELECT *, line_no % 215 + 17 AS b FROM lines),
 o AS (SELECT *, chr(27) || '[' || CASE WHEN ((b - 16) // 18) % 2 = 1 THEN 30 ELSE 37 END || ';48;5;' || b || 'm' AS opened FROM g),
 l AS (SELECT *, CASE WHEN x = '' THEN x ELSE opened || x || chr(27) || '[39;49m' END AS c FROM o)"""
@@ -173,6 +209,17 @@ _HEX = f"""CASE WHEN b < 232 THEN {_HEX2}[(b - 16) // 36 + 1] || {_HEX2}[(b - 16
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '\"', '&quot;'), '''', '&#039;'), '<', '&lt;'), '>', '&gt;')"
 _BASIC = "['000000', 'BB0000', '00BB00', 'BBBB00', '0000BB', 'BB00BB', '00BBBB', 'BBBBBB', '555555', 'FF5555', '55FF55', 'FFFF55', '5555FF', 'FF55FF', '55FFFF', 'FFFFFF']"
 
+# Lines of 59 columns of all documents: white space squeezed by chr(1) and chr(2), which the texts don't
+# have; then as many words as fit, or a longer one; the document's first word in colour.
+_WRAPPED = r"""WITH s AS (SELECT doc_id, coalesce(text, 'NA') AS text, regexp_replace(coalesce(text, 'NA'), '[ \t]*\n([ \t]*\n)+[ \t]*', chr(1), 'g') AS t FROM documents),
+q AS (SELECT doc_id, text, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(t, '[\t\n]', ' ', 'g'), '([.?!]["'')]?) {2,}', '\1' || chr(2), 'g'), ' {2,}', ' ', 'g'), chr(2), '  '), ' *' || chr(1) || '[ ' || chr(1) || ']*', chr(1), 'g') AS t FROM s),
+p AS (SELECT doc_id, text, unnest(string_split(trim(t, ' ' || chr(1)), chr(1))) AS p, generate_subscripts(string_split(trim(t, ' ' || chr(1)), chr(1)), 1) AS k FROM q),
+f AS (SELECT doc_id, text, k, unnest(CASE WHEN p = '' THEN [''] ELSE regexp_extract_all(p, '((?:[^ ](?:.{0,57}[^ ])?|[^ ]+))(?: +|$)', 1) END) AS line,
+    generate_subscripts(CASE WHEN p = '' THEN [''] ELSE regexp_extract_all(p, '((?:[^ ](?:.{0,57}[^ ])?|[^ ]+))(?: +|$)', 1) END, 1) AS j FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, j)::INT AS no, regexp_extract(text, '^[^ \t\n\x0B\f\r]+') AS word FROM f),
+w AS (SELECT doc_id, no, line, CASE WHEN no > 1 OR word = '' THEN line ELSE chr(27) || '[1;34m' || word || chr(27) || '[0m' || substring(line, length(word) + 1) END AS wrapped FROM n)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "byte_overhead_by_lang": f"""WITH {_LINES} SELECT lang, count(*) AS n_lines, count(*) FILTER (x <> '') AS n_colored, sum(length(x))::BIGINT AS visible_chars,
         sum(strlen(c))::BIGINT AS raw_bytes, sum(strlen(x))::BIGINT AS visible_bytes FROM l GROUP BY lang""",
@@ -193,7 +240,27 @@ ORACLE_SQL: dict[str, str] = {
     "trimws_colored": _sql(
         "CASE WHEN trim(x, ' ') = '' THEN '' ELSE chr(27) || '[31m' || trim(x, ' ') || chr(27) || '[0m' END AS part"
     ),
-    "tabs_as_spaces": _sql("rpad(substring(x, 1, 5), 8, ' ') || rpad(substring(x, 6, 9), CASE WHEN length(substring(x, 6, 9)) < 8 THEN 8 ELSE 16 END, ' ') || 'z' AS part"),
+    "tabs_as_spaces": _sql(
+        "rpad(x, ((length(x) // 8 + 1) * 8)::INT, ' ') || rpad(x, (((length(x) // 8 + 1) * 8 + length(x)) // 8 + 1)::INT * 8 - ((length(x) // 8 + 1) * 8)::INT, ' ') || 'z' AS part"
+    ),
+    "strsplit_carried": _sql(
+        """CASE WHEN x = '' THEN '' ELSE array_to_string(list_transform(CASE WHEN x LIKE '%, ' THEN string_split(x, ', ')[:-2] ELSE string_split(x, ', ') END,
+        lambda p: CASE WHEN p = '' THEN '' ELSE chr(27) || '[1m' || p || chr(27) || '[0m' END), '|') END AS joined"""
+    ),
+    "wide_text": f"""WITH {_LINES} SELECT doc_id, line_no, 12 + length(x) AS chars, 13 + length(x) AS width, 8 + length(x) AS graphemes,
+        chr(27) || '[32m' || chr(19969) || 'e' || chr(769) || chr(127462) || chr(127463) || chr(27) || '[0m' AS part,
+        chr(27) || '[32m' || chr(19969) || 'e' || chr(769) || chr(127462) || chr(127463) || chr(27) || '[0m' AS three,
+        chr(27) || '[32m' || chr(19968) || chr(19969) || 'e' || chr(769) || chr(27) || '[0m' AS trimmed FROM l WHERE x IS NOT NULL
+        UNION ALL SELECT doc_id, line_no, NULL, 2, 2, NULL, NULL, NULL FROM l WHERE x IS NULL""",
+    "malformed_states": f"""WITH {_LINES}, m AS (SELECT *, [{", ".join(f"'{v}'" for v in MALFORMED.values())}][line_no % {len(MALFORMED)} + 1] AS s FROM l),
+        t AS (SELECT *, CASE WHEN s = '' THEN '' ELSE chr(27) || '[' || s || 'm' END AS state FROM m)
+        SELECT doc_id, line_no, CASE WHEN x IS NOT NULL THEN state END AS state, CASE WHEN s = '' OR x IS NULL THEN '' ELSE chr(27) || '[0m' END AS close,
+        CASE WHEN substring(x, 2, 4) = '' THEN '' WHEN s = '' THEN substring(x, 2, 4) ELSE state || substring(x, 2, 4) || chr(27) || '[0m' END AS part FROM t""",
+    "output_blocks": f"""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<PRE class="term"><CODE>' || CASE WHEN text = '' THEN '' ELSE '<span style=''font-weight: bold;''>' || {_ESCAPED.format("text")} || '</span>' END
+        || '</CODE></PRE>' ELSE text END AS shown FROM conversations""",
+    "wrapped_documents": _WRAPPED + "SELECT doc_id, no, wrapped FROM w",
+    "wrap_keeps_words": _WRAPPED + """SELECT doc_id, any_value(n)::BIGINT AS n_chars, max(length(line)) AS longest FROM w JOIN
+        (SELECT doc_id, length(regexp_replace(coalesce(text, 'NA'), '[ \\t\\n]', '', 'g')) AS n FROM documents) USING (doc_id) GROUP BY doc_id""",
     "strsplit_colored": _sql(
         """CASE WHEN x = '' THEN '' ELSE array_to_string(list_transform(CASE WHEN x LIKE '%, ' THEN string_split(x, ', ')[:-2] ELSE string_split(x, ', ') END,
         lambda p: CASE WHEN p = '' THEN '' ELSE opened || p || chr(27) || '[0m' END), '|') END AS joined"""
@@ -207,7 +274,7 @@ ORACLE_SQL: dict[str, str] = {
         || '; background-color: #' || {_HEX} || ';''>' || {_ESCAPED.format("x")} || '</span>' END AS html"""
     ),
     "html_esc": f"SELECT page_id, {_ESCAPED.format('html')} AS escaped FROM pages",
-    "code_blocks": f"""SELECT conv_id, '<PRE class=''term''><CODE>' || string_agg({_ESCAPED.format("text")}, chr(10) ORDER BY turn) || '</CODE></PRE>' AS html
+    "code_blocks": f"""SELECT conv_id, '<PRE class="term"><CODE>' || string_agg(coalesce({_ESCAPED.format("text")}, 'NA'), chr(10) ORDER BY turn) || '</CODE></PRE>' AS html
         FROM conversations GROUP BY conv_id""",
     "state_at_end_carried": f"""{_OPEN} SELECT doc_id, line_no, CASE WHEN concat_ws(';', nullif(bold, ''), nullif(fg, '')) = '' THEN ''
         ELSE chr(27) || '[' || concat_ws(';', nullif(bold, ''), nullif(fg, '')) || 'm' END AS state FROM e""",

@@ -13,14 +13,14 @@ def read_documents(spark: SparkSession, path: str, encoding: str = "UTF-8") -> D
 
 
 def write_page(blocks: DataFrame, html: str, order: str, path: str, css: tuple[str, ...] = (), pre: bool = True) -> None:
-    """A web page of the blocks in order, as one text file in the folder ``path``.
+    """A web page of the blocks in order, as text files in the folder ``path`` that follow one another by name.
 
-    The page is one file by its nature: it is sorted and written by one task, a
-    row at a time.
+    Blocks are dealt out by ranges of ``order``, so a large page is written by many tasks;
+    the page is its parts end to end.
     """
     spark = blocks.sparkSession
     head = ["<!DOCTYPE html>", "<html>", *(["<style>", *css, "</style>"] if css else []), "<body>", *(["<pre>"] if pre else [])]
     tail = [*(["</pre>"] if pre else []), "</body>", "</html>"]
     edges = spark.createDataFrame([(0, k, t) for k, t in enumerate(head)] + [(2, k, t) for k, t in enumerate(tail)], "part int, k long, value string")
     body = blocks.select(F.lit(1).alias("part"), F.col(order).cast("long").alias("k"), F.col(html).alias("value"))
-    edges.unionByName(body).repartition(1).sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
+    edges.unionByName(body).repartitionByRange("part", "k").sortWithinPartitions("part", "k").select("value").write.mode("overwrite").text(path)
