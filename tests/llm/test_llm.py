@@ -130,6 +130,20 @@ def test_jaccard_join_empty(empty):
     assert jaccard_join(empty).count() == 0 and one_of_each_group(empty).count() == 0
 
 
+def test_word_hashes_in_slices(monkeypatch):
+    texts = ["Ab  cd\nab", "", "x" * 90, " ", "ab cd " * 30, "cd"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(x) for x in texts])
+    whole, doc = packed.word_hashes(data, offsets)
+    words = [(w.lower(), i) for i, x in enumerate(texts) for w in x.split()]
+    assert doc.tolist() == [i for _, i in words]
+    assert len(set(whole.tolist())) == len({w for w, _ in words})
+    for size in (1, 7, 50):
+        monkeypatch.setattr(packed, "SLICE_BYTES", size)
+        found = packed.word_hashes(data, offsets)
+        assert (found[0] == whole).all() and (found[1] == doc).all()
+
+
 def test_small_sets_link(spark):
     r = random.Random(3)
     texts = [" ".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(150)]

@@ -13,6 +13,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 20
 #: Entries that one hash range is to hold.
 RANGE_ENTRIES = 3_000_000
+#: Bytes whose words are hashed at once: eight bytes of memory go to each, several times over.
+SLICE_BYTES = 1 << 18
 
 
 @dataclass
@@ -299,7 +302,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (A-Z as a-z), and the document that it is in."""
+    """Hash of each word (A-Z as a-z), and the document that it is in; hashed in slices that end at white space."""
     _, folded, space = _tables()
     n = len(data)
     if not n:
@@ -309,9 +312,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cut[offsets] = True
     starts = np.flatnonzero(inside & (np.append(True, ~inside[:-1]) | cut[:n]))
     ends = np.flatnonzero(inside & (np.append(~inside[1:], True) | cut[1:])) + 1
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(folded[data] * powers(n), out=sums[1:])
-    hashed = mix((sums[ends] - sums[starts]) * powers(n, INVERSE)[starts] + (ends - starts).astype(U64))
+    hashed = np.empty(len(starts), U64)
+    spaces = np.flatnonzero(~inside)
+    edges = np.searchsorted(spaces, np.arange(SLICE_BYTES, n, SLICE_BYTES))
+    edges = spaces[edges[edges < len(spaces)]]
+    for begin, end in pairwise(np.unique(np.concatenate([[0], edges, [n]])).tolist()):
+        here = slice(*np.searchsorted(starts, (begin, end)))
+        at, to = starts[here] - begin, ends[here] - begin
+        sums = np.zeros(end - begin + 1, U64)
+        np.cumsum(folded[data[begin:end]] * powers(end - begin), out=sums[1:])
+        hashed[here] = mix((sums[to] - sums[at]) * powers(end - begin, INVERSE)[at] + (to - at).astype(U64))
     return hashed, np.searchsorted(offsets, starts, "right") - 1
 
 
