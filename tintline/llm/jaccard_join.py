@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 from .graph import components
 from .packed import (
     U64,
@@ -198,7 +198,8 @@ def _links(kept: DataFrame, size: int, percent: int) -> DataFrame:
     bodies = kept.filter("body IS NOT NULL").select("uid", "body")
     keyed = kept.select("uid", "n", "own", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("own", "uid", "n")).alias("hub")).filter("c > 1")
-    buckets = buckets.select("key", "c", F.col("hub.uid").alias("hub"), F.col("hub.n").alias("hub_n"))
+    # written as a table, so that the join has shuffles of its own, whose large partitions Spark splits
+    buckets = stored(buckets.select("key", "c", F.col("hub.uid").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     members = checkpointed(keyed.join(buckets, "key").select("key", "uid", "n", "c", "hub", "hub_n"))
     near = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
     # first each bucket's hub against all others of it
@@ -210,7 +211,7 @@ def _links(kept: DataFrame, size: int, percent: int) -> DataFrame:
     sides = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
         F.max_by("comp", F.struct("m", "comp")).alias("giant"), F.count(F.lit(1)).alias("sides")
     ).filter("sides > 1")
-    split = member.filter("uid != hub").join(sides, "key").join(kept.select("uid", "sketch"), "uid")
+    split = member.filter("uid != hub").join(stored(sides, "sides"), "key").join(kept.select("uid", "sketch"), "uid")
     words = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH_BITS // 64)]
     split = checkpointed(split.select("key", "uid", "n", "comp", "giant", *words))
     names = {"uid": "a", "n": "an", "comp": "ac"} | {f"s{k}": f"t{k}" for k in range(SKETCH_BITS // 64)}
