@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.state import let
 from .common import table, words
 from .decontaminate import decontaminate
+from .fill_middle import fill_middle, restored
 from .html_text import extract_text
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .lm_score import lm_score
+from .periodic_runs import periodic_runs, strongest
 from .quality_rules import quality_rules
 from .source_mix import mix_rows
 from .suffix_dedup import suffix_dedup
 from .token_output import read_digest, token_folder, write_tokens
+from .topk_search import topk_search
 from .url_filters import url_filters
 
 URL_RULES = """SELECT * FROM VALUES
@@ -81,6 +85,50 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digest(spark, out)
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the texts, by the id's checksum, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    narrow = docs.select("doc_id", "text", (h % 10 == 0).alias("planted"), F.floor(h / 10).alias("g"))
+
+    def planted(x: Column) -> Column:
+        """x has words and g."""
+        n = F.size(x["words"])
+        a = x["g"] % n
+        p = 1 + F.floor((n - a) / (3 + x["g"] % 8))
+        taken = lambda y: F.transform(y["words"], lambda w, i: F.when(i < y["a"], w).otherwise(F.get(y["words"], (y["a"] + (i - y["a"]) % y["p"]).cast("int"))))
+        return let(F.struct(x["words"].alias("words"), a.alias("a"), p.alias("p")), lambda y: F.array_join(taken(y), " "))
+
+    bag = F.struct(words(F.col("text")).alias("words"), F.col("g"))
+    text = F.when(F.col("planted") & F.col("text").rlike(r"[^\x20\x09-\x0D]"), let(bag, planted)).otherwise(F.col("text"))
+    return narrow.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = F.col("best")
+    return found.withColumn("best", strongest(F.col("runs"))).select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,6 +142,9 @@ QUERIES = {
         op8_decontaminate,
         op9_lm_score,
         op10_token_output,
+        op11_periodic_runs,
+        op12_topk_search,
+        op13_fill_middle,
     )
 }
 
@@ -103,6 +154,10 @@ _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BARE = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# the checksum of a text of ASCII, bit by bit
+_CRC_STEP = "CASE WHEN k % 8 = 0 THEN xor(c, ascii(s[k // 8 + 1])::BIGINT) ELSE c END"
+_CRC32 = f"xor(list_reduce(range(0, 8 * length(s)), lambda c, k: xor(({_CRC_STEP}) >> 1, 3988292384 * (({_CRC_STEP}) & 1)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
 ORACLE_SQL = {
     "op1_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
@@ -206,4 +261,36 @@ c AS (SELECT *, sum(t) OVER (PARTITION BY source, epoch ORDER BY perm_key RANGE
 SELECT doc_id, source, t AS n_tokens, round(weight, 9) AS weight, epoch,
     floor(('0x' || substring(perm_key, 1, 8))::BIGINT * blocks / 4294967296.0::DOUBLE)::BIGINT AS block, perm_key
 FROM c WHERE epoch < f OR (rest > 0 AND upto <= rest)""",
+    "op11_periodic_runs": rf"""
+WITH t AS (SELECT doc_id, doc_id::VARCHAR AS s, {_WORDS} AS w FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, {_CRC32} AS h FROM t),
+a AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+i AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda x: CASE WHEN x < a THEN w[x + 1]
+    ELSE w[a + (x - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM a),
+c AS (SELECT doc_id, p FROM (SELECT doc_id, n, w, unnest(range(1, n // 4 + 1)) AS p FROM i WHERE n >= 6)
+    WHERE len(list_filter(range(0, (n - 1) // p - 2), lambda j: w[j * p + 1] = w[(j + 1) * p + 1] AND w[j * p + 1] = w[(j + 2) * p + 1] AND w[j * p + 1] = w[(j + 3) * p + 1])) > 0),
+e AS (SELECT doc_id, p, unnest(list_filter(range(0, n - p), lambda x: w[x + 1] = w[x + p + 1])) AS x FROM c JOIN i USING (doc_id)),
+s AS (SELECT doc_id, p, min(x) AS s, max(x) + p + 1 AS e FROM (SELECT *, x - row_number() OVER (PARTITION BY doc_id, p ORDER BY x) AS run FROM e) GROUP BY doc_id, p, run),
+r AS (SELECT doc_id, s, e, min(p) AS p FROM s WHERE e - s >= greatest(6, 4 * p) GROUP BY doc_id, s, e),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (e - s)::DOUBLE / p DESC, s, p) = 1),
+l AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || (e - s) || ',' || p || chr(10), '' ORDER BY s, p)) AS runs_sha256 FROM r GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(s + p, e)) AS x FROM r),
+k AS (SELECT doc_id, string_agg(w[x + 1], ' ' ORDER BY x) AS kept FROM (SELECT doc_id, w, unnest(range(0, n)) AS x FROM i SEMI JOIN r USING (doc_id)) ANTI JOIN g USING (doc_id, x) GROUP BY doc_id)
+SELECT i.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.e - b.s AS length, b.p AS period, 1000 * (b.e - b.s) // b.p AS exponent_milli,
+    coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(CASE WHEN b.s IS NULL THEN array_to_string(w, ' ') ELSE kept END, '')) AS collapsed_sha256
+FROM i LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op12_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op13_fill_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || doc_id) AS h FROM documents),
+n AS (SELECT *, len(w) AS n, list_transform(range(0, 4), lambda k: ('0x' || substring(h, 8 * k + 1, 8))::BIGINT) AS u FROM t),
+c AS (SELECT *, least(u[1] % (n + 1), u[2] % (n + 1)) AS a, greatest(u[1] % (n + 1), u[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR u[3] % 100 >= 50 THEN 'plain' WHEN u[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256 FROM p""",
 }
