@@ -11,7 +11,8 @@ from tintline.functions import aliases
 from tintline.functions.controls import has_ctl, has_sgr, nchar_ctl, nchar_sgr, nzchar_ctl, nzchar_sgr, strip_ctl, strip_sgr
 from tintline.functions.demo import color_lines, default_css, default_term_cap, palette_chart, print_text, term_cap_test, unicode_version
 from tintline.functions.html import html_esc, make_styles, output_block, to_html
-from tintline.functions.state import bridge, close_state, events, normalize_state, state_at_end
+from tintline.functions.machine import Machine, Options, Positions, normalize_state, sizes
+from tintline.functions.state import bridge, close_state, events, normalized, state_at_end
 from tintline.functions.text import overlay_ctl, squeeze_space, strsplit_ctl, strtrim_ctl, strwrap_ctl, substr_ctl, tabs_as_spaces, trimws_ctl
 from tintline.operators.carry import carried
 from tintline.operators.tables import code_blocks, exploded, lines, unhandled_ctl
@@ -140,9 +141,9 @@ def test_overlay_options(spark):
     red = f"{E}[31mabcdef"
     mark = F.lit(f"{E}[1mXY")
     assert each(spark, [red], lambda x: overlay_ctl(x, mark, 2, 3), lambda x: overlay_ctl(x, mark, 2, 3, normalize=True), lambda x: overlay_ctl(x, mark, 2, 3, terminate=False)) == [
-        (f"{E}[31ma{E}[0m{E}[1mXY{E}[0m{E}[31mdef{E}[0m", f"{E}[31ma{E}[39m{E}[1mXY{E}[22m{E}[31mdef{E}[39m", f"{E}[31ma{E}[1mXYdef"),
+        (f"{E}[31ma{E}[0m{E}[1mXY{E}[0m{E}[31mdef", f"{E}[31ma{E}[39m{E}[1mXY{E}[22m{E}[31mdef", f"{E}[31ma{E}[1mXYdef"),
     ]
-    assert each(spark, ["abc"], lambda x: overlay_ctl(x, F.lit("Z"), 2, 2, carry=events(F.lit(f"{E}[4m")))) == [f"{E}[4ma{E}[0mZ{E}[4mc{E}[0m"]
+    assert each(spark, ["abc"], lambda x: overlay_ctl(x, F.lit("Z"), 2, 2, carry=f"{E}[4m")) == [f"a{E}[0mZ{E}[4mc"]  # what goes before has left the terminal in that state
     assert each(spark, ["a\tb"], lambda x: overlay_ctl(x, F.lit("ZZ"), 2, 3, tab_stops=(4,))) == ["aZZ b"]
     # a wide character has no room in one column, and two columns' room for one of two
     assert each(spark, ["abcdef"], *[lambda x, r=r: overlay_ctl(x, F.lit("一丁"), 2, 4, "width", r) for r in ("start", "stop", "both", "neither")]) == [("a一def", "a一def", "a一def", "a一def")]
@@ -204,7 +205,7 @@ def test_wrap_white_space(spark):
 
 
 def test_split_and_trim_carry(spark):
-    bold = events(F.lit(f"{E}[1m"))
+    bold = f"{E}[1m"
     assert each(spark, ["a b"], lambda x: strsplit_ctl(x, " ", carry=bold)) == [[f"{E}[1ma{E}[0m", f"{E}[1mb{E}[0m"]]
     assert each(spark, [f" {E}[31m a"], lambda x: trimws_ctl(x, ctl="url"), lambda x: trimws_ctl(x)) == [(f"{E}[31m a", f"{E}[31ma")]
 
@@ -255,7 +256,7 @@ def test_tables(spark, tmp_path):
 
 def test_demo(spark, monkeypatch):
     assert each(spark, ["A", ""], lambda x: color_lines(x, F.lit(1))) == [f"{E}[37;48;5;18mA{E}[39;49m", ""]
-    assert palette_chart(spark).count() > 20 and unicode_version() == unicodedata.unidata_version and len(term_cap_test()) == 3
+    assert palette_chart(spark).count() > 20 and unicode_version() == "17.0.0" and len(term_cap_test()) == 3
     print_text(["x"])
     monkeypatch.setenv("COLORTERM", "truecolor")
     assert "truecolor" in default_term_cap()

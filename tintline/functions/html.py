@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .controls import control_pattern, has_ctl
-from .state import SPECIAL, TermCap, events, fold_pieces, let, nothing, register, then
+from .controls import has_ctl
+from .machine import NONE, REMEMBERED, TOKENS, Machine, State, carried_in, in_batches, machine, state_of
+from .state import NAMES, TermCap
 
 # The 16 basic colours, the steps of the colour cube, and the style of each register.
 BASIC = (
@@ -25,36 +28,33 @@ CSS = {
     "conceal": "color: transparent",
     "crossout": "text-decoration: line-through",
 }
+#: A link as the state has it.
+LINK = re.compile(r"\x1B\]8;[^;]*;([^\x1B]*)\x1B\\")
 ENTITIES = {"&": "&amp;", '"': "&quot;", "'": "&#039;", "<": "&lt;", ">": "&gt;"}
 
 
-def _lookup(values: list[str], at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+def palette() -> list[str]:
+    """The 256 colours as RRGGBB."""
+    cube = [r + g + b for r in CUBE for g in CUBE for b in CUBE]
+    return [*BASIC, *cube, *(f"{8 + 10 * k:02X}" * 3 for k in range(24))]
 
 
-def palette_index(code: Column) -> Column:
-    """0 to 255 for the SGR code of a basic, bright or palette colour; null for others."""
-    number = F.regexp_extract(code, r"(\d+)$", 1).cast("int")
-    return (
-        F.when(code.rlike(r"^[34][0-7]$"), number % 10)
-        .when(code.rlike(r"^9[0-7]$"), number - 82)
-        .when(code.rlike(r"^10[0-7]$"), number - 92)
-        .when(code.rlike(r"^[34]8;5;\d+$"), number)
-    )
+PALETTE = palette()
 
 
-def palette_hex(n: Column) -> Column:
-    """The colour of a number of the palette, as RRGGBB."""
-    cube = F.concat(*[_lookup(CUBE, F.floor((n - 16) / step).cast("int") % 6) for step in (36, 6, 1)])
-    gray = F.lpad(F.hex(8 + 10 * (n - 232)), 2, "0")
-    return F.when(n < 16, _lookup(BASIC, F.least(n, F.lit(15)))).when(n < 232, cube).otherwise(F.concat(gray, gray, gray))
+def palette_index(code: str) -> int | None:
+    """0 to 255 for the SGR code of a basic, bright or palette colour; None for others."""
+    first, *rest = code.split(";")
+    if rest:
+        return int(rest[1]) if rest[0] == "5" else None
+    number = int(first)
+    return number % 10 + (8 if number >= 90 else 0)
 
 
-def color_hex(code: Column) -> Column:
-    """An SGR colour code as #RRGGBB; null if it is none."""
-    direct = F.concat(*[F.lpad(F.hex(F.regexp_extract(code, r"^[34]8;2;(\d+);(\d+);(\d+)$", k).try_cast("int")), 2, "0") for k in (1, 2, 3)])
+def color_hex(code: str) -> str:
+    """An SGR colour code as #RRGGBB."""
     n = palette_index(code)
-    return F.concat(F.lit("#"), F.when(n.isNotNull(), let(n, palette_hex)).otherwise(direct))
+    return "#" + (PALETTE[n] if n is not None else "".join(f"{int(c):02X}" for c in code.split(";")[2:]))
 
 
 def default_classes() -> list[str]:
@@ -72,68 +72,57 @@ def class_names(classes: list[str]) -> list[str]:
     return classes
 
 
-def _opening(state: Column, classes: list[str]) -> Column:
-    fg, bg, inverted = register(state, "fg"), register(state, "bg"), register(state, "invert") != ""
-    color = F.nullif(F.when(inverted, bg).otherwise(fg), F.lit(""))
-    ground = F.nullif(F.when(inverted, fg).otherwise(bg), F.lit(""))
+@lru_cache(maxsize=REMEMBERED)
+def tags(state: State, classes: tuple[str, ...]) -> tuple[str, str]:
+    """What opens and what closes the elements for a state; "" if it shows in none."""
+    on = dict(zip(NAMES, state, strict=True))
+    colors = (on["bg"], on["fg"]) if on["invert"] else (on["fg"], on["bg"])
     names, inline = [], []
-    for code, css, k in ((color, "color", 0), (ground, "background-color", 1)):
-        named = F.lit(None).cast("string")
-        if classes:
-            n = palette_index(code)
-            named = F.when(n < len(classes) // 2, _lookup(classes[k::2], F.least(n, F.lit(len(classes) // 2 - 1))))
-        names.append(named)
-        inline.append(F.when(code.isNotNull() & named.isNull(), F.concat(F.lit(f"{css}: "), color_hex(code))))
-    inline += [F.when(register(state, n) != "", F.lit(css)) for n, css in CSS.items()]
-    names_text, style = F.concat_ws(" ", *names), F.concat_ws("; ", *inline)
-    span = F.concat(
-        F.lit("<span"),
-        F.when(names_text != "", F.concat(F.lit(" class='"), names_text, F.lit("'"))).otherwise(""),
-        F.when(style != "", F.concat(F.lit(" style='"), style, F.lit(";'"))).otherwise(""),
-        F.lit(">"),
-    )
-    address = F.regexp_extract(register(state, "url"), r"^\x1B\]8;[^;]*;(.*)\x1B\\$", 1)
-    return F.concat(
-        F.when(register(state, "url") != "", F.concat(F.lit("<a href='"), html_esc(address), F.lit("'>"))).otherwise(""),
-        F.when(_shown(state), span).otherwise(""),
-    )
-
-
-def _shown(state: Column) -> Column:
-    any_on = F.lit(False)
-    for n in ("fg", "bg", *CSS):
-        any_on = any_on | (register(state, n) != "")
-    return any_on
-
-
-def _ending(state: Column) -> Column:
-    link = F.when(register(state, "url") != "", F.lit("</a>")).otherwise("")
-    return F.concat(F.when(_shown(state), F.lit("</span>")).otherwise(""), link)
-
-
-def to_html(x: Column, classes: bool | list[str] = False, carry: Column | None = None, term_cap: TermCap = None) -> Column:
+    for k, (code, css) in enumerate(zip(colors, ("color", "background-color"), strict=True)):
+        n = palette_index(code) if code and classes else None
+        if n is not None and 2 * n < len(classes):
+            names.append(classes[2 * n + k])
+        elif code:
+            inline.append(f"{css}: {color_hex(code)}")
+    inline += [css for name, css in CSS.items() if on[name]]
+    attributes = (f" class='{' '.join(names)}'" if names else "") + (f" style='{'; '.join(inline)};'" if inline else "")
+    link = LINK.match(on["url"])
+    begin = f"<a href='{link[1]}'>" if link else ""
+    return begin + (f"<span{attributes}>" if attributes else ""), ("</span>" if attributes else "") + ("</a>" if link else "")
+
+
+def as_html(known: Machine, text: str, classes: tuple[str, ...], state: State = NONE) -> str:
+    """Elements are opened where characters follow, so none is empty; they are closed where the state changes, and in the end."""
+    out, at, shown, ending = [], 0, ("", ""), ""
+
+    def put(piece: str) -> None:
+        nonlocal shown, ending
+        if piece:
+            opening, closing = tags(state, classes)
+            if (now := (opening, state[-1])) != shown:
+                out.extend((ending, opening))
+                shown, ending = now, closing
+            out.append(piece)
+
+    for m in TOKENS.finditer(text):
+        put(text[at : m.start()])
+        at = m.end()
+        if m["run"]:
+            state = known.after(state, m["run"])
+    put(text[at:])
+    return "".join([*out, ending])
+
+
+def to_html(x: Column, classes: bool | list[str] = False, carry: Column | str | None = None, term_cap: TermCap = None) -> Column:
     """SGR formats as spans and hyperlinks as links, never nested and all closed.
 
     Other escapes go. ``classes`` (16, 32 or 512 names, foreground and background in
     turn; or True) puts palette colours as classes. ``carry`` is the state that
-    the text begins in. The text itself is not escaped; see ``html_esc``.
+    the text begins in, or a text that ends in it. The text itself, and a link's address in it, is not escaped; see ``html_esc``.
     """
-    names = class_names(default_classes() if classes is True else list(classes)) if classes else []
-    start = nothing() if carry is None else carry
-
-    def step(a: Column, b: Column) -> Column:
-        return F.concat(_ending(a), _opening(b, names))
-
-    # formats before the first and behind the last character give no empty elements
-    lead = F.regexp_extract(x, rf"^((?:{SPECIAL})?)", 1)
-    inner = F.regexp_replace(x, F.lit(rf"^{SPECIAL}|{SPECIAL}\z"), F.lit(""))
-
-    def whole(begin: Column) -> Column:
-        folded = let(fold_pieces(inner, begin, step, term_cap), lambda f: F.concat(f["text"], _ending(f["state"])))
-        return F.when(inner == "", "").otherwise(F.concat(_opening(begin, names), folded))
-
-    rest = control_pattern(("all", "sgr", "url", "nl", "c0"))
-    return F.when(x.contains("\x1b") | F.lit(carry is not None), F.regexp_replace(let(then(start, events(lead, term_cap)), whole), F.lit(rest), F.lit(""))).otherwise(x)
+    names = tuple(class_names(default_classes() if classes is True else list(classes))) if classes else ()
+    asked = F.when(x.contains("\x1b") if carry is None else x.isNotNull(), x)
+    return F.coalesce(in_batches("string", lambda t, s=None: as_html(machine(term_cap), t, names, state_of(s)), asked, *carried_in(carry)), x)
 
 
 def html_esc(x: Column, what: str = "<>&'\"") -> Column:
@@ -163,10 +152,14 @@ def output_block(x: Column, css_class: str | list[str] = ("term", "term-output")
     return F.when(has_ctl(x, ("sgr", "url")), formatted).otherwise(x)
 
 
+def _lookup(values: list[str], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+
+
 def make_styles(spark: SparkSession, classes: list[str] | None = None, mix: list[list[float]] | None = None) -> DataFrame:
     """(n, css): the rule of each class; ``mix`` is a 3 by 3 matrix that the colours are multiplied with."""
     names = class_names(classes or default_classes())
-    base = spark.range(len(names)).select(F.col("id").cast("int").alias("n"), let(F.floor(F.col("id") / 2).cast("int"), palette_hex).alias("hex"))
+    base = spark.range(len(names)).select(F.col("id").cast("int").alias("n"), _lookup(PALETTE, F.floor(F.col("id") / 2).cast("int")).alias("hex"))
     parts = [F.conv(F.substring("hex", 2 * k + 1, 2), 16, 10).cast("double") for k in range(3)]
     if mix:
         mixed = [sum((parts[i] * float(mix[i][j]) for i in range(1, 3)), parts[0] * float(mix[0][j])) for j in range(3)]

@@ -10,6 +10,7 @@ is a coalesce of their elements, and carrying over rows is a window's last non-n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .controls import SGR, URL, control_pattern
 
 # Registers in the order that their codes are written in, with the code that sets
-# and the one that clears each (0 clears all). FG, BG and FONT stand for the codes of _FAMILIES.
+# and the one that clears each (0 clears all). FG, BG and FONT stand for the codes of CODE_FAMILIES.
 REGISTERS = {
     "bold": ("1", "22"),
     "faint": ("2", "22"),
@@ -44,11 +45,12 @@ REGISTERS = {
     "ideogram64": ("64", "65"),
     "font": ("FONT", "10"),
 }
-_FAMILIES = {"FG": "^(?:3[0-7]|9[0-7]|38;.*)$", "BG": "^(?:4[0-7]|10[0-7]|48;.*)$", "FONT": "^1[1-9]$"}
+CODE_FAMILIES = {"FG": "^(?:3[0-7]|9[0-7]|38;.*)$", "BG": "^(?:4[0-7]|10[0-7]|48;.*)$", "FONT": "^1[1-9]$"}
 NAMES = (*REGISTERS, "url")
 STATE = "array<string>"
 
 _BYTE = "(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9]))?"
+_WHOLE = rf"^[34]8;(?:5;{_BYTE}|2;{_BYTE};{_BYTE};{_BYTE})$"
 _CAPABILITY = {"bright": "9[0-7]|10[0-7]", "256": "[34]8;5;.*", "truecolor": "[34]8;2;.*"}
 CAPABILITIES = ("bright", "256", "truecolor", "old")
 TermCap = tuple[str, ...] | None
@@ -62,7 +64,19 @@ def capabilities(term_cap: TermCap) -> frozenset[str]:
     return frozenset(set(CAPABILITIES[:3]) - names | names & {"old"} if "all" in names else names)
 
 
-def _code_pattern(skipped: frozenset[str]) -> str:
+def skipped_colours(term_cap: TermCap) -> frozenset[str]:
+    """The kinds of colours that are no colours to an old terminal."""
+    able = capabilities(term_cap)
+    return frozenset(_CAPABILITY) - able if "old" in able else frozenset()
+
+
+def right_code(code: str, skipped: frozenset[str]) -> bool:
+    """Whether a code as ``codes`` writes it counts."""
+    whole = ";" not in code or re.search(_WHOLE, code)
+    return bool(whole) and not ("bright" in skipped and re.fullmatch(_CAPABILITY["bright"], code))
+
+
+def code_pattern(skipped: frozenset[str]) -> str:
     """One SGR code with its semicolon; a colour with all its parameters, whether they are right or not.
 
     A selector other than 2 and 5 that more follows is a code of its own, and so are all
@@ -99,14 +113,13 @@ def codes(x: Column, term_cap: TermCap = None) -> Column:
     skipped if it lacks them, and the parameters of colours that it lacks are codes of their own.
     A colour with a wrong or missing parameter changes nothing.
     """
-    able = capabilities(term_cap)
-    skipped = frozenset(_CAPABILITY) - able if "old" in able else frozenset()
+    skipped = skipped_colours(term_cap)
     sequences = F.filter(F.regexp_extract_all(x, F.lit(rf"(?s:{SGR}|{control_pattern()})"), F.lit(0)), lambda s: s.rlike(rf"^{SGR}$"))
     own = F.transform(sequences, lambda s: F.concat(F.substring(s, F.lit(3), F.char_length(s) - 3), F.lit(";")))
-    split = F.flatten(F.transform(own, lambda p: F.regexp_extract_all(p, F.lit(_code_pattern(skipped)), F.lit(0))))
+    split = F.flatten(F.transform(own, lambda p: F.regexp_extract_all(p, F.lit(code_pattern(skipped)), F.lit(0))))
     bare = F.transform(split, lambda c: F.substring(c, F.lit(1), F.char_length(c) - 1))
     plain = F.transform(bare, lambda c: F.when(c == "", "0").otherwise(F.regexp_replace(F.regexp_replace(c, ";(?=;|$)", ";0"), r"(^|;)0+(?=[0-9])", "$1")))
-    right = F.filter(plain, lambda c: ~c.contains(";") | c.rlike(rf"^[34]8;(?:5;{_BYTE}|2;{_BYTE};{_BYTE};{_BYTE})$"))
+    right = F.filter(plain, lambda c: ~c.contains(";") | c.rlike(_WHOLE))
     return F.filter(right, lambda c: ~c.rlike(rf"^(?:{_CAPABILITY['bright']})$")) if "bright" in skipped else right
 
 
@@ -129,7 +142,7 @@ def events(x: Column, term_cap: TermCap = None) -> Column:
 
     def assign(state: Column, code: Column) -> Column:
         family = code
-        for name, pattern in _FAMILIES.items():
+        for name, pattern in CODE_FAMILIES.items():
             family = F.when(code.rlike(pattern), F.lit(name)).otherwise(family)
         with_family = F.struct(code.alias("code"), family.alias("family"))
         return let(with_family, lambda c: F.zip_with(state, _slots(), lambda value, slot: (
@@ -164,7 +177,7 @@ def open_state(state: Column, normalize: bool = False) -> Column:
     return let(state, lambda s: F.concat(_sequences(formats(s), normalize), register(s, "url")))
 
 
-_END_LINK = "\x1b]8;;\x1b\\"
+END_LINK = "\x1b]8;;\x1b\\"
 
 
 def close_of(state: Column, normalize: bool = False) -> Column:
@@ -174,7 +187,7 @@ def close_of(state: Column, normalize: bool = False) -> Column:
         pairs = F.zip_with(s, _slots(), lambda v, slot: F.when((v != "") & (slot["off"] != "url"), slot["off"]))
         offs = F.sort_array(F.array_distinct(F.array_compact(pairs)))
         text = _sequences(offs, True) if normalize else F.when(F.size(offs) > 0, F.lit("\x1b[0m")).otherwise("")
-        return F.concat(text, F.when(register(s, "url") != "", F.lit(_END_LINK)).otherwise(""))
+        return F.concat(text, F.when(register(s, "url") != "", F.lit(END_LINK)).otherwise(""))
 
     return let(state, closing)
 
@@ -193,7 +206,7 @@ def bridge(before: Column, after: Column, normalize: bool = False) -> Column:
 
 def _changes(changes: Column, normalize: bool) -> Column:
     url = changes[len(REGISTERS)]
-    link = F.when(url["was"] == url["now"], "").when(url["now"] == "", F.lit(_END_LINK)).otherwise(url["now"])
+    link = F.when(url["was"] == url["now"], "").when(url["now"] == "", F.lit(END_LINK)).otherwise(url["now"])
 
     def codes_of(of: Callable[[Column], Column], field: str = "now") -> Column:
         return F.transform(F.filter(changes, lambda c: (c["off"] != "url") & of(c)), lambda c: c[field])
@@ -271,10 +284,11 @@ def fold_pieces(x: Column, start: Column, step: Callable[[Column, Column], Colum
     return let(folded, lambda f: F.struct(f["state"].alias("state"), F.array_join(f["out"], "").alias("text")))
 
 
-def normalize_state(x: Column, carry: Column | None = None, term_cap: TermCap = None) -> Column:
+def normalized(x: Column, carry: Column | None = None, term_cap: TermCap = None) -> Column:
     """``x`` with each run of SGR and hyperlinks as the least changes, a sequence for each code.
 
-    Codes that change nothing go. With ``carry`` the text is taken to begin in that state.
+    Codes that change nothing go. With ``carry`` the text is taken to begin in that state. This is an
+    expression, for use within others; for columns, ``machine.normalize_state`` is faster.
     """
     start = nothing() if carry is None else carry
     folded = fold_pieces(x, start, lambda a, b: bridge(a, b, True), term_cap)["text"]

@@ -13,8 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .controls import SGR, URL, Ctl, control_pattern, kinds, strip_ctl
-from .state import SPECIAL, STATE, TermCap, bridge, close_of, events, fold, let, normalize_state, nothing, open_state, then
-from .width import cluster_pattern, graphemes_of, is_plain, width_of, zero_pattern
+from .machine import Options, Positions, carried_in, ctl_names, in_batches, machine, split_pattern, state_of
+from .state import SPECIAL, STATE, TermCap, bridge, close_of, events, fold, let, normalized, nothing, open_state, then
+from .width import cluster_pattern, graphemes_of, is_plain, width_of
 
 IntColumn = Column | int
 ROUND = ("start", "stop", "both", "neither")
@@ -38,35 +39,6 @@ def _size_of(type: str, ctl: Ctl):
     return lambda t: F.when(t.rlike("^[\\x20-\\x7E]$"), 1).when(is_control(t), 0).otherwise(measure(t))
 
 
-def _is_special(t: Column) -> Column:
-    return t.rlike(rf"^(?s:{SGR}|{URL})$")
-
-
-def _window(found: Column, start: Column, stop: Column, type: str, round: str, ctl: Ctl) -> Column:
-    """(first, last): numbers of the tokens that positions start to stop take, controls within included."""
-    size = _size_of(type, ctl)
-    begins_at_cut, ends_over = round in ("start", "both"), round in ("stop", "both")
-
-    def step(acc: Column, t: Column) -> Column:
-        w = size(t)
-        at, upto = acc["w"], acc["w"] + w
-        opens = (at >= start - 1) | (F.lit(begins_at_cut) & (upto > start - 1))
-        takes = F.when(w == 0, (at <= stop) & (acc["last"] == acc["i"]) & ~t.startswith("\x1b")).otherwise(
-            (upto <= stop) | (F.lit(ends_over) & (at < stop))
-        )
-        # controls count once more text follows, or where the text ends before the stop
-        within = (w == 0) & (at < stop)
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            upto.cast("int").alias("w"),
-            F.when((acc["first"] == 0) & (w > 0) & opens, acc["i"] + 1).otherwise(acc["first"]).alias("first"),
-            F.when(takes | within, acc["i"] + 1).otherwise(acc["last"]).alias("last"),
-        )
-
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("i", "w", "first", "last")])
-    return F.aggregate(found, zero, step)
-
-
 def _bytes_behind(ctl: Ctl) -> str:
     """A regular expression for controls of one byte, which stay with the character before them."""
     found = "".join(p for k, p in (("c0", r"\x01-\x09\x0B-\x1A\x1C-\x1F\x7F"), ("nl", r"\n")) if k in kinds(ctl))
@@ -86,13 +58,6 @@ def _cut_pattern(start: int, stop: int, ctl: Ctl) -> str:
     return rf"^{lead}({unit}{{{max(0, stop - first + 1)}}}+{_bytes_behind(ctl)}|{unit}*+{gap})"
 
 
-def _start_pattern(units: int, ctl: Ctl) -> str:
-    """A regular expression for so many visible units from the start, each of a column or more, and what has no width behind them."""
-    control, zero = control_pattern(ctl), zero_pattern()
-    gap = f"(?:{control}|{zero})*+" if control else f"{zero}*+"
-    return f"^(?:{gap}{cluster_pattern()}){{0,{units}}}+{gap}"
-
-
 def _formatted(state: Column, text: Column, terminate: bool, normalize: bool, term_cap: TermCap = None) -> Column:
     """``text`` with the format that it begins in put in front and, if ``terminate``, ended behind."""
     if terminate:
@@ -100,7 +65,7 @@ def _formatted(state: Column, text: Column, terminate: bool, normalize: bool, te
     out = let(text, lambda t: F.when(F.lit(terminate) & (t == ""), "").otherwise(
         F.concat(open_state(state), t, close_of(then(state, events(t, term_cap))) if terminate else F.lit(""))
     ))
-    return normalize_state(out, term_cap=term_cap) if normalize else out
+    return normalized(out, term_cap=term_cap) if normalize else out
 
 
 def substr_ctl(
@@ -112,52 +77,56 @@ def substr_ctl(
     ctl: Ctl = "all",
     normalize: bool = False,
     terminate: bool = True,
-    carry: Column | None = None,
+    carry: Column | str | None = None,
     tab_stops: tuple[int, ...] | None = None,
     term_cap: TermCap = None,
 ) -> Column:
     """The part of ``x`` from position ``start`` to ``stop``, in the format that it has there.
 
-    ``carry`` is the state that the text begins in. With ``tab_stops`` tabs become
-    spaces first. A stop before the start, or below 1, gives "".
+    ``carry`` is the state that the text begins in, or a text that ends in it. With ``tab_stops``
+    tabs become spaces first. A stop before the start, or below 1, gives "".
+
+    Known positions of texts with a character a position are cut by one pattern; other texts with
+    controls, or with wide characters, go through Arrow batches, so within functions of arrays only
+    positions that are numbers, of type chars, can be cut.
     """
     if round not in ROUND:
         raise ValueError(f"round: {round!r} is none of {', '.join(ROUND)}")
-    if tab_stops:
-        x = tabs_as_spaces(x, tab_stops, ctl)
-    before = nothing() if carry is None else carry
+    carried = carried_in(carry)
+    before = carried[0] if carried else nothing()
     known = (start, stop) if isinstance(start, int) and isinstance(stop, int) else None
     start, stop = _int(start), _int(stop)
+    control = control_pattern(ctl)
 
-    def cut(found: Column) -> Column:
-        return let(_window(found, start, stop, type, round, ctl), lambda w: piece(found, w))
-
-    def piece(found: Column, w: Column) -> Column:
-        # a start before the text keeps the controls there; specials are put in front anyway
-        first = F.when((start < 1) & (stop > 0), 1).when(w["first"] > 0, w["first"]).otherwise(w["i"] + 1)
-        lead = F.slice(found, 1, first - 1)
-        body = F.when(w["last"] >= first, F.slice(found, first, w["last"] - first + 1)).otherwise(F.array().cast("array<string>"))
-        return in_format(F.array_join(lead, ""), F.array_join(body, ""))
+    def direct(first: int, last: int) -> Column:
+        one = _cut_pattern(first, last, ctl)
+        parts = F.struct(then(before, events(F.regexp_extract(x, one, 1), term_cap)).alias("state"), F.regexp_extract(x, one, 2).alias("body"))
+        return let(parts, lambda p: _formatted(p["state"], p["body"], terminate, normalize, term_cap))
 
-    def in_format(lead: Column, body: Column) -> Column:
-        return let(F.struct(then(before, events(lead, term_cap)).alias("state"), body.alias("body")), written)
+    plain = F.substring(x, F.greatest(start, F.lit(1)), stop - F.greatest(start, F.lit(1)) + 1)
+    inside = (stop >= start) & (stop >= 1)
+    if carry is not None:
+        simple = F.lit(False)
+    elif type == "chars":
+        simple = ~x.rlike(control) if control else F.lit(True)
+    else:
+        simple = is_plain(x) & (~x.rlike(control) if control else F.lit(True))
+    if tab_stops:
+        simple = simple & ~x.contains("\t")
+    if known and type == "chars" and not tab_stops:
+        out = F.when(simple, plain).otherwise(direct(*known))
+    else:
+        by_pattern = ~simple & is_plain(strip_ctl(x, ctl)) & (~x.contains("\t") if tab_stops else F.lit(True)) if known else F.lit(False)
+        options = Options(type, round, ctl_names(ctl), normalize, terminate, tab_stops)
 
-    def written(p: Column) -> Column:
-        return _formatted(p["state"], p["body"], terminate, normalize, term_cap)
+        def cut(t: str, a: int, b: int, registers: list | None = None) -> str:
+            return machine(term_cap).cut(Positions(t, options), a, b, state_of(registers))
 
-    plain = F.substring(x, F.greatest(start, F.lit(1)), stop - F.greatest(start, F.lit(1)) + 1)
-    # what stands behind a known stop is not looked at, but for one unit
-    near = F.regexp_extract(x, _start_pattern(max(0, known[1]) + 1, ctl), 0) if known and type != "chars" else x
-    general = let(tokens(near, ctl, type != "chars"), cut)
-    if known:  # each character is a position: one pattern finds the cut
-        one = _cut_pattern(*known, ctl)
-        direct = in_format(F.regexp_extract(x, one, 1), F.regexp_extract(x, one, 2))
-        general = direct if type == "chars" else F.when(is_plain(strip_ctl(x, ctl)), direct).otherwise(general)
-    simple = ~x.rlike(control_pattern(ctl)) if control_pattern(ctl) else F.lit(True)
-    if carry is not None or type != "chars":
-        simple = F.lit(False) if carry is not None else x.rlike(r"^[\x20-\x7E]*\z")
-    out = F.when((stop < start) | (stop < 1), "").when(simple, plain).otherwise(general)
-    return F.when(x.isNotNull() & start.isNotNull() & stop.isNotNull(), out)
+        asked = F.when(inside & ~simple & ~by_pattern, x)
+        general = in_batches("string", cut, asked, start, stop, *carried)
+        out = F.when(simple, plain)
+        out = (out.when(by_pattern, direct(*known)) if known else out).otherwise(general)
+    return F.when(x.isNotNull() & start.isNotNull() & stop.isNotNull(), F.when(~inside, "").otherwise(out))
 
 
 def overlay_ctl(
@@ -170,62 +139,50 @@ def overlay_ctl(
     ctl: Ctl = "all",
     normalize: bool = False,
     terminate: bool = True,
-    carry: Column | None = None,
-    value_carry: Column | None = None,
+    carry: Column | str | None = None,
+    value_carry: Column | str | None = None,
     tab_stops: tuple[int, ...] | None = None,
     term_cap: TermCap = None,
 ) -> Column:
     """``x`` with positions start to stop taken by ``value``, cut to the room that there is.
 
     A shorter value takes as many positions as it has, and so does one that loses a wide
-    character to the cut; the text behind follows it. Each part keeps its own format;
-    without ``terminate`` formats run on, and the text behind gets what leads from the format
-    of the text before to its own. ``carry`` and ``value_carry`` are the states that the two
-    texts begin in. Null if any argument is.
+    character to the cut; the text behind follows it. What stands before and behind stays as it is,
+    each in its own format; ``normalize`` is for the value and what is written around it. Without
+    ``terminate`` formats run on, and the text behind gets what leads from the format of the text
+    before to its own. ``carry`` and ``value_carry`` are the states that the two texts begin in.
+    Null if any argument is. Texts and values without controls and wide characters stay within Catalyst.
     """
-    if tab_stops:
-        x, value = tabs_as_spaces(x, tab_stops, ctl), tabs_as_spaces(value, tab_stops, ctl)
-    start, stop = F.greatest(_int(start), F.lit(1)), _int(stop)
-    size = {"chars": F.char_length, "graphemes": graphemes_of, "width": width_of}[type]
-    common = {"ctl": ctl, "normalize": normalize, "terminate": terminate, "term_cap": term_cap}
-
-    def visible(t: Column) -> Column:
-        return size(strip_ctl(t, ctl)).cast("int")
-
-    have = visible(x)
-    room = F.least(stop, have) - start + 1
-
-    def fitting(n: Column) -> Column:
-        return substr_ctl(value, F.lit(1), n, type, round, carry=value_carry, **common)
-
-    def put_together(middle: Column, taken: Column) -> Column:
-        lead = substr_ctl(x, F.lit(1), start - 1, type, round, carry=carry, **common)
-        tail = substr_ctl(x, start + taken, have, type, "neither", carry=carry, **common)
-        if terminate:
-            return F.concat(lead, middle, tail)
-
-        def joined(p: dict[str, Column]) -> Column:
-            between = F.when(p["tail"] == "", "").otherwise(bridge(events(p["lead"], term_cap), events(p["opened"], term_cap), normalize))
-            return F.concat(p["lead"], p["middle"], between, F.substring(p["tail"], F.char_length(p["opened"]) + 1, F.char_length(p["tail"])))
-
-        parts = F.struct(lead.alias("lead"), middle.alias("middle"), tail.alias("tail"))
-        return let(parts, lambda p: joined({"lead": p["lead"], "middle": p["middle"], "tail": p["tail"], "opened": F.regexp_extract(p["tail"], rf"^((?:{SPECIAL})?)", 1)}))
-
-    if type == "chars":
-        whole = put_together(fitting(room), F.least(room, visible(value)))
-    else:
-        # a cut that rounds up may be a position too wide: then one less, then nothing
-        one = let(fitting(room), lambda m: F.struct(m.alias("m"), visible(m).alias("n")))
-        less = let(fitting(room - 1), lambda m: F.struct(m.alias("m"), visible(m).alias("n")))
-        fits = F.filter(F.array(one, less, F.struct(F.lit("").alias("m"), F.lit(0).alias("n"))), lambda c: c["n"] <= room)
-        whole = let(F.element_at(fits, 1), lambda c: put_together(c["m"], c["n"]))
+    if round not in ROUND:
+        raise ValueError(f"round: {round!r} is none of {', '.join(ROUND)}")
+    start, stop = _int(start), _int(stop)
+    options = Options(type, round, ctl_names(ctl), normalize, terminate, tab_stops)
+
+    def simple(t: Column) -> Column:
+        control = control_pattern(ctl)
+        clean = ~t.rlike(control) if control else F.lit(True)
+        clean = clean & ~t.contains("\t") if tab_stops else clean
+        return clean if type == "chars" else clean & is_plain(t)
+
+    def put(t: str, v: str, a: int, b: int, *registers: list | None) -> str:
+        states = [state_of(r) for r in registers] or [state_of(None)] * 2
+        return machine(term_cap).overlay(Positions(t, options), Positions(v, options), a, b, *states)
+
+    plainly = simple(x) & simple(value) & F.lit(carry is None and value_carry is None)
+    begin = F.greatest(start, F.lit(1))
+    have, room = F.char_length(x), F.least(stop, F.char_length(x)) - begin + 1
+    taken = F.least(room, F.char_length(value))
+    lead = F.substring(x, F.lit(1), begin - 1)
+    native = F.when((room >= 1) & (stop >= start) & (taken >= 1), F.concat(lead, F.substring(value, F.lit(1), taken), F.substring(x, begin + taken, have))).otherwise(x)
     given = x.isNotNull() & value.isNotNull() & start.isNotNull() & stop.isNotNull()
-    return F.when(given & (room >= 1), whole).otherwise(F.when(given, x))
+    carried = [] if carry is None and value_carry is None else [*carried_in("" if carry is None else carry), *carried_in("" if value_carry is None else value_carry)]
+    general = in_batches("string", put, F.when(given & ~plainly, x), value, start, stop, *carried)
+    return F.when(given, F.when(plainly, native).otherwise(general))
 
 
 def strtrim_ctl(
     x: Column, width: IntColumn, ctl: Ctl = "all", normalize: bool = False, terminate: bool = True,
-    carry: Column | None = None, tab_stops: tuple[int, ...] | None = None, term_cap: TermCap = None,
+    carry: Column | str | None = None, tab_stops: tuple[int, ...] | None = None, term_cap: TermCap = None,
 ) -> Column:
     """The first ``width`` columns of ``x``."""
     return substr_ctl(x, 1, width, "width", "neither", ctl, normalize, terminate, carry, tab_stops, term_cap)
@@ -236,9 +193,11 @@ def trimws_ctl(x: Column, which: str = "both", normalize: bool = False, ctl: Ctl
     if which not in ("both", "left", "right"):
         raise ValueError(f"which: {which!r} is none of both, left, right")
     formats = [pattern for kind, pattern in (("sgr", SGR), ("url", URL)) if kind in kinds(ctl)]
-    end = "|".join([r"[ \t\r\n]", *(rf"(?s:{f})" for f in formats)]).replace("([^", "(?:[^")
+    end = "|".join([r"[ \t\r\n]++", *(rf"(?s:{f})" for f in formats)]).replace("([^", "(?:[^")
     left = F.regexp_extract(x, rf"^((?:{end})*+)", 1) if which != "right" else F.lit("")
-    ends = F.regexp_extract(x, rf"(?s)((?:{end})*)\z", 1) if which != "left" else F.lit("")
+    # what stands behind the last character of another kind, found from the start without going back
+    before = F.regexp_extract(x, rf"(?s)^((?:(?:{end})*+(?:[^ \t\r\n\x1B]++|(?!{end}).))*+)", 1)
+    ends = F.substring(x, F.char_length(before) + 1, F.char_length(x)) if which != "left" else F.lit("")
 
     def state_of(t: Column) -> Column:
         return events(t, term_cap)
@@ -283,63 +242,29 @@ def tabs_as_spaces(x: Column, tab_stops: tuple[int, ...] = (8,), ctl: Ctl = "all
 
 
 def strsplit_ctl(
-    x: Column, split: str, fixed: bool = False, ctl: Ctl = "all", normalize: bool = False, terminate: bool = True,
-    carry: Column | None = None, term_cap: TermCap = None,
+    x: Column, split: str | Column, fixed: bool = False, ctl: Ctl = "all", normalize: bool = False, terminate: bool = True,
+    carry: Column | str | None = None, term_cap: TermCap = None,
 ) -> Column:
-    """Pieces of ``x`` between matches of ``split`` (a regular expression) in its visible text.
+    """Pieces of ``x`` between matches of ``split`` (a regular expression of the library regex) in its visible text.
 
-    An empty ``split`` gives the characters. A text that ends in a match has no
-    empty last piece; an empty text has no pieces. ``carry`` is the state that the text begins in.
+    An empty ``split`` gives the characters. A text that ends in a match has no empty last
+    piece, an empty text has no pieces, and one without a match is one piece, as it is. ``carry``
+    is the state that the text begins in. ``split`` may be a column. Texts without controls
+    that are split by a fixed text stay within Catalyst; others go through Arrow batches.
     """
-    pattern = f"(?:{re.escape(split) if fixed else split})"
-    control = control_pattern(ctl)
-    gap = f"{control}*+" if control else ""
-    behind = _bytes_behind(ctl)
-    begin_in = nothing() if carry is None else carry
-
-    def in_format(parts: Column) -> Column:
-        """Parts that follow each other, each with the format that it begins in."""
-        own = rf"^({gap})((?:{gap}(?s:.))*+{behind})"
-
-        def step(state: Column, part: Column) -> Column:
-            lead, body = F.regexp_extract(part, own, 1), F.regexp_extract(part, own, 2)
-            text = let(then(state, events(lead, term_cap)), lambda begin: _formatted(begin, body, terminate, normalize, term_cap))
-            return F.struct(then(state, events(part, term_cap)).alias("state"), text.alias("out"))
-
-        return fold(parts, begin_in.cast(STATE), step)["out"]
-
-    def without_last(parts: Column, visible: Column) -> Column:
-        return F.when(F.element_at(visible, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-
-    def spans(clean: Column) -> Column:
-        """First and last position of each piece."""
-        gaps, parts = F.regexp_extract_all(clean, F.lit(pattern), F.lit(0)), F.split(clean, pattern, -1)
-        lengths = F.zip_with(parts, gaps, lambda p, g: F.struct(F.char_length(p).alias("p"), F.coalesce(F.char_length(g), F.lit(0)).alias("g")))
+    options, control = Options("chars", "start", ctl_names(ctl), normalize, terminate), control_pattern(ctl)
 
-        def step(at: Column, n: Column) -> Column:
-            span = F.struct((at + 1).alias("a"), (at + n["p"]).alias("b"))
-            return F.struct((at + n["p"] + n["g"]).cast("int").alias("state"), span.alias("out"))
+    def cut(t: str, by: str, registers: list | None = None) -> list[str]:
+        return machine(term_cap).split(Positions(t, options), split_pattern(by, fixed), state_of(registers))
 
-        return without_last(fold(lengths, F.lit(0), step, "struct<a:int,b:int>")["out"], parts)
-
-    def cut(found: Column) -> Column:
-        return F.transform(found, lambda s: substr_ctl(x, s["a"], s["b"], ctl=ctl, normalize=normalize, terminate=terminate, carry=carry, term_cap=term_cap))
-
-    clean = strip_ctl(x, ctl)
-    if not split:
-        pieces = in_format(F.regexp_extract_all(x, F.lit(f"{gap}(?s:.){behind}"), F.lit(0)))
-    else:
-        parts, visible = F.split(x, pattern, -1), F.split(clean, pattern, -1)
-        # where no match takes a control, the text's own pieces are those of its visible part
-        apart = F.lit(True)
-        if control:
-            apart = ~F.exists(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda g: g.rlike(control))
-            apart = apart & (F.transform(parts, lambda p: strip_ctl(p, ctl)) == visible)
-        plain = without_last(visible, visible)
-        pieces = F.when(apart, without_last(in_format(parts), visible)).otherwise(let(let(clean, spans), cut))
-        if carry is None:
-            pieces = F.when(x == clean, plain).otherwise(pieces)
-    return F.when(clean == "", F.array().cast("array<string>")).when(clean.isNotNull(), pieces)
+    by = F.lit(split) if isinstance(split, str) else split
+    carried = carried_in(carry)
+    if not isinstance(split, str) or not split or not (fixed or re.escape(split).replace("\\ ", " ") == split) or carry is not None:
+        return F.when(by.isNotNull(), in_batches("array<string>", cut, x, by, *carried))
+    parts = F.split(x, re.escape(split), -1)
+    clean = ~x.rlike(control) if control else F.lit(True)
+    whole = let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return F.when(clean, whole).otherwise(in_batches("array<string>", cut, F.when(~clean, x), by))
 
 
 def _paragraphs(x: Column) -> Column:
@@ -348,7 +273,7 @@ def _paragraphs(x: Column) -> Column:
     Controls within white space go behind it.
     """
     control = control_pattern(("all", "nl"))
-    run = rf"[ \t\n]++(?:(?:{control})++[ \t\n]++)++"
+    run = rf"(?<![ \t\n])[ \t\n]++(?:(?:{control})++[ \t\n]++)++"  # looked for once in white space, not at each blank
 
     def moved(piece: Column) -> Column:
         controls = F.array_join(F.regexp_extract_all(piece, F.lit(control), F.lit(0)), "")
@@ -360,12 +285,12 @@ def _paragraphs(x: Column) -> Column:
     def squeezed(p: Column) -> Column:
         flat = F.regexp_replace(p, F.lit(r"[\t\n]"), F.lit(" "))
         # a text's or paragraph's controls beyond its first and last word go to these
-        ends = F.regexp_replace(F.regexp_replace(flat, F.lit(rf"^ *+((?:{control})++) ++"), F.lit("$1")), F.lit(rf" ++((?:{control})++) *+\z"), F.lit("$1"))
+        ends = F.regexp_replace(F.regexp_replace(flat, F.lit(rf"^ *+((?:{control})++) ++"), F.lit("$1")), F.lit(rf"(?<! ) ++((?:{control})++) *+\z"), F.lit("$1"))
         flat = F.when(flat.contains("\x1b"), ends).otherwise(flat)
         words = F.regexp_replace(flat, F.lit(r"(?<! )(?<![.?!])(?<![.?!][\"')]) {2,}"), F.lit(" "))
         return F.btrim(F.regexp_replace(words, F.lit(" {3,}"), F.lit("  ")), F.lit(" "))
 
-    parts = F.transform(F.split(gathered, r"[ \t]*+\n(?:[ \t]*+\n)++[ \t]*+", -1), squeezed)
+    parts = F.transform(F.split(gathered, r"(?<![ \t])[ \t]*+\n(?:[ \t]*+\n)++[ \t]*+", -1), squeezed)
     return let(F.filter(parts, lambda p: p != ""), lambda found: F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found))
 
 
@@ -377,6 +302,10 @@ def squeeze_space(x: Column) -> Column:
     return F.when(x.isNotNull(), F.array_join(_paragraphs(x), "\n\n"))
 
 
+#: Columns up to which lines are found by a regular expression, which goes as deep as a line is wide.
+_PATTERN_WIDTH = 1000
+
+
 def _line_pattern(head: int, rest: int, control: str) -> str:
     """A regular expression for the lines of a paragraph in turn: as many words as fit, or one that is too long.
 
@@ -461,7 +390,7 @@ def strwrap_ctl(
 
     def filled(paragraph: Column) -> Column:
         general = fill(paragraph, head)
-        if wrap_always or not strip_spaces:
+        if wrap_always or not strip_spaces or target > _PATTERN_WIDTH:
             return general
 
         def by(pattern_control: str) -> Column:
@@ -479,7 +408,7 @@ def strwrap_ctl(
         def finished(line: Column, text: Column) -> Column:
             if pad_end:
                 text = F.concat(text, F.repeat(F.lit(pad_end), F.greatest(F.lit(0), target - F.char_length(line["lead"]) - size(line["text"]))))
-            return F.concat(line["lead"], normalize_state(text, term_cap=term_cap) if normalize else text)
+            return F.concat(line["lead"], normalized(text, term_cap=term_cap) if normalize else text)
 
         def step(state: Column, line: Column) -> Column:
             body = F.regexp_replace(line["text"], F.lit(rf"{SPECIAL}\z"), F.lit("")) if terminate else line["text"]

@@ -1,51 +1,71 @@
-"""Display width of text, within Catalyst."""
+"""Display width of text."""
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Of the tables below, but for LATER_WIDE.
-UNICODE_VERSION = unicodedata.unidata_version
-
-# Ranges that became wide after the Unicode version of Python's own tables.
-LATER_WIDE = ((0x2630, 0x2637), (0x268A, 0x268F), (0x4DC0, 0x4DFF), (0x1D300, 0x1D356), (0x1D360, 0x1D376))
+#: Of the widths: Python's own tables, with what later versions changed.
+UNICODE_VERSION = "17.0.0"
+
+# Ranges that are wide, without width, and a column wide since Unicode 15.1.
+LATER_WIDE = (
+    (0x2630, 0x2637), (0x268A, 0x268F), (0x31E4, 0x31E5), (0x4DC0, 0x4DFF), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CFF, 0x18CFF), (0x18D09, 0x18D1E),
+    (0x18D80, 0x18DF2), (0x1D300, 0x1D356), (0x1D360, 0x1D376), (0x1F6D8, 0x1F6D8), (0x1FA89, 0x1FA8A), (0x1FA8E, 0x1FA8F), (0x1FABE, 0x1FABE), (0x1FAC6, 0x1FAC6),
+    (0x1FAC8, 0x1FAC8), (0x1FACD, 0x1FACD), (0x1FADC, 0x1FADC), (0x1FADF, 0x1FADF), (0x1FAE9, 0x1FAEA), (0x1FAEF, 0x1FAEF),
+)
+LATER_ZERO = (
+    (0x0897, 0x0897), (0x1ACF, 0x1ADD), (0x1AE0, 0x1AEB), (0x10D69, 0x10D6D), (0x10EFA, 0x10EFC), (0x113BB, 0x113C0), (0x113CE, 0x113CE), (0x113D0, 0x113D0),
+    (0x113D2, 0x113D2), (0x113E1, 0x113E2), (0x11B60, 0x11B60), (0x11B62, 0x11B64), (0x11B66, 0x11B66), (0x11F5A, 0x11F5A), (0x1611E, 0x16129), (0x1612D, 0x1612F),
+    (0x1E5EE, 0x1E5EF), (0x1E6E3, 0x1E6E3), (0x1E6E6, 0x1E6E6), (0x1E6EE, 0x1E6EF), (0x1E6F5, 0x1E6F5),
+)
+LATER_ONE = ((0x1171E, 0x1171E),)
 
 #: A pair of regional indicators is one flag; one alone is as wide.
 _FLAGS = r"[\x{1F1E6}-\x{1F1FF}]{1,2}"
-_JOINED = r"(?s:\x{200D}.?)"
+#: A joiner takes the character behind it along, unless that is ASCII or half a flag.
+_JOINED = r"(?:\x{200D}++[^\x00-\x7F\x{1F1E6}-\x{1F1FF}]?+)"
 _SKIN = r"[\x{1F3FB}-\x{1F3FF}]"
 #: Text in which each character is a column: no table is needed.
 _PLAIN = r"^[\x20-\x7E\xA1-\xAC\xAE-\x{2FF}]*\z"
 
 
-def _class(of) -> str:
-    """A character class of the code points for which ``of`` holds."""
-    found, begin = [], None
-    for cp in range(sys.maxunicode + 2):
-        inside = cp <= sys.maxunicode and of(cp)
-        if inside and begin is None:
-            begin = cp
-        elif not inside and begin is not None:
-            found.append(rf"\x{{{begin:X}}}-\x{{{cp - 1:X}}}" if cp - 1 > begin else rf"\x{{{begin:X}}}")
-            begin = None
-    return f"[{''.join(found)}]"
+@lru_cache(maxsize=1)
+def widths() -> np.ndarray:
+    """0, 1 or 2 for every code point, in itself."""
+    out = np.ones(0x110000, np.int8)
+    for cp in range(len(out)):
+        if unicodedata.east_asian_width(chr(cp)) in "FW":
+            out[cp] = 2
+        if unicodedata.category(chr(cp)) in ("Mn", "Me", "Cf", "Cc") or 0x1160 <= cp <= 0x11FF:
+            out[cp] = 0
+    for ranges, width in ((LATER_WIDE, 2), (LATER_ZERO, 0), (LATER_ONE, 1), (((0xAD, 0xAD), (0xD800, 0xDFFF)), 1)):
+        for a, b in ranges:
+            out[a : b + 1] = width
+    return out
+
+
+#: Ranges of a class that are looked through once a character is known to be near them.
+_NEAR = 16
 
 
-def _zero(cp: int) -> bool:
-    return cp != 0xAD and (unicodedata.category(chr(cp)) in ("Mn", "Me", "Cf", "Cc") or 0x1160 <= cp <= 0x11FF)
+def _class(inside: np.ndarray) -> str:
+    """A character class of some code points, in two stages: a stretch that holds some of its ranges, then these."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]))).reshape(-1, 2)
+    ranges = [(int(a), int(b) - 1) for a, b in edges]
+    near = [ranges[k : k + _NEAR] for k in range(0, len(ranges), _NEAR)]
+    span = lambda a, b: rf"\x{{{a:X}}}-\x{{{b:X}}}"
+    return f"[{''.join(f'[{span(own[0][0], own[-1][1])}&&[{"".join(span(*r) for r in own)}]]' for own in near)}]"
 
 
 @lru_cache(maxsize=1)
 def classes() -> tuple[str, str]:
     """Character classes of zero-width and of double-width code points."""
-    later = {cp for a, b in LATER_WIDE for cp in range(a, b + 1)}
-    wide = _class(lambda cp: (unicodedata.east_asian_width(chr(cp)) in "FW" or cp in later) and not _zero(cp))
-    return _class(lambda cp: not 0xD800 <= cp <= 0xDFFF and _zero(cp)), wide
+    return _class(widths() == 0), _class(widths() == 2)
 
 
 def _joined(x: Column) -> Column:
@@ -78,8 +98,3 @@ def cluster_pattern() -> str:
     """A regular expression for one visible character with the zero-width ones that follow."""
     zero, _ = classes()
     return rf"(?s:(?:{_FLAGS}|.)(?:{_JOINED}|{_SKIN}|{zero})*+)"
-
-
-def zero_pattern() -> str:
-    """A regular expression for one character without width."""
-    return classes()[0]

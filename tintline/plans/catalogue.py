@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.controls import has_ctl, nchar_ctl, nzchar_ctl, strip_ctl
 from ..functions.demo import color_lines, palette_chart
 from ..functions.html import html_esc, make_styles, output_block, to_html
-from ..functions.state import close_state, events, normalize_state, state_at_end
+from ..functions.machine import normalize_state
+from ..functions.state import close_state, state_at_end
 from ..functions.text import overlay_ctl, strsplit_ctl, strtrim_ctl, strwrap_ctl, substr_ctl, tabs_as_spaces, trimws_ctl
 from ..operators.carry import carried
 from ..operators.tables import code_blocks, exploded, lines, unhandled_ctl
@@ -178,7 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wide_text": wide_text,
     "malformed_states": malformed_states,
     "output_blocks": output_blocks,
-    "strsplit_carried": _each_line(joined=lambda x, c: F.array_join(strsplit_ctl(x, ", ", carry=events(F.lit(f"{ESC}[1m"))), "|")),
+    "strsplit_carried": _each_line(joined=lambda x, c: F.array_join(strsplit_ctl(x, ", ", carry=f"{ESC}[1m"), "|")),
     "unhandled_by_error": unhandled_by_error,
     "make_styles": lambda spark, sf_dir: make_styles(spark),
     "palette_chart": lambda spark, sf_dir: palette_chart(spark),
@@ -244,7 +245,7 @@ ORACLE_SQL: dict[str, str] = {
         "rpad(x, ((length(x) // 8 + 1) * 8)::INT, ' ') || rpad(x, (((length(x) // 8 + 1) * 8 + length(x)) // 8 + 1)::INT * 8 - ((length(x) // 8 + 1) * 8)::INT, ' ') || 'z' AS part"
     ),
     "strsplit_carried": _sql(
-        """CASE WHEN x = '' THEN '' ELSE array_to_string(list_transform(CASE WHEN x LIKE '%, ' THEN string_split(x, ', ')[:-2] ELSE string_split(x, ', ') END,
+        """CASE WHEN x = '' THEN '' WHEN NOT contains(x, ', ') THEN x ELSE array_to_string(list_transform(CASE WHEN x LIKE '%, ' THEN string_split(x, ', ')[:-2] ELSE string_split(x, ', ') END,
         lambda p: CASE WHEN p = '' THEN '' ELSE chr(27) || '[1m' || p || chr(27) || '[0m' END), '|') END AS joined"""
     ),
     "wide_text": f"""WITH {_LINES} SELECT doc_id, line_no, 12 + length(x) AS chars, 13 + length(x) AS width, 8 + length(x) AS graphemes,
@@ -262,7 +263,7 @@ ORACLE_SQL: dict[str, str] = {
     "wrap_keeps_words": _WRAPPED + """SELECT doc_id, any_value(n)::BIGINT AS n_chars, max(length(line)) AS longest FROM w JOIN
         (SELECT doc_id, length(regexp_replace(coalesce(text, 'NA'), '[ \\t\\n]', '', 'g')) AS n FROM documents) USING (doc_id) GROUP BY doc_id""",
     "strsplit_colored": _sql(
-        """CASE WHEN x = '' THEN '' ELSE array_to_string(list_transform(CASE WHEN x LIKE '%, ' THEN string_split(x, ', ')[:-2] ELSE string_split(x, ', ') END,
+        """CASE WHEN x = '' THEN '' WHEN NOT contains(x, ', ') THEN c ELSE array_to_string(list_transform(CASE WHEN x LIKE '%, ' THEN string_split(x, ', ')[:-2] ELSE string_split(x, ', ') END,
         lambda p: CASE WHEN p = '' THEN '' ELSE opened || p || chr(27) || '[0m' END), '|') END AS joined"""
     ),
     "close_state": _sql("chr(27) || '[0m' AS reset, chr(27) || '[22m' || chr(27) || '[39m' AS each"),
