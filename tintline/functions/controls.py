@@ -42,19 +42,20 @@ def control_pattern(ctl: Ctl = "all") -> str:
     csi_end = {("csi", "sgr"): r"[\x40-\x7E]?+", ("sgr",): "m", ("csi",): r"(?:[\x40-\x6C\x6E-\x7E]|\z)"}
     asked = tuple(k for k in ("csi", "sgr") if k in want)
     if asked:
-        found.append(rf"\x1B\[[^\x40-\x7E]*+{csi_end[asked]}")
+        found.append(rf"\[[^\x40-\x7E]*+{csi_end[asked]}")
     if "osc" in want:
-        found.append(rf"\x1B\]{'' if 'url' in want else '(?!8;)'}{_OSC_BODY}" if "url" in want else rf"\x1B\](?!8;){_OSC_BODY}")
+        found.append(rf"\]{'' if 'url' in want else '(?!8;)'}{_OSC_BODY}")
     elif "url" in want:
-        found.append(rf"\x1B\]8;{_OSC_BODY}")
+        found.append(rf"\]8;{_OSC_BODY}")
     if "esc" in want:
         held = ("\\[" if asked else "") + ("\\]" if want & {"osc", "url"} else "")
-        found.append(rf"\x1B(?:[^{held}]|\z)" if held else r"\x1B(?:.|\z)")
-    if "c0" in want:
-        found.append(r"[\x01-\x09\x0B-\x1A\x1C-\x1F\x7F]")
-    if "nl" in want:
-        found.append(r"\n")
-    return f"(?s:{'|'.join(found)})" if found else ""
+        found.append(rf"(?:[^{held}]|\z)" if held else r"(?:.|\z)")
+    # two ways to begin at most, so that other characters are passed by quickly
+    ways = [rf"\x1B(?:{'|'.join(found)})"] if found else []
+    single = (r"\x01-\x09\x0B-\x1A\x1C-\x1F\x7F" if "c0" in want else "") + (r"\n" if "nl" in want else "")
+    if single:
+        ways.append(f"[{single}]")
+    return f"(?s:{'|'.join(ways)})" if ways else ""
 
 
 def has_ctl(x: Column, ctl: Ctl = "all") -> Column:

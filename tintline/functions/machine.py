@@ -104,9 +104,12 @@ def expanded(text: str, stops: tuple[int, ...], ctl: tuple[str, ...]) -> str:
 
 
 class Positions:
-    """A text taken apart: visible characters, the controls between them, and prefix sums of the widths."""
+    """A text taken apart: visible characters, the controls between them, and prefix sums of the widths.
 
-    def __init__(self, text: str, options: Options) -> None:
+    ``all_of`` takes many texts apart and sums the widths of all in one go.
+    """
+
+    def __init__(self, text: str, options: Options, alone: bool = True) -> None:
         if options.tab_stops and "\t" in text:
             text = expanded(text, options.tab_stops, options.ctl)
         self.text, self.options, self.marks = text, options, []
@@ -117,7 +120,21 @@ class Positions:
             self.marks.append((n, m.group(), m.start(), m.end()))
             at = m.end()
         self.visible = "".join([*visible, text[at:]]) if self.marks else text
-        self.past = np.cumsum(sizes(self.visible, options.type))
+        if alone:
+            self.past = np.cumsum(sizes(self.visible, options.type))
+
+    @classmethod
+    def all_of(cls, texts: list[str | None], options: Options) -> list[Positions | None]:
+        found = [None if t is None else cls(t, options, False) for t in texts]
+        given = [p for p in found if p is not None]
+        # a line break keeps what joins characters within a text
+        sums = np.concatenate([[0], np.cumsum(sizes("\n".join([p.visible for p in given]), options.type))])
+        begin = 0
+        for p in given:
+            past = begin + len(p.visible)
+            p.past = sums[begin + 1 : past + 1] - sums[begin]
+            begin = past + 1
+        return found
 
     @property
     def room(self) -> int:
@@ -178,7 +195,7 @@ class Machine:
                 if not re.search(r"[^\x20-\x7E]", address):
                     name = re.search("(?:^|:)id=([^:]*)", names)
                     link = f"\x1b]8;{f'id={name[1]}' if name and name[1] else ''};{address}\x1b\\" if address else ""
-                    out[_LINK] = link + "\0" if link == out[_LINK] and not (name and name[1]) else link
+                    out[_LINK] = link + "\0" if link and link == out[_LINK] and not (name and name[1]) else link
                 continue
             for code in self.codes(parameters):
                 family = next((name for name, pattern in _FAMILIES.items() if pattern.match(code)), code)
@@ -273,7 +290,7 @@ class Machine:
         options, begin = p.options, max(start, 1)
         lead, tail = p.last(begin - 1, 0), p.first(stop + 1)
         taken = p.before(tail) - p.before(lead)
-        v_first, given = v.first(1), stop + 1 - begin
+        v_first, given = v.first(1), min(stop, p.room) + 1 - begin
 
         def fitting(room: int) -> int:
             return v.last(room, v_first) if room >= 1 else v_first
@@ -346,18 +363,23 @@ def ctl_names(ctl: Ctl) -> tuple[str, ...]:
     return (ctl,) if isinstance(ctl, str) else tuple(ctl)
 
 
-def in_batches(kind: str, of_row: Callable, *columns: Column) -> Column:
+def in_batches(kind: str, of_row: Callable, *columns: Column, prepared: tuple[Options, ...] = ()) -> Column:
     """A column of ``kind`` by a function of each row's values, over Arrow batches; null where the first value is.
 
+    The first columns are given as ``Positions`` if there are options for them.
+
     Spark doesn't give Python the results of functions within functions of arrays (as ``trimws_ctl`` is
     made of) directly. Put into a column of their own first, with ``withColumn``, they can be used.
     """
-    if any(str(c).count("lambda") > 2 for c in columns):
+    if any(len(re.findall(r"\b(?:transform|filter|exists|aggregate|zip_with)\(", str(c))) > 1 for c in columns):
         raise ValueError("an argument is made of functions of arrays; put it into a column first, with withColumn")
     as_arrow = {"string": pa.string(), "array<string>": pa.list_(pa.string())}[kind]
 
     def run(x: pa.Array, *others: pa.Array) -> pa.Array:
-        rows = zip(x.to_pylist(), *[o.to_pylist() for o in others], strict=True)
+        values = [column.to_pylist() for column in (x, *others)]
+        for k, options in enumerate(prepared):
+            values[k] = Positions.all_of(values[k], options)
+        rows = zip(*values, strict=True)
         return pa.array([None if row[0] is None else of_row(*row) for row in rows], as_arrow)
 
     return F.arrow_udf(run, kind)(*columns)

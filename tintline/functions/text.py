@@ -1,8 +1,8 @@
 """Substrings, trimming, tabs, splitting and wrapping of text with control sequences.
 
-Each works on a text's tokens: control sequences, which take no room, and visible
-units between them. Positions are found by one pass over the tokens' widths; the
-format at the cut is put back in front and ended behind.
+Cuts, splits and overlays leave texts that need it to ``machine``: positions are looked up
+in the prefix sums of the widths, and the format at the cut is put back in front and ended
+behind. The rest is made of expressions.
 """
 
 from __future__ import annotations
@@ -39,35 +39,6 @@ def _size_of(type: str, ctl: Ctl):
     return lambda t: F.when(t.rlike("^[\\x20-\\x7E]$"), 1).when(is_control(t), 0).otherwise(measure(t))
 
 
-def _bytes_behind(ctl: Ctl) -> str:
-    """A regular expression for controls of one byte, which stay with the character before them."""
-    found = "".join(p for k, p in (("c0", r"\x01-\x09\x0B-\x1A\x1C-\x1F\x7F"), ("nl", r"\n")) if k in kinds(ctl))
-    return f"[{found}]*+" if found else ""
-
-
-def _cut_pattern(start: int, stop: int, ctl: Ctl) -> str:
-    """A regular expression whose groups are what stands before positions start to stop, and these.
-
-    Controls before the first position count as before it, unless the start is below 1; those
-    behind the last are left out, but for single bytes right behind it, or where the text ends sooner.
-    """
-    control, first = control_pattern(ctl), max(start, 1)
-    gap = f"{control}*+" if control else ""
-    unit = f"(?:{gap}(?s:.))"
-    lead = rf"((?:{unit}{{{first - 1}}}+{gap}|(?s:.*+)))" if start >= 1 else "()"
-    return rf"^{lead}({unit}{{{max(0, stop - first + 1)}}}+{_bytes_behind(ctl)}|{unit}*+{gap})"
-
-
-def _formatted(state: Column, text: Column, terminate: bool, normalize: bool, term_cap: TermCap = None) -> Column:
-    """``text`` with the format that it begins in put in front and, if ``terminate``, ended behind."""
-    if terminate:
-        text = F.regexp_replace(text, F.lit(rf"{SPECIAL}\z"), F.lit(""))
-    out = let(text, lambda t: F.when(F.lit(terminate) & (t == ""), "").otherwise(
-        F.concat(open_state(state), t, close_of(then(state, events(t, term_cap))) if terminate else F.lit(""))
-    ))
-    return normalized(out, term_cap=term_cap) if normalize else out
-
-
 def substr_ctl(
     x: Column,
     start: IntColumn,
@@ -86,47 +57,31 @@ def substr_ctl(
     ``carry`` is the state that the text begins in, or a text that ends in it. With ``tab_stops``
     tabs become spaces first. A stop before the start, or below 1, gives "".
 
-    Known positions of texts with a character a position are cut by one pattern; other texts with
-    controls, or with wide characters, go through Arrow batches, so within functions of arrays only
-    positions that are numbers, of type chars, can be cut.
+    Texts without controls (and, by width, without wide characters) stay within Catalyst; others
+    go through Arrow batches, so this can't be used within functions of arrays.
     """
     if round not in ROUND:
         raise ValueError(f"round: {round!r} is none of {', '.join(ROUND)}")
     carried = carried_in(carry)
-    before = carried[0] if carried else nothing()
-    known = (start, stop) if isinstance(start, int) and isinstance(stop, int) else None
     start, stop = _int(start), _int(stop)
     control = control_pattern(ctl)
-
-    def direct(first: int, last: int) -> Column:
-        one = _cut_pattern(first, last, ctl)
-        parts = F.struct(then(before, events(F.regexp_extract(x, one, 1), term_cap)).alias("state"), F.regexp_extract(x, one, 2).alias("body"))
-        return let(parts, lambda p: _formatted(p["state"], p["body"], terminate, normalize, term_cap))
-
-    plain = F.substring(x, F.greatest(start, F.lit(1)), stop - F.greatest(start, F.lit(1)) + 1)
     inside = (stop >= start) & (stop >= 1)
     if carry is not None:
         simple = F.lit(False)
     elif type == "chars":
         simple = ~x.rlike(control) if control else F.lit(True)
     else:
-        simple = is_plain(x) & (~x.rlike(control) if control else F.lit(True))
+        simple = is_plain(x)  # which leaves no control
     if tab_stops:
         simple = simple & ~x.contains("\t")
-    if known and type == "chars" and not tab_stops:
-        out = F.when(simple, plain).otherwise(direct(*known))
-    else:
-        by_pattern = ~simple & is_plain(strip_ctl(x, ctl)) & (~x.contains("\t") if tab_stops else F.lit(True)) if known else F.lit(False)
-        options = Options(type, round, ctl_names(ctl), normalize, terminate, tab_stops)
+    options = Options(type, round, ctl_names(ctl), normalize, terminate, tab_stops)
 
-        def cut(t: str, a: int, b: int, registers: list | None = None) -> str:
-            return machine(term_cap).cut(Positions(t, options), a, b, state_of(registers))
+    def cut(p: Positions, a: int, b: int, registers: list | None = None) -> str:
+        return machine(term_cap).cut(p, a, b, state_of(registers))
 
-        asked = F.when(inside & ~simple & ~by_pattern, x)
-        general = in_batches("string", cut, asked, start, stop, *carried)
-        out = F.when(simple, plain)
-        out = (out.when(by_pattern, direct(*known)) if known else out).otherwise(general)
-    return F.when(x.isNotNull() & start.isNotNull() & stop.isNotNull(), F.when(~inside, "").otherwise(out))
+    plain = F.substring(x, F.greatest(start, F.lit(1)), stop - F.greatest(start, F.lit(1)) + 1)
+    general = in_batches("string", cut, F.when(inside & ~simple, x), start, stop, *carried, prepared=(options,))
+    return F.when(x.isNotNull() & start.isNotNull() & stop.isNotNull(), F.when(~inside, "").when(simple, plain).otherwise(general))
 
 
 def overlay_ctl(
@@ -164,9 +119,8 @@ def overlay_ctl(
         clean = clean & ~t.contains("\t") if tab_stops else clean
         return clean if type == "chars" else clean & is_plain(t)
 
-    def put(t: str, v: str, a: int, b: int, *registers: list | None) -> str:
-        states = [state_of(r) for r in registers] or [state_of(None)] * 2
-        return machine(term_cap).overlay(Positions(t, options), Positions(v, options), a, b, *states)
+    def put(p: Positions, v: Positions, a: int, b: int, *registers: list | None) -> str:
+        return machine(term_cap).overlay(p, v, a, b, *map(state_of, registers))
 
     plainly = simple(x) & simple(value) & F.lit(carry is None and value_carry is None)
     begin = F.greatest(start, F.lit(1))
@@ -176,7 +130,7 @@ def overlay_ctl(
     native = F.when((room >= 1) & (stop >= start) & (taken >= 1), F.concat(lead, F.substring(value, F.lit(1), taken), F.substring(x, begin + taken, have))).otherwise(x)
     given = x.isNotNull() & value.isNotNull() & start.isNotNull() & stop.isNotNull()
     carried = [] if carry is None and value_carry is None else [*carried_in("" if carry is None else carry), *carried_in("" if value_carry is None else value_carry)]
-    general = in_batches("string", put, F.when(given & ~plainly, x), value, start, stop, *carried)
+    general = in_batches("string", put, F.when(given & ~plainly, x), F.when(given, value), start, stop, *carried, prepared=(options, options))
     return F.when(given, F.when(plainly, native).otherwise(general))
 
 
@@ -254,17 +208,17 @@ def strsplit_ctl(
     """
     options, control = Options("chars", "start", ctl_names(ctl), normalize, terminate), control_pattern(ctl)
 
-    def cut(t: str, by: str, registers: list | None = None) -> list[str]:
-        return machine(term_cap).split(Positions(t, options), split_pattern(by, fixed), state_of(registers))
+    def cut(p: Positions, by: str, registers: list | None = None) -> list[str] | None:
+        return None if by is None else machine(term_cap).split(p, split_pattern(by, fixed), state_of(registers))
 
     by = F.lit(split) if isinstance(split, str) else split
     carried = carried_in(carry)
     if not isinstance(split, str) or not split or not (fixed or re.escape(split).replace("\\ ", " ") == split) or carry is not None:
-        return F.when(by.isNotNull(), in_batches("array<string>", cut, x, by, *carried))
+        return F.when(by.isNotNull(), in_batches("array<string>", cut, x, by, *carried, prepared=(options,)))
     parts = F.split(x, re.escape(split), -1)
     clean = ~x.rlike(control) if control else F.lit(True)
     whole = let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
-    return F.when(clean, whole).otherwise(in_batches("array<string>", cut, F.when(~clean, x), by))
+    return F.when(clean, whole).otherwise(in_batches("array<string>", cut, F.when(~clean, x), by, prepared=(options,)))
 
 
 def _paragraphs(x: Column) -> Column:

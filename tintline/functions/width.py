@@ -31,14 +31,14 @@ _FLAGS = r"[\x{1F1E6}-\x{1F1FF}]{1,2}"
 _JOINED = r"(?:\x{200D}++[^\x00-\x7F\x{1F1E6}-\x{1F1FF}]?+)"
 _SKIN = r"[\x{1F3FB}-\x{1F3FF}]"
 #: Text in which each character is a column: no table is needed.
-_PLAIN = r"^[\x20-\x7E\xA1-\xAC\xAE-\x{2FF}]*\z"
+_PLAIN = r"^[\x20-\x7E\xA1-\xAC\xAE-\x{2FF}]*+\z"
 
 
 @lru_cache(maxsize=1)
 def widths() -> np.ndarray:
     """0, 1 or 2 for every code point, in itself."""
     out = np.ones(0x110000, np.int8)
-    for cp in range(len(out)):
+    for cp in (*range(0x40000), *range(0xE0000, 0xE1000)):  # elsewhere nothing is assigned but for private use
         if unicodedata.east_asian_width(chr(cp)) in "FW":
             out[cp] = 2
         if unicodedata.category(chr(cp)) in ("Mn", "Me", "Cf", "Cc") or 0x1160 <= cp <= 0x11FF:
@@ -79,19 +79,23 @@ def is_plain(x: Column) -> Column:
     return x.rlike(_PLAIN)
 
 
+def _counted(x: Column, of) -> Column:
+    """``of`` text in which runs of ASCII letters are one letter, with the letters left out added."""
+    short = F.regexp_replace(x, F.lit(r"[\x20-\x7E]{2,}+"), F.lit("x"))
+    rest = F.element_at(F.transform(F.array(short), lambda s: of(_joined(s)) - F.char_length(s)), 1)
+    return F.when(is_plain(x), F.char_length(x)).otherwise(F.char_length(x) + rest)
+
+
 def width_of(x: Column) -> Column:
     """Columns that a terminal shows ``x`` in."""
     zero, wide = classes()
-    y = _joined(x)
-    exact = F.char_length(y) + F.regexp_count(y, F.lit(wide)) - F.regexp_count(y, F.lit(zero))
-    return F.when(is_plain(x), F.char_length(x)).otherwise(exact)
+    return _counted(x, lambda y: F.char_length(y) + F.regexp_count(y, F.lit(wide)) - F.regexp_count(y, F.lit(zero)))
 
 
 def graphemes_of(x: Column) -> Column:
     """Characters that a reader sees: those of any width, with what joins them as one."""
     zero, _ = classes()
-    y = _joined(x)
-    return F.when(is_plain(x), F.char_length(x)).otherwise(F.char_length(y) - F.regexp_count(y, F.lit(zero)))
+    return _counted(x, lambda y: F.char_length(y) - F.regexp_count(y, F.lit(zero)))
 
 
 def cluster_pattern() -> str:

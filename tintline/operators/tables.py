@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.controls import SGR, URL, control_pattern
 from ..functions.html import html_code_block
-from ..functions.state import let
+from ..functions.machine import for_python, sizes
 
 
 def lines(df: DataFrame, text: str, into: str = "line", number: str = "line_no") -> DataFrame:
@@ -22,62 +28,87 @@ def exploded(df: DataFrame, pieces: Column, into: str = "piece", number: str = "
     return df.select(*df.columns, F.posexplode(pieces).alias(number, into)).withColumn(number, F.col(number) + 1)
 
 
-# The SGR codes that are known.
+# The SGR codes that are known, and those that ask for an ability.
 _KNOWN = r"0|[1-9]|1[0-9]|2[0-9]|3[0-79]|4[0-79]|5[0-5]|6[0-5]|9[0-7]|10[0-7]|[34]8;5;\d+|[34]8;2;\d+;\d+;\d+"
 _CAPABILITY = {"bright": r"9[0-7]|10[0-7]", "256": r"[34]8;5;\d+", "truecolor": r"[34]8;2;\d+;\d+;\d+"}
-
-
-def _problem(t: Column, term_cap: tuple[str, ...]) -> Column:
-    """What a terminal might not do with a control sequence; null if it is fine."""
-    parameters = F.regexp_extract(t, rf"^{SGR}$", 1)
-    codes = F.transform(
-        F.regexp_extract_all(F.concat(parameters, F.lit(";")), F.lit(r"([34]8;0*5;\d+(?=;)|[34]8;0*2;\d+;\d+;\d+(?=;)|[^;]*+);"), F.lit(1)),
-        lambda c: F.when(c == "", "0").otherwise(F.regexp_replace(c, r"(^|;)0+(?=[0-9])", "$1")),
-    )
-    lacking = [p for k, p in _CAPABILITY.items() if k not in term_cap]
-    beyond = F.exists(codes, lambda c: c.rlike(rf"^(?:{'|'.join(lacking)})$")) if lacking else F.lit(False)
-    sgr = (
-        F.when(F.exists(codes, lambda c: ~c.rlike(r"^[0-9;]*$") | c.rlike(r"(?:^|;)(?:\d{4,}|[3-9]\d\d|2[6-9]\d|25[6-9])(?:;|$)")), "invalid-substr")
-        .when(F.exists(codes, lambda c: ~c.rlike(rf"^(?:{_KNOWN})$")), "unknown-substr")
-        .when(beyond, "exceed-term-cap")
-    )
-    params = F.regexp_extract(t, rf"(?s)^{URL}$", 1)
-    ended = t.rlike(r"(?s)(?:\x07|\x1B\\)$")
-    url = F.when(~ended, "malformed-CSI/OSC").when(t.rlike(r"(?s)[^\x07\x1B\x20-\x7E\\]"), "CSI/OSC-bad-substr").when(
-        ~params.rlike(r"^(?:id=[^:]*)?$"), "unknown-substr"
-    )
-    return (
-        F.when(t == "\n", F.lit(None).cast("string"))
-        .when(t.rlike(rf"^{SGR}$"), sgr)
-        .when(t.startswith("\x1b["), F.when(~t.rlike(r"(?s)^\x1B\[.*[\x40-\x7E]$"), "malformed-CSI/OSC").when(t.rlike(r"(?s)^\x1B\[[\x20-\x3F]*[\x40-\x7E]$"), "non-SGR/hyperlink").otherwise("CSI/OSC-bad-substr"))
-        .when(t.startswith("\x1b]8;"), url)
-        .when(t.startswith("\x1b]"), F.when(ended, "non-SGR/hyperlink").otherwise("malformed-CSI/OSC"))
-        .when(t == "\x1b", "malformed-ESC")
-        .when(t.startswith("\x1b"), "non-CSI/OSC")
-        .when(t.rlike(r"^[\x01-\x1F\x7F]$"), "C0")
-    )
+_CODES = re.compile(r"([34]8;0*5;\d+(?=;)|[34]8;0*2;\d+;\d+;\d+(?=;)|[^;]*+);")
+_TOO_LARGE = re.compile(r"(?:^|;)(?:\d{4,}|[3-9]\d\d|2[6-9]\d|25[6-9])(?:;|$)")
+_SGR, _URL = re.compile(f"(?s:{SGR})"), re.compile(f"(?s:{URL})")
+_CONTROL = re.compile(for_python(control_pattern()))
+
+
+@lru_cache(maxsize=1 << 15)
+def problem(t: str, able: tuple[str, ...]) -> str | None:
+    """What a terminal might not do with a control sequence; None if it is fine."""
+    if t == "\n":
+        return None
+    ended = t.endswith(("\x07", "\x1b\\"))
+    if m := _SGR.fullmatch(t):
+        codes = [re.sub(r"(^|;)0+(?=[0-9])", r"\1", c or "0") for c in _CODES.findall(m[1] + ";")]
+        if any(not re.fullmatch("[0-9;]*", c) or _TOO_LARGE.search(c) for c in codes):
+            return "invalid-substr"
+        if any(not re.fullmatch(_KNOWN, c) for c in codes):
+            return "unknown-substr"
+        return "exceed-term-cap" if any(re.fullmatch(p, c) for k, p in _CAPABILITY.items() if k not in able for c in codes) else None
+    if t.startswith("\x1b["):
+        if not re.fullmatch(r"(?s:\x1B\[.*[\x40-\x7E])", t):
+            return "malformed-CSI/OSC"
+        return "non-SGR/hyperlink" if re.fullmatch(r"\x1B\[[\x20-\x3F]*[\x40-\x7E]", t) else "CSI/OSC-bad-substr"
+    if t.startswith("\x1b]") and not ended:
+        return "malformed-CSI/OSC"
+    if t.startswith("\x1b]8;"):
+        if re.search(r"[^\x07\x1B\x20-\x7E\\]", t):
+            return "CSI/OSC-bad-substr"
+        m = _URL.fullmatch(t)
+        return None if m and re.fullmatch("(?:id=[^:]*)?", m[1]) else "unknown-substr"
+    if t.startswith("\x1b"):
+        return "malformed-ESC" if t == "\x1b" else "non-SGR/hyperlink" if t.startswith("\x1b]") else "non-CSI/OSC"
+    return "C0"
+
+
+def problems(text: str | None, able: tuple[str, ...]) -> Iterator[dict]:
+    """The sequences of a text that have a problem, in one pass over it."""
+    found = list(_CONTROL.finditer(text or ""))
+    if not found:
+        return
+    visible, before, controls = _CONTROL.sub("", text), 0, 0
+    past = np.concatenate([[0], np.cumsum(sizes(visible, "width"))])
+    for m in found:
+        t = m.group()
+        start = int(past[m.start() - before]) + controls
+        before += len(t)
+        controls += len(t.encode("utf-8", "surrogatepass"))
+        if error := problem(t, able):
+            yield {"start": start + 1, "stop": int(past[m.end() - before]) + controls, "error": error, "translated": False, "esc": t}
+
+
+PROBLEM = "start int, stop int, error string, translated boolean, esc string"
+_PROBLEM = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("error", pa.string()), ("translated", pa.bool_()), ("esc", pa.string())])
 
 
 def unhandled_ctl(df: DataFrame, x: str, term_cap: tuple[str, ...] = ("bright", "256")) -> DataFrame:
     """A row for each control sequence that a terminal may not do as meant.
 
-    Adds start and stop (characters, from 1), error, translated (false: nothing is
-    rewritten) and esc to the columns of ``df``.
+    Adds start and stop (from 1: visible text counts in columns, controls in bytes), error,
+    translated (false: nothing is rewritten) and esc to the columns of ``df``. In SQL text it is the table
+    function ``unhandled_ctl`` (``functions_for_sql``).
     """
-    parts = F.regexp_extract_all(F.col(x), F.lit(rf"{control_pattern()}|[^\x00-\x1F\x7F]++|(?s:.)"), F.lit(0))
-
-    def step(acc: Column, t: Column) -> Column:
-        upto = acc["at"] + F.char_length(t)
-        found = let(
-            F.when(t.rlike(r"^[\x01-\x1F\x7F]"), _problem(t, term_cap)),
-            lambda p: F.when(p.isNotNull(), F.array(F.struct((acc["at"] + 1).alias("start"), upto.alias("stop"), p.alias("error"), F.lit(False).alias("translated"), t.alias("esc")))),
-        )
-        return F.struct(upto.alias("at"), F.when(found.isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], found)).alias("rows"))
-
-    empty = F.array().cast("array<struct<start:int,stop:int,error:string,translated:boolean,esc:string>>")
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("rows")), step)["rows"]
-    clean = F.col(x).rlike(r"[\x01-\x09\x0B-\x1F\x7F]")
-    return df.select(*df.columns, F.explode(F.when(clean, found)).alias("_u")).select(*df.columns, "_u.*")
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([list(problems(t, term_cap)) for t in texts.to_pylist()], pa.list_(_PROBLEM))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    dirty = F.when(F.col(x).rlike(r"[\x01-\x09\x0B-\x1F\x7F]"), F.col(x))
+    found = df.withColumn("_u", F.arrow_udf(run, f"array<struct<{PROBLEM.replace(' ', ':')}>>".replace(",:", ","))(dirty))
+    return found.select(*df.columns, F.explode("_u").alias("_u")).select(*df.columns, "_u.*")
+
+
+class Unhandled:
+    """The table function: a row for each problem of a text, for a terminal of the abilities of its second argument."""
+
+    def eval(self, x: str, able: str = "bright,256") -> Iterator[tuple]:
+        for row in problems(x, tuple(able.split(","))):
+            yield tuple(row.values())
 
 
 def code_blocks(df: DataFrame, x: str, by: list[str], order: str, css_class: str = "term") -> DataFrame:

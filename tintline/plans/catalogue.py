@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.controls import has_ctl, nchar_ctl, nzchar_ctl, strip_ctl
-from ..functions.demo import color_lines, palette_chart
-from ..functions.html import html_esc, make_styles, output_block, to_html
+from ..functions.demo import color_lines
+from ..functions.html import html_esc, output_block, to_html
 from ..functions.machine import normalize_state
 from ..functions.state import close_state, state_at_end
 from ..functions.text import overlay_ctl, strsplit_ctl, strtrim_ctl, strwrap_ctl, substr_ctl, tabs_as_spaces, trimws_ctl
@@ -69,7 +69,7 @@ def html_esc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", html_esc(F.col("html")).alias("escaped"))
 
 
-def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third line ends in a colour of its number, every fifth begins bold and stays so, every seventh resets."""
     n = F.col("line_no")
     opened = F.concat(F.lit(f"{ESC}["), (30 + n % 8).cast("string"), F.lit("m"))
@@ -80,17 +80,17 @@ def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state_at_end_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = carried(_open_lines(spark, sf_dir), "c", ["doc_id"], ["line_no"], "state", lambda c, s: state_at_end(c, carry=s))
+    found = carried(open_lines(spark, sf_dir), "c", ["doc_id"], ["line_no"], "state", lambda c, s: state_at_end(c, carry=s))
     return found.select("doc_id", "line_no", "state")
 
 
 def substr_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = carried(_open_lines(spark, sf_dir), "c", ["doc_id"], ["line_no"], "part", lambda c, s: substr_ctl(c, 1, 12, carry=s))
+    found = carried(open_lines(spark, sf_dir), "c", ["doc_id"], ["line_no"], "part", lambda c, s: substr_ctl(c, 1, 12, carry=s))
     return found.select("doc_id", "line_no", "part")
 
 
 def to_html_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = carried(_open_lines(spark, sf_dir), "c", ["doc_id"], ["line_no"], "html", lambda c, s: to_html(html_esc(c), carry=s))
+    found = carried(open_lines(spark, sf_dir), "c", ["doc_id"], ["line_no"], "html", lambda c, s: to_html(html_esc(c), carry=s))
     return found.select("doc_id", "line_no", "html")
 
 
@@ -181,33 +181,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_blocks": output_blocks,
     "strsplit_carried": _each_line(joined=lambda x, c: F.array_join(strsplit_ctl(x, ", ", carry=f"{ESC}[1m"), "|")),
     "unhandled_by_error": unhandled_by_error,
-    "make_styles": lambda spark, sf_dir: make_styles(spark),
-    "palette_chart": lambda spark, sf_dir: palette_chart(spark),
 }
 
-_LINES = """lines AS (SELECT doc_id, lang, unnest(coalesce(string_split(text, chr(10)), [NULL])) AS x, generate_subscripts(coalesce(string_split(text, chr(10)), [NULL]), 1) AS line_no FROM documents),
+LINES_SQL = """lines AS (SELECT doc_id, lang, unnest(coalesce(string_split(text, chr(10)), [NULL])) AS x, generate_subscripts(coalesce(string_split(text, chr(10)), [NULL]), 1) AS line_no FROM documents),
 g AS (SELECT *, line_no % 215 + 17 AS b FROM lines),
 o AS (SELECT *, chr(27) || '[' || CASE WHEN ((b - 16) // 18) % 2 = 1 THEN 30 ELSE 37 END || ';48;5;' || b || 'm' AS opened FROM g),
 l AS (SELECT *, CASE WHEN x = '' THEN x ELSE opened || x || chr(27) || '[39;49m' END AS c FROM o)"""
 
 
 def _sql(columns: str) -> str:
-    return f"WITH {_LINES} SELECT doc_id, line_no, {columns} FROM l"
+    return f"WITH {LINES_SQL} SELECT doc_id, line_no, {columns} FROM l"
 
 
 def _cut(a: int, b: int) -> str:
     return f"CASE WHEN substring(x, {a}, {b - a + 1}) = '' THEN '' ELSE opened || substring(x, {a}, {b - a + 1}) || chr(27) || '[0m' END"
 
 
-_OPEN = f"""WITH {_LINES},
+OPEN_SQL = f"""WITH {LINES_SQL},
 w AS (SELECT *, CASE WHEN line_no % 5 = 0 THEN '1' END AS s, CASE WHEN line_no % 7 = 0 THEN '' WHEN line_no % 3 = 0 THEN (30 + line_no % 8)::VARCHAR END AS f FROM l),
 e AS (SELECT *, last_value(f IGNORE NULLS) OVER d AS fg, last_value(CASE WHEN line_no % 7 = 0 THEN '' ELSE s END IGNORE NULLS) OVER d AS bold,
     last_value(f IGNORE NULLS) OVER p AS fg0, last_value(CASE WHEN line_no % 7 = 0 THEN '' ELSE s END IGNORE NULLS) OVER p AS bold0 FROM w
     WINDOW d AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 _HEX2 = "['00', '5F', '87', 'AF', 'D7', 'FF']"
-_HEX = f"""CASE WHEN b < 232 THEN {_HEX2}[(b - 16) // 36 + 1] || {_HEX2}[(b - 16) // 6 % 6 + 1] || {_HEX2}[(b - 16) % 6 + 1]
+PALETTE_SQL = f"""CASE WHEN b < 232 THEN {_HEX2}[(b - 16) // 36 + 1] || {_HEX2}[(b - 16) // 6 % 6 + 1] || {_HEX2}[(b - 16) % 6 + 1]
     ELSE repeat(printf('%02X', 8 + 10 * (b - 232)), 3) END"""
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '\"', '&quot;'), '''', '&#039;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def escaped_sql(of: str) -> str:
+    return _ESCAPED.format(of)
+
+
 _BASIC = "['000000', 'BB0000', '00BB00', 'BBBB00', '0000BB', 'BB00BB', '00BBBB', 'BBBBBB', '555555', 'FF5555', '55FF55', 'FFFF55', '5555FF', 'FF55FF', '55FFFF', 'FFFFFF']"
 
 # Lines of 59 columns of all documents: white space squeezed by chr(1) and chr(2), which the texts don't
@@ -222,7 +226,7 @@ w AS (SELECT doc_id, no, line, CASE WHEN no > 1 OR word = '' THEN line ELSE chr(
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "byte_overhead_by_lang": f"""WITH {_LINES} SELECT lang, count(*) AS n_lines, count(*) FILTER (x <> '') AS n_colored, sum(length(x))::BIGINT AS visible_chars,
+    "byte_overhead_by_lang": f"""WITH {LINES_SQL} SELECT lang, count(*) AS n_lines, count(*) FILTER (x <> '') AS n_colored, sum(length(x))::BIGINT AS visible_chars,
         sum(strlen(c))::BIGINT AS raw_bytes, sum(strlen(x))::BIGINT AS visible_bytes FROM l GROUP BY lang""",
     "has_ctl": _sql("x <> '' AS any_ctl, x <> '' AS sgr, false AS c0"),
     "strip_ctl": _sql("x AS stripped, c AS c0_only"),
@@ -248,12 +252,12 @@ ORACLE_SQL: dict[str, str] = {
         """CASE WHEN x = '' THEN '' WHEN NOT contains(x, ', ') THEN x ELSE array_to_string(list_transform(CASE WHEN x LIKE '%, ' THEN string_split(x, ', ')[:-2] ELSE string_split(x, ', ') END,
         lambda p: CASE WHEN p = '' THEN '' ELSE chr(27) || '[1m' || p || chr(27) || '[0m' END), '|') END AS joined"""
     ),
-    "wide_text": f"""WITH {_LINES} SELECT doc_id, line_no, 12 + length(x) AS chars, 13 + length(x) AS width, 8 + length(x) AS graphemes,
+    "wide_text": f"""WITH {LINES_SQL} SELECT doc_id, line_no, 12 + length(x) AS chars, 13 + length(x) AS width, 8 + length(x) AS graphemes,
         chr(27) || '[32m' || chr(19969) || 'e' || chr(769) || chr(127462) || chr(127463) || chr(27) || '[0m' AS part,
         chr(27) || '[32m' || chr(19969) || 'e' || chr(769) || chr(127462) || chr(127463) || chr(27) || '[0m' AS three,
         chr(27) || '[32m' || chr(19968) || chr(19969) || 'e' || chr(769) || chr(27) || '[0m' AS trimmed FROM l WHERE x IS NOT NULL
         UNION ALL SELECT doc_id, line_no, NULL, 2, 2, NULL, NULL, NULL FROM l WHERE x IS NULL""",
-    "malformed_states": f"""WITH {_LINES}, m AS (SELECT *, [{", ".join(f"'{v}'" for v in MALFORMED.values())}][line_no % {len(MALFORMED)} + 1] AS s FROM l),
+    "malformed_states": f"""WITH {LINES_SQL}, m AS (SELECT *, [{", ".join(f"'{v}'" for v in MALFORMED.values())}][line_no % {len(MALFORMED)} + 1] AS s FROM l),
         t AS (SELECT *, CASE WHEN s = '' THEN '' ELSE chr(27) || '[' || s || 'm' END AS state FROM m)
         SELECT doc_id, line_no, CASE WHEN x IS NOT NULL THEN state END AS state, CASE WHEN s = '' OR x IS NULL THEN '' ELSE chr(27) || '[0m' END AS close,
         CASE WHEN substring(x, 2, 4) = '' THEN '' WHEN s = '' THEN substring(x, 2, 4) ELSE state || substring(x, 2, 4) || chr(27) || '[0m' END AS part FROM t""",
@@ -272,22 +276,20 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "to_html_colored": _sql(
         f"""CASE WHEN x = '' THEN '' ELSE '<span style=''color: #' || CASE WHEN ((b - 16) // 18) % 2 = 1 THEN '000000' ELSE 'BBBBBB' END
-        || '; background-color: #' || {_HEX} || ';''>' || {_ESCAPED.format("x")} || '</span>' END AS html"""
+        || '; background-color: #' || {PALETTE_SQL} || ';''>' || {_ESCAPED.format("x")} || '</span>' END AS html"""
     ),
     "html_esc": f"SELECT page_id, {_ESCAPED.format('html')} AS escaped FROM pages",
     "code_blocks": f"""SELECT conv_id, '<PRE class="term"><CODE>' || string_agg(coalesce({_ESCAPED.format("text")}, 'NA'), chr(10) ORDER BY turn) || '</CODE></PRE>' AS html
         FROM conversations GROUP BY conv_id""",
-    "state_at_end_carried": f"""{_OPEN} SELECT doc_id, line_no, CASE WHEN concat_ws(';', nullif(bold, ''), nullif(fg, '')) = '' THEN ''
+    "state_at_end_carried": f"""{OPEN_SQL} SELECT doc_id, line_no, CASE WHEN concat_ws(';', nullif(bold, ''), nullif(fg, '')) = '' THEN ''
         ELSE chr(27) || '[' || concat_ws(';', nullif(bold, ''), nullif(fg, '')) || 'm' END AS state FROM e""",
-    "substr_carried": f"""{_OPEN}, h AS (SELECT *, concat_ws(';', CASE WHEN s IS NOT NULL THEN s ELSE nullif(bold0, '') END, nullif(fg0, '')) AS st FROM e)
+    "substr_carried": f"""{OPEN_SQL}, h AS (SELECT *, concat_ws(';', CASE WHEN s IS NOT NULL THEN s ELSE nullif(bold0, '') END, nullif(fg0, '')) AS st FROM e)
         SELECT doc_id, line_no, CASE WHEN substring(x, 1, 12) = '' THEN '' WHEN st = '' THEN substring(x, 1, 12)
         ELSE chr(27) || '[' || st || 'm' || substring(x, 1, 12) || chr(27) || '[0m' END AS part FROM h""",
-    "to_html_carried": f"""{_OPEN}, h AS (SELECT *, concat_ws('; ', 'color: #' || {_BASIC}[nullif(fg0, '')::INT - 29],
+    "to_html_carried": f"""{OPEN_SQL}, h AS (SELECT *, concat_ws('; ', 'color: #' || {_BASIC}[nullif(fg0, '')::INT - 29],
         CASE WHEN s IS NOT NULL OR bold0 = '1' THEN 'font-weight: bold' END) AS st FROM e)
         SELECT doc_id, line_no, CASE WHEN x = '' THEN '' WHEN st = '' THEN {_ESCAPED.format("x")}
         ELSE '<span style=''' || st || ';''>' || {_ESCAPED.format("x")} || '</span>' END AS html FROM h""",
-    "unhandled_by_error": f"""WITH {_LINES} SELECT CASE line_no % 4 WHEN 0 THEN 'non-SGR/hyperlink' WHEN 1 THEN 'exceed-term-cap' WHEN 2 THEN 'C0' ELSE 'invalid-substr' END AS error,
+    "unhandled_by_error": f"""WITH {LINES_SQL} SELECT CASE line_no % 4 WHEN 0 THEN 'non-SGR/hyperlink' WHEN 1 THEN 'exceed-term-cap' WHEN 2 THEN 'C0' ELSE 'invalid-substr' END AS error,
         count(*) AS n, sum(length(x) + 1)::BIGINT AS starts FROM l GROUP BY 1""",
-    "make_styles": f"""SELECT n::INT AS n, '.term-' || CASE WHEN n % 2 = 0 THEN '' ELSE 'bg' END || 'color-' || lpad(b::VARCHAR, 3, '0') || ' {{' || CASE WHEN n % 2 = 0 THEN '' ELSE 'background-' END || 'color: #'
-        || CASE WHEN b < 16 THEN {_BASIC}[b + 1] ELSE {_HEX} END || ';}}' AS css FROM (SELECT n, n // 2 AS b FROM range(512) r(n))""",
 }
