@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -414,8 +415,7 @@ def plain_words(text):
 ITEMS = [(1, "WB wc, wd"), (2, None), (3, "!!"), (10, "ü-ß"), (None, "wf wg wh wi")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 8])
-def test_decontaminate(spark, docs, rows, empty, block):
+def test_decontaminate(spark, docs, rows, empty):
     long = " ".join((rows[2][1] or "").split()[:25])
     items = [*ITEMS, (4, long), (4, rows[40][1][:50])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -433,7 +433,7 @@ def test_decontaminate(spark, docs, rows, empty, block):
                     hit |= set(range(k, k + size))
                     found |= own
         want[(r[0], len(w), len(hit), tuple(sorted(found)))] += 1
-    got = decontaminate(docs, bench, block_bytes=block)
+    got = decontaminate(docs, bench)
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda n, x: n + x["past"] - x["first"])
     assert collections.Counter((r[0], r[1], r[2], tuple(r[3])) for r in got.select("row.doc_id", "n_words", n_hit, "items").collect()) == want
     for r in got.filter("size(hit_bytes) > 0").select("text", "hit_words", "hit_bytes").collect():
@@ -441,6 +441,8 @@ def test_decontaminate(spark, docs, rows, empty, block):
         assert [normalised_words(text[x.begin : x.end]) for x in r.hit_bytes] == [normalised_words(text)[x.first : x.past] for x in r.hit_words]
     clean = clean_rows(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(n for r, n in want.items() if not r[2])
+    with pytest.raises(ValueError, match="bytes of text"):
+        decontaminate(docs, bench, most_bytes=8)
     assert decontaminate(empty, bench).count() == 0 and clean_rows(docs, bench.limit(0)).count() == len(rows)
 
 
@@ -463,6 +465,20 @@ def test_scanner(size):
         assert (n, {k for a, b in runs for k in range(a, b)}, found) == (60, want, names)
 
 
+def test_phrases_that_many_items_share():
+    """Twenty thousand items that begin alike, and a text with their beginning five hundred times; and all with one window."""
+    began = time.time()
+    items = [(str(k), f"in the following text there is a{k % 7} b{k} c{k % 11} d{k} e f g{k}".encode()) for k in range(20_000)]
+    known = Scanner(items, 10)
+    text = b"in the following text there is " * 500 + items[77][1]
+    scanned = time.time()
+    assert known.scan(text) == (3013, [(3000, 3013)], {"77"})
+    assert time.time() - scanned < 1 and scanned - began < 60
+    same = [(str(k), b"one two three four five six seven eight nine ten x%d" % k) for k in range(20_000)]
+    n, runs, names = Scanner(same, 10).scan(b"one two three four five six seven eight nine ten . " * 3)
+    assert (n, runs, len(names)) == (30, [(0, 30)], 20_000)
+
+
 def test_word_offsets():
     text = "Ab, c! éD".encode()
     assert [text[a:b].decode() for a, b in word_offsets(text)] == ["Ab", "c", "éD"]

@@ -1,16 +1,16 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Holding every window of ten words would take some sixty nodes of the automaton for each
-word of the benchmark. Every window of ten holds one of the runs of three words that
-begin at every eighth word of an item, so the automaton holds those runs; where one is
-met, the match is extended in both directions through the item, and counts if it
-reaches a window's length.
+word of the benchmark. Every window of ten holds eight runs of three words, and the
+automaton holds the one of these that is rarest among all items, so phrases that many items
+share are hardly ever in it. Where a run is met, the windows that were represented by it are
+looked up whole, as words, at their places around it; equal windows of all items are one entry, so
+a text meets a phrase once however many items hold it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 from uuid import uuid4
 
 import ahocorasick
@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of benchmark text in one automaton (some 25 bytes of memory each); more text is scanned for block by block.
-BLOCK_BYTES = 16 << 20
+from .packed import window_hashes
+
+#: Bytes of benchmark text that an automaton is made for (some 100 bytes of memory each in every worker).
+MOST_BYTES = 16 << 20
 #: Words of a run that the automaton holds.
 RUN_WORDS = 3
+#: Windows of which the rarest run is looked for at once.
+SLICE = 1 << 18
 
 #: Per byte: A-Z as a-z, other ASCII but letters and digits as a blank. Lengths stay.
 _FOLD = bytes(
@@ -34,34 +38,74 @@ def normalised_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class Windows:
+    """All different windows of ``length`` words among the items, by hash, each with the items that hold it."""
+
+    def __init__(self, length: int, flat: np.ndarray, begins: np.ndarray, owners: np.ndarray) -> None:
+        """A window begins at each of ``begins`` in the words ``flat``; ``owners`` are its items."""
+        self.length, self.flat = length, flat
+        hashes = window_hashes(flat.astype(np.uint64), length)[begins]
+        order = np.lexsort((owners, hashes))
+        begins, owners, hashes = begins[order], owners[order], hashes[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        self.hashes, self.begin, self.group = hashes[new], begins[new], np.append(np.flatnonzero(new), len(hashes))
+        self.owners = owners
+        # a hash of two windows would hide one of them
+        for k in range(0, len(begins), SLICE):
+            own = begins[k : k + SLICE]
+            first = self.begin[np.searchsorted(self.hashes, hashes[k : k + SLICE])]
+            if (self.words(flat, own) != self.words(flat, first)).any():
+                raise ValueError("two windows of the benchmark share a hash of 64 bits")
+
+    def words(self, line: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        return line[begins[:, None] + np.arange(self.length)]
+
+    def met(self, line: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of places in a text's words those where a window stands, and the numbers of all items that hold one."""
+        begins = np.unique(begins[(begins >= 0) & (begins + self.length <= len(line))])
+        own = self.words(line, begins)
+        hashes = window_hashes(own.ravel().astype(np.uint64), self.length)[:: self.length]
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = (self.hashes[k] == hashes) & (own == self.words(self.flat, self.begin[k])).all(axis=1)
+        found = np.unique(k[same])
+        items = [self.owners[self.group[w] : self.group[w + 1]] for w in found.tolist()]
+        return begins[same], np.unique(np.concatenate(items)) if items else np.empty(0, np.int64)
+
+
 class Scanner:
     """Finds items' windows in texts; ``items`` is [(name, text)]."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
-        self.size, run = size, min(RUN_WORDS, size)
         self.numbers: dict[bytes, int] = {}
         self.names: list[str] = []
-        self.words: list[np.ndarray] = []
-        starts: dict[bytes, list[tuple[int, int]]] = {}
-        seen = set()
+        lists, seen = [], set()
         for name, text in items:
-            words = normalised_words(text)
-            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.uint32)
-            if not words or (name, ids.tobytes()) in seen:
-                continue
-            seen.add((name, ids.tobytes()))
-            item, length = len(self.names), min(run, len(words))
-            self.names.append(name)
-            self.words.append(ids)
-            # the last of these begins no later than the last window's end allows
-            for k in range(0, max(1, len(words) - run + 1), size - run + 1):
-                starts.setdefault(b" " + b" ".join(words[k : k + length]) + b" ", []).append((item, k))
+            own = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in normalised_words(text)], np.uint32)
+            if len(own) and (name, own.tobytes()) not in seen:
+                seen.add((name, own.tobytes()))
+                self.names.append(name)
+                lists.append(own)
+        self.tables: dict[int, Windows] = {}
         self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for key, places in starts.items():
+        places: dict[bytes, set[tuple[int, int]]] = {}
+        lengths = np.array([len(x) for x in lists], np.int64)
+        flat = np.concatenate(lists) if lists else np.empty(0, np.uint32)
+        offsets = np.append(0, np.cumsum(lengths))
+        words = list(self.numbers)
+        for length in sorted({min(size, n) for n in lengths.tolist()}):
+            run, own = min(RUN_WORDS, length), np.flatnonzero(np.minimum(lengths, size) == length)
+            counts = lengths[own] - length + 1
+            owners = np.repeat(own, counts)
+            begins = np.repeat(offsets[own] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(len(owners))
+            self.tables[length] = Windows(length, flat, begins, owners)
+            for first, offset in _rarest(flat, begins, length, run):
+                key = b" " + b" ".join(words[n - 1] for n in flat[first : first + run].tolist()) + b" "
+                places.setdefault(key, set()).add((length, offset))
+        for key, own in places.items():
             # latin-1 gives each byte a character, so offsets are offsets in bytes
-            self.found.add_word(key.decode("latin-1"), (key.count(b" ") - 1, places))
-        self.empty = not starts
-        if starts:
+            self.found.add_word(key.decode("latin-1"), (key.count(b" ") - 1, tuple(sorted(own))))
+        self.empty = not places
+        if places:
             self.found.make_automaton()
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
@@ -73,31 +117,45 @@ class Scanner:
         met = list(self.found.iter(joined.decode("latin-1")))
         if not met:
             return len(words), [], set()
-        line = np.fromiter(map(self.numbers.get, words, repeat(0)), np.uint32, len(words))
+        known = self.numbers.get
+        line = np.fromiter((known(w, 0) for w in words), np.uint32, len(words))
         blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
         past = np.searchsorted(blanks, [end for end, _ in met]).tolist()  # the blank after word k - 1 is number k
+        asked: dict[int, list[int]] = {}
+        for last, (_, (run, places)) in zip(past, met, strict=True):
+            for length, offset in places:
+                asked.setdefault(length, []).append(last - run - offset)
         runs, names = [], set()
-        for last, (_, (length, places)) in zip(past, met, strict=True):
-            first = last - length
-            for item, k in places:
-                own = self.words[item]
-                begin = first - _common(line[:first][::-1], own[:k][::-1])
-                end = last + _common(line[last:], own[k + length :])
-                if end - begin >= min(self.size, len(own)):
-                    runs.append((begin, end))
-                    names.add(self.names[item])
+        for length, begins in asked.items():
+            at, items = self.tables[length].met(line, np.array(begins))
+            runs += [(k, k + length) for k in at.tolist()]
+            names.update(self.names[k] for k in items.tolist())
         return len(words), merged(runs), names
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common start."""
-    n, done, step = min(len(a), len(b)), 0, 16
-    while done < n:
-        other = np.flatnonzero(a[done : done + step][: n - done] != b[done : done + step][: n - done])
-        if len(other):
-            return done + int(other[0])
-        done, step = done + step, step * 4
-    return n
+def _rarest(flat: np.ndarray, begins: np.ndarray, length: int, run: int) -> list[tuple[int, int]]:
+    """(place, offset): for each window its rarest run of ``run`` words, and where in the window that is; equal ones once."""
+    hashes = window_hashes(flat.astype(np.uint64), run)
+    steps = np.arange(length - run + 1)
+    inside = np.unique((begins[:, None] + steps).ravel()) if len(begins) < SLICE else np.flatnonzero(_covered(len(flat), begins, len(steps)))
+    _, back, counts = np.unique(hashes[inside], return_inverse=True, return_counts=True)
+    rank = np.zeros(len(flat), np.uint64)
+    rank[inside] = (counts[back].astype(np.uint64) << np.uint64(32)) | (hashes[inside] >> np.uint64(32))  # equal runs have equal ranks
+    found = []
+    for k in range(0, len(begins), SLICE):
+        own = begins[k : k + SLICE]
+        offset = rank[own[:, None] + steps].argmin(axis=1)
+        found.append(np.stack([own + offset, offset]))
+    place, offset = np.concatenate(found, axis=1)
+    _, first = np.unique(hashes[place] * np.uint64(64) + offset.astype(np.uint64), return_index=True)
+    return list(zip(place[first].tolist(), offset[first].tolist(), strict=True))
+
+
+def _covered(n: int, begins: np.ndarray, steps: int) -> np.ndarray:
+    edges = np.zeros(n + steps + 1, np.int64)
+    np.add.at(edges, begins, 1)
+    np.add.at(edges, begins + steps, -1)
+    return np.cumsum(edges)[:n] > 0
 
 
 _SCANNERS: dict[str, Scanner] = {}
@@ -118,23 +176,8 @@ def word_offsets(text: bytes) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _blocks(items: DataFrame, item_id: str, text_col: str, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``limit`` bytes of text (or one item)."""
-    block, size = [], 0
-    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(text_col).cast("binary"))
-    for name, text in rows.toLocalIterator():
-        text = bytes(text or b"")
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append((name, text))
-        size += len(text)
-    if block:
-        yield block
-
-
 def _pass(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFrame:
-    """Scan column ``text`` for the items; adds to hit_words, hit_bytes and items."""
+    """Scan column ``text`` for the items; fills n_words, hit_words, hit_bytes and items."""
     shared, key = rows.sparkSession.sparkContext.broadcast(items), uuid4().hex
     schema, names = rows.schema, rows.columns
 
@@ -143,16 +186,14 @@ def _pass(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFra
         for batch in batches:
             column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             counts, hits, places, found = [], [], [], []
-            old = zip(column["hit_words"].to_pylist(), column["items"].to_pylist(), strict=True)
-            for text, (had, names_before) in zip(column["text"], old, strict=True):
+            for text in column["text"]:
                 body = text.as_py() or b""
                 n, runs, own = scanner.scan(body)
                 counts.append(n)
-                both = merged([(x["first"], x["past"]) for x in had or ()] + runs)
-                hits.append([{"first": a, "past": b} for a, b in both])
-                at = word_offsets(body) if both else None
-                places.append([{"begin": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in both])
-                found.append(sorted({*(names_before or ()), *own}))
+                hits.append([{"first": a, "past": b} for a, b in runs])
+                at = word_offsets(body) if runs else None
+                places.append([{"begin": int(at[a, 0]), "end": int(at[b - 1, 1])} for a, b in runs])
+                found.append(sorted(own))
             column |= {
                 "n_words": pa.array(counts, pa.int64()),
                 "hit_words": pa.array(hits, batch.schema.field("hit_words").type),
@@ -178,7 +219,7 @@ def decontaminate(
     docs: DataFrame,
     items: DataFrame,
     window_words: int = 10,
-    block_bytes: int = BLOCK_BYTES,
+    most_bytes: int = MOST_BYTES,
     text_col: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
@@ -197,10 +238,10 @@ def decontaminate(
     ids are scanned like others; items that share an id count as one, and a null id
     is the string "null". Without items, or documents, nothing is found.
 
-    Documents are not shuffled and read once. A block of items (``block_bytes`` of text, or
-    one item) is broadcast and made an automaton by each worker; a benchmark beyond that
-    is a stated set of queries that is scanned for block by block, within the same tasks.
-    A very long text is scanned by one task in time that grows with its length.
+    Documents are not shuffled and read once. The items, whose size is measured first, are
+    broadcast and made one automaton by each worker; more than ``most_bytes`` of their text is an error
+    (a larger benchmark is a job for each part of it). A very long text is scanned by one task
+    in time that grows with its length.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     none, nowhere = "array<struct<first:long,past:long>>", "array<struct<begin:long,end:long>>"
@@ -208,10 +249,11 @@ def decontaminate(
         whole, F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.array().cast(none).alias("hit_words"), F.array().cast(nowhere).alias("hit_bytes"), F.array().cast("array<string>").alias("items"),
     )
-    scanned = False
-    for block in _blocks(items, item_id, item_text, block_bytes):
-        rows, scanned = _pass(rows, block, window_words), True
-    return rows if scanned else _pass(rows, [], window_words)
+    own = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), F.col(item_text).cast("binary").alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the items hold {size} bytes of text; an automaton is made for {most_bytes} at most")
+    return _pass(rows, [(r.name, bytes(r.text or b"")) for r in own.collect()], window_words)
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
