@@ -285,6 +285,16 @@ def test_quality_cascade(spark):
     assert [x.kept for x in quality_rules(df).orderBy("doc_id").collect()] == [True, False, False, False, False]
 
 
+def test_mix_of_equal_sources_and_repeated_ids(spark):
+    """Sources that tie in tokens get equal weights; rows that share an id stand or fall together; long texts count whole."""
+    rows = [(k, "a b c", f"s{k % 3}") for k in range(30)] + [(100 + k % 2, "d e f g", "s3") for k in range(8)] + [(200, "w " * 50_000, "big"), (None, None, None), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = {r.source: r for r in mixing_plan(docs, target_entropy=1.2).collect()}
+    assert len({round(plan[f"s{k}"].weight, 12) for k in range(3)}) == 1 and plan["big"].tokens == 50_000 and plan[None].weight == 0
+    half = mix_rows(docs, budget_tokens=40, max_epochs=50.0).select("row.*", "epoch").filter("source = 's3'").groupBy("doc_id", "epoch").count().collect()
+    assert half == [] or {r["count"] for r in half} == {4}
+
+
 def test_source_mix(docs, rows, empty):
     taken = mix_rows(docs, max_epochs=2.0)
     got = taken.select("row.*", "epoch").collect()

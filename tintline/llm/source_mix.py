@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +99,17 @@ def mixing_plan(
     ).withColumn("full_epochs", F.floor("epochs"))
     plan = plan.withColumn("rest", F.floor((F.col("epochs") - F.col("full_epochs")) * F.col("tokens")))
     # where the last permutation's budget ends: among groups of blocks, then blocks, then rows
-    dealt = narrow.join(plan.select(F.col("s").alias("ps"), "blocks", "full_epochs", "rest"), F.col("s").eqNullSafe(F.col("ps"))).select(
+    plan = checkpointed(plan)
+    small = _few(plan)  # none of what follows has more rows than there are sources
+    dealt = narrow.join(small(plan).select(F.col("s").alias("ps"), "blocks", "full_epochs", "rest"), F.col("s").eqNullSafe(F.col("ps"))).select(
         "s", "t", "rest", perm_key("i", "full_epochs", seed).alias("k"), "blocks"
     ).withColumn("b", block_of("k", "blocks")).withColumn("g", F.floor(F.col("b") / BLOCK_GROUP))
-    first = _edge(dealt.withColumn("before", F.lit(0).cast("long")), "g")
-    group = dealt.join(first, F.col("s").eqNullSafe(F.col("es")) & (F.col("g") == F.col("e"))).drop("es", "e")
-    edge = _edge(group, "b")
+    first = checkpointed(_edge(dealt.withColumn("before", F.lit(0).cast("long")), "g"))
+    group = dealt.join(small(first), F.col("s").eqNullSafe(F.col("es")) & (F.col("g") == F.col("e"))).drop("es", "e")
+    edge = checkpointed(_edge(group, "b"))
     within = Window.partitionBy("s").orderBy("k").rangeBetween(Window.unboundedPreceding, 0)
     last = (
-        dealt.join(edge, F.col("s").eqNullSafe(F.col("es")) & (F.col("b") == F.col("e")))
+        dealt.join(small(edge), F.col("s").eqNullSafe(F.col("es")) & (F.col("b") == F.col("e")))
         .withColumn("upto", F.col("before") + F.sum("t").over(within))
         .groupBy("s", "e")
         .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("k"))).alias("last_key"))
@@ -118,6 +122,11 @@ def mixing_plan(
     )
 
 
+def _few(plan: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How tables with a row for each source are joined with rows: by broadcast, once it is counted that they are few."""
+    return F.broadcast if plan.limit(SMALL_PLAN + 1).count() <= SMALL_PLAN else lambda df: df
+
+
 def _edge(dealt: DataFrame, by: str) -> DataFrame:
     """(es, e, before): each source's value of ``by`` that the budget ends in, and the tokens before it."""
     so_far = Window.partitionBy("s").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
@@ -167,9 +176,7 @@ def mix_rows(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", source_col:
         F.col(source_col).alias("s"),
     )
     plan = checkpointed(plan)
-    if plan.limit(SMALL_PLAN + 1).count() <= SMALL_PLAN:
-        plan = F.broadcast(plan)
-    taken = row.join(plan, F.col("s").eqNullSafe(F.col("source"))).withColumn(
+    taken = row.join(_few(plan)(plan), F.col("s").eqNullSafe(F.col("source"))).withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full_epochs")))
     )
     taken = taken.withColumn("perm_key", perm_key("i", "epoch", seed)).withColumn("block", block_of("perm_key", "blocks"))
