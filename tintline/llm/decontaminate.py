@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import window_hashes
+from .packed import release_memory, window_hashes
 
 #: Bytes of benchmark text that an automaton is made for (some 100 bytes of memory each in every worker).
 MOST_BYTES = 16 << 20
@@ -182,6 +182,7 @@ def _pass(rows: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFra
     schema, names = rows.schema, rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # that of another stage in this worker
         scanner = _scanner(key, shared, size)
         for batch in batches:
             column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}

@@ -9,6 +9,7 @@ for each chunk; the ranges add up, and each block's sums come back to its chunk.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -174,11 +175,28 @@ def chunk_of(row: dict) -> Chunk:
     return Chunk(row["chunk"], ids, has, offsets, np.frombuffer(unsqueeze(row["body"]), np.uint8))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library gives memory back in its own way
+        return None
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker's waits beside those of other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, dict]]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
             yield chunk_of(row), row
+            del row
+            release_memory()
 
 
 @dataclass(frozen=True)
@@ -229,6 +247,7 @@ def _blocks(features: Callable[[Chunk], np.ndarray], ranges: Ranges):
 
 def _sums(width: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        release_memory()  # that of the range before
         base = U64(key[0].as_py() * width)
         blocks = [np.cumsum(unpack_ints(x.as_py())) + base for x in table.column("hashes")]
         counts = np.concatenate([unpack_ints(x.as_py()) for x in table.column("counts")])
