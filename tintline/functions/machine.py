@@ -43,6 +43,18 @@ _ONE = re.compile(f"(?s:{SGR}|{URL})")
 #: A run of formats and links (the group), or another sequence, whose inside isn't looked at.
 TOKENS = re.compile(for_python(rf"(?s:(?P<run>(?:{SGR}|{URL})++)|{control_pattern(('all', 'sgr', 'url', 'nl', 'c0'))})"))
 _LAST = re.compile(for_python(rf"(?s:(?:{SGR}|{URL})++\z)"))
+_FIRST = re.compile(for_python(rf"(?s:(?:{SGR}|{URL})++)"))
+
+
+def first_run(text: str) -> str:
+    """The formats and links that ``text`` begins with."""
+    found = _FIRST.match(text) if text.startswith("\x1b") else None
+    return found.group() if found else ""
+
+
+def without_last_run(text: str) -> str:
+    """``text`` without the formats and links that it ends in."""
+    return _LAST.sub("", text) if text.endswith(("m", "\\", "\x07")) or "\x1b]8;" in text else text
 
 
 @lru_cache(maxsize=16)
@@ -243,7 +255,7 @@ class Machine:
     def formatted(self, state: State, body: str, options: Options) -> str:
         """``body`` with the format that it begins in put in front and, if it is to be terminated, ended behind."""
         if options.terminate:
-            body = _LAST.sub("", body) if body.endswith(("m", "\\", "\x07")) or "\x1b]8;" in body else body
+            body = without_last_run(body)
             out = self.opened(state) + body + self.closed(self.end(state, body)) if body else ""
         else:
             out = self.opened(state) + body

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .controls import SGR, URL, Ctl, control_pattern, kinds, strip_ctl
 from .machine import Options, Positions, carried_in, ctl_names, in_batches, machine, split_pattern, state_of
-from .state import SPECIAL, STATE, TermCap, bridge, close_of, events, fold, let, normalized, nothing, open_state, then
-from .width import cluster_pattern, graphemes_of, is_plain, width_of
+from .state import TermCap, bridge, events, fold, let, open_state, then
+from .width import is_plain, width_of
+from .wrap import BREAK, GAP, WIDE_GAP, Wrapping, broken_space, end_space, wrapped
 
 IntColumn = Column | int
 ROUND = ("start", "stop", "both", "neither")
@@ -25,20 +26,6 @@ def _int(value: IntColumn) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
-def tokens(x: Column, ctl: Ctl = "all", clusters: bool = False) -> Column:
-    """Control sequences and visible units (code points, or clusters with what has no width)."""
-    control = control_pattern(ctl)
-    unit = cluster_pattern() if clusters else "(?s:.)"
-    return F.regexp_extract_all(x, F.lit(f"{control}|{unit}" if control else unit), F.lit(0))
-
-
-def _size_of(type: str, ctl: Ctl):
-    control = control_pattern(ctl)
-    is_control = (lambda t: t.rlike(rf"^{control}$")) if control else (lambda t: F.lit(False))
-    measure = {"chars": lambda t: F.lit(1), "graphemes": graphemes_of, "width": width_of}[type]
-    return lambda t: F.when(t.rlike("^[\\x20-\\x7E]$"), 1).when(is_control(t), 0).otherwise(measure(t))
-
-
 def substr_ctl(
     x: Column,
     start: IntColumn,
@@ -227,7 +214,7 @@ def _paragraphs(x: Column) -> Column:
     Controls within white space go behind it.
     """
     control = control_pattern(("all", "nl"))
-    run = rf"(?<![ \t\n])[ \t\n]++(?:(?:{control})++[ \t\n]++)++"  # looked for once in white space, not at each blank
+    run, (first, last) = broken_space(control), end_space(control)
 
     def moved(piece: Column) -> Column:
         controls = F.array_join(F.regexp_extract_all(piece, F.lit(control), F.lit(0)), "")
@@ -239,12 +226,12 @@ def _paragraphs(x: Column) -> Column:
     def squeezed(p: Column) -> Column:
         flat = F.regexp_replace(p, F.lit(r"[\t\n]"), F.lit(" "))
         # a text's or paragraph's controls beyond its first and last word go to these
-        ends = F.regexp_replace(F.regexp_replace(flat, F.lit(rf"^ *+((?:{control})++) ++"), F.lit("$1")), F.lit(rf"(?<! ) ++((?:{control})++) *+\z"), F.lit("$1"))
-        flat = F.when(flat.contains("\x1b"), ends).otherwise(flat)
-        words = F.regexp_replace(flat, F.lit(r"(?<! )(?<![.?!])(?<![.?!][\"')]) {2,}"), F.lit(" "))
-        return F.btrim(F.regexp_replace(words, F.lit(" {3,}"), F.lit("  ")), F.lit(" "))
+        whole = F.regexp_replace(F.regexp_replace(flat, F.lit(first), F.lit("$1")), F.lit(last), F.lit("$1"))
+        flat = F.when(flat.contains("\x1b"), whole).otherwise(flat)
+        words = F.regexp_replace(flat, F.lit(GAP), F.lit(" "))
+        return F.btrim(F.regexp_replace(words, F.lit(WIDE_GAP), F.lit("  ")), F.lit(" "))
 
-    parts = F.transform(F.split(gathered, r"(?<![ \t])[ \t]*+\n(?:[ \t]*+\n)++[ \t]*+", -1), squeezed)
+    parts = F.transform(F.split(gathered, BREAK, -1), squeezed)
     return let(F.filter(parts, lambda p: p != ""), lambda found: F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found))
 
 
@@ -260,18 +247,16 @@ def squeeze_space(x: Column) -> Column:
 _PATTERN_WIDTH = 1000
 
 
-def _line_pattern(head: int, rest: int, control: str) -> str:
+def _line_pattern(head: int, rest: int) -> str:
     """A regular expression for the lines of a paragraph in turn: as many words as fit, or one that is too long.
 
-    Each character is a column, and controls are none.
+    Each character is a column.
     """
-    gap = f"(?:{control})*+" if control else ""
 
     def line(width: int) -> str:
-        visible, any_one = f"{gap}[^ ]", f"(?:{gap}(?s:.))"
-        more = f"(?:{any_one}{{0,{width - 2}}}{visible})?" if width > 1 else ""
-        fits = rf"{visible}{more}(?={gap}(?: |\z))|" if width > 0 else ""
-        return f"(?:{fits}(?:{visible})++){gap}"
+        more = f"(?:.{{0,{width - 2}}}[^ ])?" if width > 1 else ""
+        fits = rf"[^ ]{more}(?= |\z)|" if width > 0 else ""
+        return f"(?:{fits}[^ ]++)"
 
     return line(rest) if head == rest else rf"(?:\A{line(head)}|(?<!\A){line(rest)})"
 
@@ -290,7 +275,7 @@ def strwrap_ctl(
     ctl: Ctl = "all",
     normalize: bool = False,
     terminate: bool = True,
-    carry: Column | None = None,
+    carry: Column | str | None = None,
     term_cap: TermCap = None,
 ) -> Column:
     """Lines of at most ``width`` - 1 columns, as an array; null is the text "NA".
@@ -298,100 +283,32 @@ def strwrap_ctl(
     White space is squeezed first; each line begins with the format in force there.
     ``wrap_always`` breaks words that are longer than a line; ``pad_end`` is a character
     to fill lines up with. Without ``strip_spaces`` white space stays as it is and each line
-    break begins a paragraph; with ``tab_stops`` tabs become spaces first.
+    break begins a paragraph; with ``tab_stops`` tabs become spaces first. A text of nothing but
+    controls is one line.
+
+    Texts of plain characters are filled within Catalyst; those with controls or wide characters, and
+    all with options that keep white space, break words, make tabs spaces or carry a state, go through Arrow batches.
     """
     target = max(1, width - 1)
     head, rest = (prefix if initial is None else initial) + " " * indent, prefix + " " * exdent
-    control = control_pattern(ctl)
+    names = () if not control_pattern(ctl) else ctl_names(ctl)
+    how = Wrapping(target, head, rest, wrap_always, pad_end, strip_spaces, tab_stops, names, normalize, terminate)
+    x = F.coalesce(x, F.lit("NA"))
 
-    def size(t: Column) -> Column:
-        return width_of(strip_ctl(t, ctl)).cast("int")
-
-    def broken(word: Column) -> Column:
-        """Parts of a long word, each within the target; all but the first go on without a blank."""
-
-        def step(acc: Column, t: Column) -> Column:
-            w = _size_of("width", ctl)(t)
-            over = acc["w"] + w > target - max(len(head), len(rest))
-            state = F.struct(F.when(over, t).otherwise(F.concat(acc["now"], t)).alias("now"), F.when(over, w).otherwise(acc["w"] + w).cast("int").alias("w"))
-            return F.struct(state.alias("state"), F.when(over, acc["now"]).alias("out"))
-
-        start = F.struct(F.lit("").alias("now"), F.lit(0).alias("w"))
-        parts = let(fold(tokens(word, ctl, True), start, step), lambda a: F.concat(F.array_compact(a["out"]), F.array(a["state"]["now"])))
-        return let(parts, lambda p: F.transform(p, lambda t, k: F.struct(t.alias("text"), (k > 0).alias("on"))))
-
-    def fill(paragraph: Column, lead: str) -> Column:
-        """The general way: word by word, by width."""
-        words = F.split(paragraph, " ", -1)
-        items = F.flatten(F.transform(words, broken)) if wrap_always else F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(False).alias("on")))
-
-        def step(acc: Column, word: Column) -> Column:
-            # an empty word is the second blank after a sentence
-            gap = F.when((acc["n"] == 0) | word["on"], "").otherwise(" ")
-            room = target - F.when(acc["first"], len(lead)).otherwise(len(rest))
-            w = size(word["text"])
-            fits = (acc["n"] == 0) | (acc["w"] + F.char_length(gap) + w <= room)
-            state = F.struct(
-                F.when(fits, F.concat(acc["line"], gap, word["text"])).otherwise(word["text"]).alias("line"),
-                F.when(fits, acc["w"] + F.char_length(gap) + w).otherwise(w).cast("int").alias("w"),
-                F.when(~fits & (word["text"] == ""), 0).otherwise(acc["n"] + 1).alias("n"),
-                (acc["first"] & fits).alias("first"),
-            )
-            return F.struct(state.alias("state"), F.when(~fits, F.rtrim(acc["line"]) if strip_spaces else acc["line"]).alias("out"))
-
-        start = F.struct(F.lit("").alias("line"), F.lit(0).alias("w"), F.lit(0).alias("n"), F.lit(True).alias("first"))
-        return let(fold(items, start, step), lambda a: F.concat(F.array_compact(a["out"]), F.array(a["state"]["line"])))
-
-    def filled(paragraph: Column) -> Column:
-        general = fill(paragraph, head)
-        if wrap_always or not strip_spaces or target > _PATTERN_WIDTH:
-            return general
-
-        def by(pattern_control: str) -> Column:
-            pattern = _line_pattern(target - len(head), target - len(rest), pattern_control)
-            return F.regexp_extract_all(paragraph, F.lit(pattern), F.lit(0))
-
-        one = F.when(is_plain(strip_ctl(paragraph, ctl)), by(control)) if control else F.when(is_plain(paragraph), by(""))
-        if control:  # most texts have no controls
-            one = F.when(is_plain(paragraph), by("")).otherwise(one)
-        return F.when(paragraph == "", F.array(F.lit(""))).otherwise(F.coalesce(one, general))
-
-    def with_format(lines: Column) -> Column:
-        """Lines (text, lead) with the format in force put in front and ended behind."""
-
-        def finished(line: Column, text: Column) -> Column:
-            if pad_end:
-                text = F.concat(text, F.repeat(F.lit(pad_end), F.greatest(F.lit(0), target - F.char_length(line["lead"]) - size(line["text"]))))
-            return F.concat(line["lead"], normalized(text, term_cap=term_cap) if normalize else text)
-
-        def step(state: Column, line: Column) -> Column:
-            body = F.regexp_replace(line["text"], F.lit(rf"{SPECIAL}\z"), F.lit("")) if terminate else line["text"]
-            lead_in = F.regexp_extract(line["text"], rf"^((?:{SPECIAL})?)", 1)
-            opened = let(then(state, events(lead_in, term_cap)), open_state)
-            rest_of = F.regexp_replace(body, F.lit(rf"^{SPECIAL}"), F.lit(""))
-            formatted = F.concat(opened, rest_of, let(then(state, events(body, term_cap)), close_of) if terminate else F.lit(""))
-            plain = ~line["text"].contains("\x1b") & ~F.exists(state, lambda v: F.coalesce(v, F.lit("")) != "")
-            full = F.struct(then(state, events(line["text"], term_cap)).alias("state"), finished(line, formatted).alias("out"))
-            return F.when(plain, F.struct(state.alias("state"), finished(line, line["text"]).alias("out"))).otherwise(full)
-
-        begin = (nothing() if carry is None else carry).cast(STATE)
-        return fold(lines, begin, step)["out"]
+    def general(t: Column) -> Column:
+        return in_batches("array<string>", lambda t, s=None: wrapped(machine(term_cap), t, how, state_of(s)), t, *carried_in(carry))
 
-    x = F.coalesce(x, F.lit("NA"))
-    if tab_stops:
-        x = tabs_as_spaces(x, tab_stops, ctl)
-    paragraphs = _paragraphs(x) if strip_spaces else F.split(x, "\n", -1)
-    found = F.flatten(F.transform(paragraphs, lambda p: F.transform(let(p, filled), lambda t, k: F.struct(t.alias("text"), F.when(k == 0, head).otherwise(rest).alias("lead")))))
+    if wrap_always or not strip_spaces or tab_stops or carry is not None or target > _PATTERN_WIDTH:
+        return general(x)
+    plain = is_plain(F.translate(x, "\t\n", "  "))
+    pattern = F.lit(_line_pattern(target - len(head), target - len(rest)))
 
-    def plainly(lines: Column) -> Column:
-        def one(s: Column) -> Column:
-            text = F.concat(s["lead"], s["text"])
-            return F.concat(text, F.repeat(F.lit(pad_end), F.greatest(F.lit(0), target - F.char_length(s["lead"]) - size(s["text"])))) if pad_end else text
+    def led(line: Column, k: Column) -> Column:
+        text = F.concat(F.when(k == 0, head).otherwise(rest), line)
+        return F.rpad(text, F.greatest(F.char_length(text), F.lit(target)), F.lit(pad_end)) if pad_end else text
 
-        return F.transform(lines, one)
+    def lines(paragraph: Column) -> Column:
+        return F.transform(F.when(paragraph == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(paragraph, pattern, F.lit(0))), led)
 
-    if not control:
-        return plainly(found)
-    if carry is not None:
-        return with_format(found)
-    return let(found, lambda lines: F.when(x.contains("\x1b"), with_format(lines)).otherwise(plainly(lines)))
+    quick = F.flatten(F.transform(_paragraphs(F.when(plain, x)), lines))
+    return F.when(plain, quick).otherwise(general(F.when(~plain, x)))

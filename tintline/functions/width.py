@@ -96,9 +96,3 @@ def graphemes_of(x: Column) -> Column:
     """Characters that a reader sees: those of any width, with what joins them as one."""
     zero, _ = classes()
     return _counted(x, lambda y: F.char_length(y) - F.regexp_count(y, F.lit(zero)))
-
-
-def cluster_pattern() -> str:
-    """A regular expression for one visible character with the zero-width ones that follow."""
-    zero, _ = classes()
-    return rf"(?s:(?:{_FLAGS}|.)(?:{_JOINED}|{_SKIN}|{zero})*+)"
