@@ -201,11 +201,15 @@ def test_wrap_options_with_formats(spark):
     assert each(spark, [f"abc{red}defgh{E}[0m ij", "一二三四 x"], lambda x: strwrap_ctl(x, 6, wrap_always=True)) == [
         [f"abc{red}de{E}[0m", f"{red}fgh{E}[0m", "ij"], ["一二", "三四", "x"]]
     assert each(spark, [f"{bold}一 b"], lambda x: strwrap_ctl(x, 4, pad_end="."), lambda x: strwrap_ctl(x, 4, terminate=False)) == [
-        ([f"{bold}一{E}[0m.", f"{bold}b{E}[0m.."], [f"{bold}一", f"{bold}b"])]
+        ([f"{bold}一.{E}[0m", f"{bold}b..{E}[0m"], [f"{bold}一", f"{bold}b"])]
     assert each(spark, [f" a{bold}  b\nc"], lambda x: strwrap_ctl(x, 20, strip_spaces=False)) == [[f" a{bold}  b{E}[0m", f"{bold}c{E}[0m"]]
     assert each(spark, ["a\tb"], lambda x: strwrap_ctl(x, 20, tab_stops=(4,), strip_spaces=False)) == [["a   b"]]
     assert each(spark, [bold, f"a {bold}", f"{bold}{red}a{E}[22;31mb"], lambda x: strwrap_ctl(x, 9), lambda x: strwrap_ctl(x, 9, normalize=True)) == [
         ([""], [""]), (["a"], ["a"]), ([f"{E}[1;31ma{E}[22;31mb{E}[0m"], [f"{bold}{red}a{E}[22mb{E}[39m"])]
+    # formats around prefix and padding; empty lines without indent, and without a format unless they are filled up
+    boxed = f"{red}a b\n\nc"
+    assert each(spark, [boxed, ""], lambda x: strwrap_ctl(x, 6, prefix="> ", indent=1, pad_end="."), lambda x: strwrap_ctl(x, 9, prefix="> ", indent=1, strip_spaces=False)) == [
+        ([f"{red}>  a.{E}[0m", f"{red}> b..{E}[0m", f"{red}>  c.{E}[0m"], [f"{red}>  a b{E}[0m", "> ", f"{red}>  c{E}[0m"]), (["> .."], ["> "])]
     carried = each(spark, ["a b", ""], lambda x: strwrap_ctl(x, 2, carry=red))
     assert carried == [[f"{red}a{E}[0m", f"{red}b{E}[0m"], [""]]
 
@@ -219,7 +223,7 @@ def test_wrap_plain_and_by_machine_agree(spark):
     texts = ["".join(r.choice(["a", "bc.", "defg", "(hij!)", "x" * 25]) + r.choice([" ", "  ", "\n", "\n\n", " \t", "   "]) for _ in range(r.randint(0, 50))) for _ in range(60)]
     for width, head, rest in ((2, "", ""), (9, "", ""), (24, "* ", "  "), (24, "", "    ")):
         quick = each(spark, texts, lambda x: strwrap_ctl(x, width, initial=head, prefix=rest, pad_end="."))
-        assert quick == [wrapped(machine(None), t, Wrapping(width - 1, head, rest, pad_end=".")) for t in texts]
+        assert quick == [wrapped(machine(None), t, Wrapping(width - 1, head, rest, 0, 0, pad_end=".")) for t in texts]
 
 
 def test_wrap_white_space(spark):

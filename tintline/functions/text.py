@@ -16,7 +16,7 @@ from .controls import SGR, URL, Ctl, control_pattern, kinds, strip_ctl
 from .machine import Options, Positions, carried_in, ctl_names, in_batches, machine, split_pattern, state_of
 from .state import TermCap, bridge, events, fold, let, open_state, then
 from .width import is_plain, width_of
-from .wrap import BREAK, GAP, WIDE_GAP, Wrapping, broken_space, end_space, wrapped
+from .wrap import BREAK, GAP, WIDE_GAP, Wrapping, paragraphs, wrapped
 
 IntColumn = Column | int
 ROUND = ("start", "stop", "both", "neither")
@@ -209,38 +209,24 @@ def strsplit_ctl(
 
 
 def _paragraphs(x: Column) -> Column:
-    """The paragraphs of ``x`` with white space as one blank, or two after the end of a sentence.
-
-    Controls within white space go behind it.
-    """
-    control = control_pattern(("all", "nl"))
-    run, (first, last) = broken_space(control), end_space(control)
-
-    def moved(piece: Column) -> Column:
-        controls = F.array_join(F.regexp_extract_all(piece, F.lit(control), F.lit(0)), "")
-        return F.when(piece.rlike(rf"^{run}"), F.concat(F.regexp_replace(piece, F.lit(control), F.lit("")), controls)).otherwise(piece)
-
-    pieces = F.regexp_extract_all(x, F.lit(rf"(?s:{run}|(?:(?!{run}).)++)"), F.lit(0))
-    gathered = F.when(x.contains("\x1b") & x.rlike(run), F.array_join(F.transform(pieces, moved), "")).otherwise(x)
+    """The paragraphs of a text without escapes, with white space as one blank, or two after the end of a sentence."""
 
     def squeezed(p: Column) -> Column:
-        flat = F.regexp_replace(p, F.lit(r"[\t\n]"), F.lit(" "))
-        # a text's or paragraph's controls beyond its first and last word go to these
-        whole = F.regexp_replace(F.regexp_replace(flat, F.lit(first), F.lit("$1")), F.lit(last), F.lit("$1"))
-        flat = F.when(flat.contains("\x1b"), whole).otherwise(flat)
-        words = F.regexp_replace(flat, F.lit(GAP), F.lit(" "))
+        words = F.regexp_replace(F.translate(p, "\t\n", "  "), F.lit(GAP), F.lit(" "))
         return F.btrim(F.regexp_replace(words, F.lit(WIDE_GAP), F.lit("  ")), F.lit(" "))
 
-    parts = F.transform(F.split(gathered, BREAK, -1), squeezed)
+    parts = F.transform(F.split(x, BREAK, -1), squeezed)
     return let(F.filter(parts, lambda p: p != ""), lambda found: F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found))
 
 
 def squeeze_space(x: Column) -> Column:
     """White space as one blank; two after the end of a sentence; an empty line between paragraphs.
 
-    Controls within white space go behind it.
+    Controls within white space go behind it. Texts with escapes go through Arrow batches.
     """
-    return F.when(x.isNotNull(), F.array_join(_paragraphs(x), "\n\n"))
+    escapes = x.contains("\x1b")
+    apart = in_batches("string", lambda t: "\n\n".join(paragraphs(t)), F.when(escapes, x))
+    return F.when(escapes, apart).when(x.isNotNull(), F.array_join(_paragraphs(x), "\n\n"))
 
 
 #: Columns up to which lines are found by a regular expression, which goes as deep as a line is wide.
@@ -280,7 +266,8 @@ def strwrap_ctl(
 ) -> Column:
     """Lines of at most ``width`` - 1 columns, as an array; null is the text "NA".
 
-    White space is squeezed first; each line begins with the format in force there.
+    White space is squeezed first; each line begins with the format in force there, in front of
+    its prefix, and what fills it up is in the format at its end. An empty line has a prefix but no indent.
     ``wrap_always`` breaks words that are longer than a line; ``pad_end`` is a character
     to fill lines up with. Without ``strip_spaces`` white space stays as it is and each line
     break begins a paragraph; with ``tab_stops`` tabs become spaces first. A text of nothing but
@@ -292,7 +279,7 @@ def strwrap_ctl(
     target = max(1, width - 1)
     head, rest = (prefix if initial is None else initial) + " " * indent, prefix + " " * exdent
     names = () if not control_pattern(ctl) else ctl_names(ctl)
-    how = Wrapping(target, head, rest, wrap_always, pad_end, strip_spaces, tab_stops, names, normalize, terminate)
+    how = Wrapping(target, head, rest, indent, exdent, wrap_always, pad_end, strip_spaces, tab_stops, names, normalize, terminate)
     x = F.coalesce(x, F.lit("NA"))
 
     def general(t: Column) -> Column:
@@ -303,12 +290,14 @@ def strwrap_ctl(
     plain = is_plain(F.translate(x, "\t\n", "  "))
     pattern = F.lit(_line_pattern(target - len(head), target - len(rest)))
 
+    empty = head[: len(head) - indent] + pad_end * max(0, target - len(head))
+
     def led(line: Column, k: Column) -> Column:
         text = F.concat(F.when(k == 0, head).otherwise(rest), line)
         return F.rpad(text, F.greatest(F.char_length(text), F.lit(target)), F.lit(pad_end)) if pad_end else text
 
     def lines(paragraph: Column) -> Column:
-        return F.transform(F.when(paragraph == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(paragraph, pattern, F.lit(0))), led)
+        return F.when(paragraph == "", F.array(F.lit(empty))).otherwise(F.transform(F.regexp_extract_all(paragraph, pattern, F.lit(0)), led))
 
-    quick = F.flatten(F.transform(_paragraphs(F.when(plain, x)), lines))
+    quick = F.flatten(F.transform(_paragraphs(x), lines))
     return F.when(plain, quick).otherwise(general(F.when(~plain, x)))

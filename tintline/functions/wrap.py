@@ -8,6 +8,7 @@ its lines and sequences do. ``text.strwrap_ctl`` sends only texts here that need
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,44 +24,43 @@ GAP = r"(?<! )(?<![.?!])(?<![.?!][\"')]) {2,}"
 WIDE_GAP = " {3,}"
 
 
-def broken_space(control: str) -> str:
-    """White space with controls in it, looked for once in white space and not at each blank."""
-    return rf"(?<![ \t\n])[ \t\n]++(?:(?:{control})++[ \t\n]++)++"
-
-
-def end_space(control: str) -> tuple[str, str]:
-    """Blanks and controls beyond a paragraph's first and its last word."""
-    return rf"^ *+((?:{control})++) ++", rf"(?<! ) ++((?:{control})++) *+\z"
-
-
 @lru_cache(maxsize=1)
 def _space() -> tuple[re.Pattern, ...]:
     control = control_pattern(("all", "nl"))
-    return tuple(re.compile(for_python(p)) for p in (control, broken_space(control), *end_space(control), BREAK, GAP, WIDE_GAP))
+    # white space with controls in it, looked for once in white space and not at each blank
+    broken = rf"(?<![ \t\n])[ \t\n]++(?:(?:{control})++[ \t\n]++)++"
+    # blanks and controls beyond a paragraph's first and its last word
+    first, last = rf"^ *+((?:{control})++) ++", rf"(?<! ) ++((?:{control})++) *+\z"
+    return tuple(re.compile(for_python(p)) for p in (control, broken, first, last, BREAK, GAP, WIDE_GAP))
 
 
 def paragraphs(text: str) -> list[str]:
-    """Like ``text._paragraphs``: white space squeezed, and controls within it behind it."""
+    """The paragraphs of ``text``: white space as one blank, or two after the end of a sentence; controls within it go behind it."""
     control, broken, first, last, between, gap, wide = _space()
     escapes = "\x1b" in text
     if escapes:
         text = broken.sub(lambda m: control.sub("", m.group()) + "".join(c.group() for c in control.finditer(m.group())), text)
     out = []
-    for part in between.split(text):
+    for part in between.split(text) if "\n" in text else [text]:
         part = part.replace("\t", " ").replace("\n", " ")
         if escapes and "\x1b" in part:
             part = last.sub(r"\1", first.sub(r"\1", part))
-        out.append(wide.sub("  ", gap.sub(" ", part)).strip(" "))
+        out.append((wide.sub("  ", gap.sub(" ", part)) if "  " in part else part).strip(" "))
     return [p for p in out if p] or [""]
 
 
 @dataclass(frozen=True)
 class Wrapping:
-    """The options of ``text.strwrap_ctl``; ``target`` is a line's greatest width."""
+    """The options of ``text.strwrap_ctl``; ``target`` is a line's greatest width.
+
+    ``head`` and ``rest`` begin lines; they end in ``indent`` and ``exdent`` blanks.
+    """
 
     target: int
     head: str
     rest: str
+    indent: int = 0
+    exdent: int = 0
     wrap_always: bool = False
     pad_end: str = ""
     strip_spaces: bool = True
@@ -80,22 +80,23 @@ class Wrapping:
 def filled(paragraph: str, how: Wrapping) -> Iterator[str]:
     """As many words as fit in each line, or one that is too long; blanks between lines go."""
     p = Positions(paragraph, how.measure)
-    spans = np.array([m.span() for m in re.finditer("[^ ]+", p.visible)], np.int64).reshape(-1, 2)
-    if not len(spans):
+    points = np.frombuffer(p.visible.encode("ascii"), np.uint8) if p.visible.isascii() else np.frombuffer(p.visible.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.concatenate([[False], points != 32, [False]])
+    at, to = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+    if not len(at):
         yield paragraph
         return
     room = np.concatenate([[0], p.past])
-    begins, past = room[spans[:, 0]], room[spans[:, 1]]
-    at, to = spans[:, 0], spans[:, 1]
+    begins, past = room[at].tolist(), room[to].tolist()
     if p.marks:  # the controls before a word and behind one go with it
         where = np.array([m[0] for m in p.marks])
         taken = np.concatenate([[0], np.cumsum([m[3] - m[2] for m in p.marks])])
-        at, to = at + taken[np.searchsorted(where, at, "left")], to + taken[np.searchsorted(where, to, "right")]
-    k, lead = 0, how.head
-    while k < len(spans):
-        last = max(k, int(np.searchsorted(past, begins[k] + how.target - len(lead), "right")) - 1)
-        yield paragraph[at[k] : to[last]]
-        k, lead = last + 1, how.rest
+        at, to = at + taken[where.searchsorted(at, "left")], to + taken[where.searchsorted(to, "right")]
+    at, to, k, width = at.tolist(), to.tolist(), 0, how.target - len(how.head)
+    while k < len(at):
+        behind = max(k + 1, bisect_right(past, begins[k] + width, k))
+        yield paragraph[at[k] : to[behind - 1]]
+        k, width = behind, how.target - len(how.rest)
 
 
 def parts(word: str, limit: int, how: Wrapping) -> Iterator[str]:
@@ -135,25 +136,25 @@ def word_by_word(paragraph: str, how: Wrapping) -> Iterator[str]:
 
 
 def wrapped(known: Machine, text: str | None, how: Wrapping, state: State = NONE) -> list[str]:
-    """The lines of ``text``, each in the format that is in force where it begins."""
+    """The lines of ``text``, prefix and padding included, each in the format that is in force where it begins."""
     text = "NA" if text is None else text
     if how.tab_stops and "\t" in text:
         text = expanded(text, how.tab_stops, how.ctl)
     fill = word_by_word if how.wrap_always or not how.strip_spaces else filled
     out = []
     for paragraph in paragraphs(text) if how.strip_spaces else text.split("\n"):
-        lead = how.head
+        lead, indent = how.head, how.indent
         for line in fill(paragraph, how):
-            shown = line
+            pad = how.pad_end * max(0, how.target - len(lead) - how.size(line)) if how.pad_end else ""
+            body, run, opened, closed = line, "", "", ""
             if how.ctl and ("\x1b" in line or state != NONE):
                 body = without_last_run(line) if how.terminate else line
-                run = first_run(line)
-                opened = known.opened(known.after(state, run) if run else state)
-                closed = known.closed(known.end(state, body)) if how.terminate else ""
-                shown = opened + body[len(first_run(body)) :] + closed if body or not how.terminate else ""
+                if body or pad or not how.terminate:  # an empty line opens nothing that it would close at once
+                    run = first_run(body)
+                    opened = known.opened(known.after(state, run) if run else state)
+                    closed = known.closed(known.end(state, body)) if how.terminate else ""
                 state = known.end(state, line)
-            if how.pad_end:
-                shown += how.pad_end * max(0, how.target - len(lead) - how.size(line))
-            out.append(lead + (known.normalized(shown) if how.normalize else shown))
-            lead = how.rest
+            shown = "".join((opened, lead if body else lead[: len(lead) - indent], body[len(run) :], pad, closed))
+            out.append(known.normalized(shown) if how.normalize else shown)
+            lead, indent = how.rest, how.exdent
     return out

@@ -16,16 +16,22 @@ from ..functions.html import html_code_block
 from ..functions.machine import for_python, sizes
 
 
+def _numbered(df: DataFrame, others: list[str], pieces: Column, into: str, number: str) -> DataFrame:
+    """Rows by an outer explode: for the other, Spark works the array out a second time, to leave out rows without pieces."""
+    found = df.select(*others, F.posexplode_outer(pieces).alias(number, into))
+    return found.where(F.col(f"`{number}`").isNotNull()).withColumn(number, F.col(f"`{number}`") + 1)
+
+
 def lines(df: DataFrame, text: str, into: str = "line", number: str = "line_no") -> DataFrame:
     """A row for each line of a text, numbered from 1; a null text has one null line."""
     others = [c for c in df.columns if c != text]
     split = F.coalesce(F.split(F.col(text), "\n", -1), F.array(F.lit(None).cast("string")))
-    return df.select(*others, F.posexplode(split).alias(number, into)).withColumn(number, F.col(number) + 1)
+    return _numbered(df, others, split, into, number)
 
 
 def exploded(df: DataFrame, pieces: Column, into: str = "piece", number: str = "piece_no") -> DataFrame:
     """A row for each element of an array of pieces, numbered from 1."""
-    return df.select(*df.columns, F.posexplode(pieces).alias(number, into)).withColumn(number, F.col(number) + 1)
+    return _numbered(df, df.columns, pieces, into, number)
 
 
 # The SGR codes that are known, and those that ask for an ability.
@@ -100,7 +106,7 @@ def unhandled_ctl(df: DataFrame, x: str, term_cap: tuple[str, ...] = ("bright",
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     dirty = F.when(F.col(x).rlike(r"[\x01-\x09\x0B-\x1F\x7F]"), F.col(x))
     found = df.withColumn("_u", F.arrow_udf(run, f"array<struct<{PROBLEM.replace(' ', ':')}>>".replace(",:", ","))(dirty))
-    return found.select(*df.columns, F.explode("_u").alias("_u")).select(*df.columns, "_u.*")
+    return found.select(*df.columns, F.explode_outer("_u").alias("_u")).where(F.col("_u").isNotNull()).select(*df.columns, "_u.*")
 
 
 class Unhandled:
