@@ -282,7 +282,7 @@ def test_tables(spark, tmp_path):
     blocks = code_blocks(spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "d int, n int, x string"), "x", ["d"], "n")
     assert blocks.first().html == '<PRE class="term"><CODE>a\nb</CODE></PRE>'
     write_page(blocks, "html", "d", str(tmp_path / "page"), css=(default_css(),))
-    assert "<CODE>a" in "\n".join(r.text for r in read_documents(spark, str(tmp_path / "page" / "*.txt")).collect())
+    assert "<CODE>a" in "\n".join(r.text for r in read_documents(spark, str(tmp_path / "page" / "*.html")).collect())
 
 
 def test_demo(spark, monkeypatch):

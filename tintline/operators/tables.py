@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.controls import SGR, URL, control_pattern
 from ..functions.html import html_code_block
 from ..functions.machine import for_python, sizes
+from .order import numbered
 
 
 def _numbered(df: DataFrame, others: list[str], pieces: Column, into: str, number: str) -> DataFrame:
@@ -120,3 +121,20 @@ class Unhandled:
 def code_blocks(df: DataFrame, x: str, by: list[str], order: str, css_class: str = "term") -> DataFrame:
     """The texts of each group, in order, as one block of HTML code: columns of ``by`` and html."""
     return df.groupBy(*by).agg(html_code_block(F.col(x), F.col(order), css_class).alias("html"))
+
+
+def code_block_parts(df: DataFrame, x: str, by: list[str], order: list[str], css_class: str = "term", rows: int = 10_000) -> DataFrame:
+    """Like ``code_blocks`` for groups of any size: columns of ``by``, part_no (from 1) and html; a block is its parts end to end.
+
+    Texts are numbered in the order of group and ``order`` without one task (``order.numbered``); every
+    ``rows`` numbers make a part, of each group that it reaches into. So no row and no task holds a whole group.
+    """
+    texts = numbered(df.select(*by, *[c for c in order if c not in by], F.col(x).alias("_x")), [*by, *order], "_n")
+    texts = texts.withColumn("_part", F.floor((F.col("_n") - 1) / rows))
+    pieces = texts.groupBy(*by, "_part").agg(F.sort_array(F.collect_list(F.struct("_n", "_x"))).alias("_rows"))
+    groups = texts.groupBy(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)]).agg(F.min("_part").alias("_first"), F.max("_part").alias("_last"))
+    same = [pieces[c].eqNullSafe(groups[f"_g{k}"]) for k, c in enumerate(by)]
+    text = F.array_join(F.transform("_rows", lambda r: r["_x"]), "\n", "NA")
+    lead = F.when(F.col("_part") == F.col("_first"), f'<PRE class="{css_class}"><CODE>').otherwise("\n")
+    tail = F.when(F.col("_part") == F.col("_last"), "</CODE></PRE>").otherwise("")
+    return pieces.join(groups, same).select(*by, (F.col("_part") - F.col("_first") + 1).alias("part_no"), F.concat(lead, text, tail).alias("html"))
