@@ -16,6 +16,7 @@ from ..functions.text import overlay_ctl, strwrap_ctl, substr_ctl, trimws_ctl
 from ..operators.carry import carried, with_state
 from ..operators.order import numbered, recycled
 from ..operators.sql import functions_for_sql
+from ..operators.tables import code_block_parts
 from .catalogue import ESC, LINES_SQL, OPEN_SQL, PALETTE_SQL, colored_lines, document_lines, escaped_sql, open_lines
 
 LINK_END = f"{ESC}]8;;{ESC}\\"
@@ -23,6 +24,23 @@ LINK_END = f"{ESC}]8;;{ESC}\\"
 BLANKS = 3000
 
 
+def wrap_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each coloured line without its blanks, which is one long word, broken and filled up behind a prefix."""
+    word = F.translate("c", " \t", "")
+    wrapped = strwrap_ctl(word, 12, prefix="> ", wrap_always=True, pad_end=".")
+    return colored_lines(spark, sf_dir).select("doc_id", "line_no", F.array_join(wrapped, "|").alias("wrapped"))
+
+
+#: Lines in each part of a language's block.
+PART_LINES = 500
+
+
+def block_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a language as one block of code, in parts."""
+    found = document_lines(spark, sf_dir).select("lang", "doc_id", "line_no", html_esc(F.col("x")).alias("escaped"))
+    return code_block_parts(found, "escaped", ["lang"], ["doc_id", "line_no"], rows=PART_LINES)
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line as a hyperlink of its document, cut, wrapped, normalized and as HTML."""
     link = F.concat(F.lit(f"{ESC}]8;"), F.when(F.col("line_no") % 2 == 0, "id=a").otherwise(""), F.lit(";http://h.x/?a=1&d="), F.col("doc_id").cast("string"), F.lit(f"{ESC}\\"))
@@ -117,7 +135,7 @@ def charted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (links, overlapping, html_classes, overlay_options, trimws_long_runs, carried_with_nulls, state_over_all_lines, substr_recycled, sql_functions, unhandled_lateral)
+    for f in (wrap_broken, block_parts, links, overlapping, html_classes, overlay_options, trimws_long_runs, carried_with_nulls, state_over_all_lines, substr_recycled, sql_functions, unhandled_lateral)
 } | {"make_styles": styles_used, "palette_chart": charted_documents}
 
 _X = "substring(x, {}, {})"
@@ -126,6 +144,14 @@ _CELL = "list_transform({0}, lambda k: chr(27) || '[38;5;' || {1} || ';48;5;' ||
 _CUBE = "list_transform(range(0, 6), lambda r: array_to_string({}, ''))"
 
 ORACLE_SQL: dict[str, str] = {
+    "wrap_broken": f"""WITH {LINES_SQL}, y AS (SELECT *, translate(coalesce(x, 'NA'), ' ' || chr(9), '') AS y FROM l)
+        SELECT doc_id, line_no, CASE WHEN x IS NULL OR x = '' THEN '> ' || rpad(y, 9, '.')
+        WHEN y = '' THEN opened || '> ' || repeat('.', 9) || chr(27) || '[0m'
+        ELSE array_to_string(list_transform(range(0, (length(y) + 8) // 9), lambda k: opened || '> ' || rpad(substring(y, 9 * k + 1, 9), 9, '.') || chr(27) || '[0m'), '|') END AS wrapped FROM y""",
+    "block_parts": f"""WITH {LINES_SQL}, n AS (SELECT lang, doc_id, line_no, {escaped_sql("x")} AS t, (row_number() OVER (ORDER BY lang NULLS FIRST, doc_id, line_no) - 1) // {PART_LINES} AS p FROM l),
+        h AS (SELECT lang, min(p) AS a, max(p) AS z FROM n GROUP BY lang)
+        SELECT n.lang, p - a + 1 AS part_no, CASE WHEN p = a THEN '<PRE class="term"><CODE>' ELSE chr(10) END || string_agg(coalesce(t, 'NA'), chr(10) ORDER BY doc_id, line_no)
+        || CASE WHEN p = z THEN '</CODE></PRE>' ELSE '' END AS html FROM n JOIN h ON n.lang IS NOT DISTINCT FROM h.lang GROUP BY n.lang, p, a, z""",
     "links": f"""WITH {LINES_SQL}, k AS (SELECT *, chr(27) || ']8;' || CASE WHEN line_no % 2 = 0 THEN 'id=a' ELSE '' END || ';http://h.x/?a=1&d=' || doc_id || chr(27) || '\\' AS k, chr(27) || ']8;;' || chr(27) || '\\' AS e FROM l)
         SELECT doc_id, line_no, CASE WHEN substring(x, 2, 4) = '' THEN '' ELSE k || substring(x, 2, 4) || e END AS part, CASE WHEN x = '' THEN '' ELSE k || x || e END AS normal,
         CASE WHEN x = '' THEN '' ELSE '<a href=''http://h.x/?a=1&amp;d=' || doc_id || '''>' || {escaped_sql("x")} || '</a>' END AS html,
