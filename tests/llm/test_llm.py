@@ -599,6 +599,17 @@ def test_packed_ints():
         assert packed.unpack_ints(packed.pack_ints(values)).tolist() == values.tolist()
 
 
+def test_pipeline_of_nothing(spark, docs, tmp_path):
+    """No documents, and none that the first stage keeps."""
+    spark.createDataFrame([(1, "twelve words that are in no document of this small empty table at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, kept in enumerate((docs.limit(0), docs.where(F.col("text").isNull() | (F.trim("text") == "")))):
+        folder = tmp_path / str(k)
+        kept.drop("h").write.parquet(f"{folder}/documents.parquet")
+        (folder / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        found = corpus_pipeline.run(spark, str(folder))
+        assert {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(found.columns) and found.count() == 0
+
+
 def test_pipeline(spark, docs, rows, tmp_path):
     docs.drop("h").write.parquet(f"{tmp_path}/documents.parquet")
     leaked = next(r for r in rows if r[0] and r[0] % 12 == 1 and base(r[1])[0] > 60)
