@@ -1,8 +1,10 @@
-"""Pages that are written whole or not at all, and blocks of groups of any size."""
+"""Pages that are written whole or not at all, blocks of groups of any size, and wrapping in SQL text."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from tintline.functions.text import strwrap_ctl
+from tintline.operators.sql import functions_for_sql
 from tintline.operators.tables import code_block_parts, code_blocks
 from tintline.sources.text import write_page
 
@@ -77,3 +79,13 @@ def test_blocks_in_parts(spark):
         numbers = sorted(r.part_no for r in parts if r.g == g)
         assert numbers == list(range(1, len(numbers) + 1))
     assert code_block_parts(turns.limit(0), "x", ["g"], ["n"]).count() == 0
+
+
+def test_wrap_in_sql_text(spark):
+    assert "strwrap_ctl" in functions_for_sql(spark)
+    texts = ["hello world, this is a day", "\x1b[1mhello wide \u4e00\u4e01 world\x1b[0m", "", None]
+    frame = spark.createDataFrame([(t,) for t in texts], "x string")
+    frame.createOrReplaceTempView("wrap_in_sql")
+    found = spark.sql("SELECT x, strwrap_ctl(x, 12) AS w, strwrap_ctl(x, CAST(NULL AS INT)) AS none FROM wrap_in_sql").collect()
+    assert {(r.x, tuple(r.w)) for r in found} == {(r.x, tuple(r.w)) for r in frame.select("x", strwrap_ctl(F.col("x"), 12).alias("w")).collect()}
+    assert all(r.none is None for r in found)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.controls import control_pattern
 from ..functions.html import ENTITIES, as_html
 from ..functions.machine import Options, Positions, machine, split_pattern
+from ..functions.wrap import Wrapping, wrapped
 from .tables import PROBLEM, Unhandled
 
 
@@ -58,6 +59,11 @@ def _split(x: pa.Array, by: pa.Array) -> pa.Array:
     return pa.array([None if None in row else machine(None).split(row[0], split_pattern(row[1], False)) for row in rows], pa.list_(pa.string()))
 
 
+def _wrap(x: pa.Array, width: pa.Array) -> pa.Array:
+    rows = zip(x.to_pylist(), width.to_pylist(), strict=True)
+    return pa.array([None if n is None else wrapped(machine(None), t, Wrapping(max(1, n - 1), "", "")) for t, n in rows], pa.list_(pa.string()))
+
+
 def functions_for_sql(spark: SparkSession) -> list[str]:
     """Make the functions known to ``spark.sql``, in place of any of their names; returns the names."""
     names = []
@@ -67,6 +73,7 @@ def functions_for_sql(spark: SparkSession) -> list[str]:
     for name, run, kind in (
         ("normalize_state", _normalize, "string"), ("to_html", _html, "string"), ("substr_ctl", _cut("chars"), "string"),
         ("substr_width", _cut("width"), "string"), ("strsplit_ctl", _split, "array<string>"),
+        ("strwrap_ctl", _wrap, "array<string>"),
     ):
         spark.udf.register(name, F.arrow_udf(run, kind))
         names.append(name)
