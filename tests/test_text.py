@@ -16,6 +16,7 @@ from tintline.functions.state import bridge, close_state, events, normalized, st
 from tintline.functions.text import overlay_ctl, squeeze_space, strsplit_ctl, strtrim_ctl, strwrap_ctl, substr_ctl, tabs_as_spaces, trimws_ctl
 from tintline.operators.carry import carried
 from tintline.operators.tables import code_blocks, exploded, lines, unhandled_ctl
+from tintline.plans.catalogue import QUERIES
 from tintline.sources.text import read_documents, write_page
 
 E = "\x1b"
@@ -241,6 +242,17 @@ def test_split_and_trim_carry(spark):
     assert each(spark, [f" {E}[31m a"], lambda x: trimws_ctl(x, ctl="url"), lambda x: trimws_ctl(x)) == [(f"{E}[31m a", f"{E}[31ma")]
 
 
+def test_split_carries_into_texts_without_a_match(spark, tmp_path):
+    bold, red = f"{E}[1m", f"{E}[31mab{E}[39m"
+    found = each(spark, ["ab", "", None, red, "a b", "a "], lambda x: strsplit_ctl(x, " ", carry=bold), lambda x: strsplit_ctl(x, " ", carry=""), lambda x: strsplit_ctl(x, " "))
+    one = [f"{E}[1ma{E}[0m"]
+    assert [r[0] for r in found] == [[f"{E}[1mab{E}[0m"], [], None, [f"{E}[1;31mab{E}[0m"], [*one, f"{E}[1mb{E}[0m"], one]
+    assert [r[1] for r in found] == [r[2] for r in found] == [["ab"], [], None, [red], ["a", "b"], ["a"]]  # nothing is carried
+    spark.createDataFrame([(1, "en", "no match\n\none, two\nend, "), (2, "en", None), (3, "en", "")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["strsplit_carried"](spark, str(tmp_path)).orderBy("doc_id", "line_no").collect()
+    assert [r.joined for r in rows] == [f"{E}[1mno match{E}[0m", "", f"{E}[1mone{E}[0m|{E}[1mtwo{E}[0m", f"{E}[1mend{E}[0m", None, ""]
+
+
 def test_output_block(spark):
     assert each(spark, [f"a<{E}[1mb", "a<b", None], lambda x: output_block(x, "k")) == [
         '<PRE class="k"><CODE>a&lt;<span style=\'font-weight: bold;\'>b</span></CODE></PRE>', "a<b", None]
