@@ -17,6 +17,7 @@ from tintline.operators.carry import stream_with_state, with_state
 from tintline.operators.order import numbered, recycled
 from tintline.operators.sql import functions_for_sql
 from tintline.operators.tables import unhandled_ctl
+from tintline.plans.more import BLANKS, QUERIES
 
 E = "\x1b"
 CODES = "0 1 2 3 4 7 9 20 21 22 23 24 31 92 39 44 104 49 38;5;7 48;2;1;2;3 38;5;300 38;7;4 11 51 53 55 61 65".split()
@@ -139,6 +140,28 @@ def test_long_white_space(spark):
     assert right[0] == f"{gap}{E}[1m{gap}x{gap}y{E}[0m"
 
 
+def test_long_runs_are_not_gone_over(spark, tmp_path):
+    """No regular expression goes over a text with thousands of blanks, and no function of arrays takes its formats apart."""
+    spark.createDataFrame([(1, "en", " a b\n\nc "), (2, "en", None)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["trimws_long_runs"](spark, str(tmp_path))
+    gap = " " * BLANKS
+    assert [r.part for r in found.orderBy("doc_id", "line_no").collect()] == [f"{E}[1ma b{gap}z{E}[0m", f"{E}[1mz{E}[0m", f"{E}[1mc {gap}z{E}[0m", None]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [f for f in ("regexp", "aggregate(", "zip_with(") if f in plan]
+
+
+def test_trimmed_ends(spark):
+    """Links, broken sequences and texts of nothing but ends, on each side."""
+    link = f"{E}]8;;http://a.com"
+    cases = [f" {E}[1m {link}{E}\\ x {link}{E}\\ ", f"x {link}  ", f"{E}[1m {E}[4m\n", f" \t{E}[31 x{E}[5k {E}[m\r", f"x{E}]8;a{E}[1m {E}[4m", f"\u00a0{E}[32m\u00e9 \U0001f600{E}[39m ", "\t x\n", "", None]
+    both, left, right = zip(*[tuple(r)[1:] for r in spark.createDataFrame(list(enumerate(cases)), "k int, x string").coalesce(1).select("k", *[trimws_ctl(F.col("x"), w).alias(w) for w in ("both", "left", "right")]).orderBy("k").collect()], strict=True)
+    assert both == (f"{E}[1m{link}{E}\\x", f"x{link}  {E}\\", f"{E}[1;4m", f"{E}[31 x{E}[5k", f"x{E}]8;a{E}[1;4m", f"\u00a0{E}[32m\u00e9 \U0001f600{E}[0m", "x", "", None)
+    assert left == (f"{E}[1m{link}{E}\\x {link}{E}\\ ", f"x {link}  ", f"{E}[1;4m", f"{E}[31 x{E}[5k {E}[m\r", *cases[4:6], "x\n", "", None)
+    assert right == (f" {E}[1m {link}{E}\\ x", f"x{link}  {E}\\", f"{E}[1;4m", f" \t{E}[31 x{E}[5k", *both[4:6], "\t x", "", None)
+    broken = spark.createDataFrame([(bytearray(b" \xff\x1b[1m\xfe  \x1b[22m "),)], "x binary").select(trimws_ctl(F.col("x").cast("string")).cast("binary").alias("y")).first().y
+    assert bytes(broken) == b"\xff\x1b[1m\xfe\x1b[0m"
+
+
 def test_widths():
     table = widths()
     assert [sum(b - a + 1 for a, b in ranges) for ranges in (LATER_ZERO, LATER_WIDE)] == [75, 355]
